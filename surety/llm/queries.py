@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surety.llm import pii, poisson_mix, secrets
+from surety.llm import packing, pii, poisson_mix, secrets, tokens
 from surety.llm.common import table
 
 
@@ -16,16 +17,26 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count(k) for k in secrets.BASE], F.sha2(secrets.span_list(base), 256).alias("base_sha256"), secrets.span_list(F.col("secrets")).alias("spans"))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return tokens.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), keep=["doc_id"])
+
+
 def op5_pii_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 def op9_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
     return poisson_mix.poisson_mix(docs).select("doc_id", "source", F.col("copy").cast("bigint").alias("copy"), "shuffle_key")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op5_pii_feistel, op9_poisson_mix)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_token_counts, op5_pii_feistel, op6_best_fit_packing, op9_poisson_mix)}
 
 
 def _secret_sql() -> str:
