@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surety.llm import packing, pii, poisson_mix, secrets, tokens
+from surety.llm import packing, pii, poisson_mix, quality, secrets, tiff, tokens
 from surety.llm.common import table
 
 
@@ -17,11 +17,23 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count(k) for k in secrets.BASE], F.sha2(secrets.span_list(base), 256).alias("base_sha256"), secrets.span_list(F.col("secrets")).alias("spans"))
 
 
+def op2_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = tiff.store(table(spark, sf_dir, "documents"))
+    stored = stored.withColumns({"media_bytes": F.length("media").cast("bigint"), "media_sha256": F.sha2("media", 256)})
+    out = tiff.digest_pages(tiff.tiff_pages(stored), ["doc_id", "n_bytes", "media_bytes", "media_sha256"])
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return tokens.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), keep=["doc_id"])
 
 
+def op4_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op5_pii_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -36,7 +48,7 @@ def op9_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return poisson_mix.poisson_mix(docs).select("doc_id", "source", F.col("copy").cast("bigint").alias("copy"), "shuffle_key")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_token_counts, op5_pii_feistel, op6_best_fit_packing, op9_poisson_mix)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_tiff_pages, op3_token_counts, op4_quality_forest, op5_pii_feistel, op6_best_fit_packing, op9_poisson_mix)}
 
 
 def _secret_sql() -> str:
