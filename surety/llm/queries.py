@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surety.llm import packing, pii, poisson_mix, quality, secrets, tiff, tokens
+from surety.llm import html_text, packing, pii, poisson_mix, quality, secrets, tiff, tokens
 from surety.llm.common import table
 
 
@@ -43,12 +43,16 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op7_host_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
     return poisson_mix.poisson_mix(docs).select("doc_id", "source", F.col("copy").cast("bigint").alias("copy"), "shuffle_key")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_tiff_pages, op3_token_counts, op4_quality_forest, op5_pii_feistel, op6_best_fit_packing, op9_poisson_mix)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_tiff_pages, op3_token_counts, op4_quality_forest, op5_pii_feistel, op6_best_fit_packing, op7_host_suffix_array, op9_poisson_mix)}
 
 
 def _secret_sql() -> str:
