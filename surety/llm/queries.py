@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surety.llm import html_text, ngram_join, packing, pii, poisson_mix, quality, secrets, tiff, tokens
+from surety.llm import html_text, masked_lm, ngram_join, packing, pii, poisson_mix, quality, secrets, tiff, tokens
 from surety.llm.common import table
 
 
@@ -47,6 +47,11 @@ def op7_host_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op8_masked_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return masked_lm.score(docs, masked_lm.fit(docs))
+
+
 def op9_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
     return poisson_mix.poisson_mix(docs).select("doc_id", "source", F.col("copy").cast("bigint").alias("copy"), "shuffle_key")
@@ -56,7 +61,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), words=4, percent=85)
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_tiff_pages, op3_token_counts, op4_quality_forest, op5_pii_feistel, op6_best_fit_packing, op7_host_suffix_array, op9_poisson_mix, op10_ngram_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_tiff_pages, op3_token_counts, op4_quality_forest, op5_pii_feistel, op6_best_fit_packing, op7_host_suffix_array, op8_masked_likelihood, op9_poisson_mix, op10_ngram_jaccard)}
 
 
 def _secret_sql() -> str:
