@@ -51,6 +51,13 @@ def test_counts_on_odd_texts(spark):
     assert tokens.count_tokens(df.limit(0), WORD).count() == 0
 
 
+def test_a_full_memo_starts_anew(monkeypatch):
+    monkeypatch.setattr(tokens, "MEMO", 3)
+    counter, tok = tokens.WordCounter(WORD, tokens.whole_tokens(WORD)), Tokenizer.from_file(WORD)
+    texts = ["qzxv wqpk zzkqj", "qzxv bbqqz", "the qzxv wqpk mmzzq bbqqz"] * 3
+    assert counter.counts(texts) == [len(tok.encode(t).ids) for t in texts]
+
+
 def check_plan(counts, capacity):
     plan = packing.Plan(dict(counts), capacity)
     used, ranks = defaultdict(list), defaultdict(set)
