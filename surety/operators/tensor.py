@@ -91,22 +91,27 @@ def array_delta(a, b) -> Column:
     return F.zip_with(col(a), col(b), lambda x, y: x - y)
 
 
-def kth_magnitude(delta: DataFrame, filter_ratio: float, buckets=4096) -> DataFrame:
+def kth_magnitude(delta: DataFrame, filter_ratio: float, buckets=4096, small=100_000) -> DataFrame:
     """One row with the k-th smallest magnitude, k = max(1, floor(n (1 - ratio))), without a global sort.
 
-    A histogram between 0 and the largest magnitude finds the bucket that holds it; only that bucket is ranked.
+    Histograms of the magnitudes zoom in on the bucket that holds it, each a scan with a partial aggregate of at most
+    as many rows as buckets, until the bucket has few values; only these are ranked.
     """
-    size = F.abs("value")
-    rows = delta.where(F.col("value").isNotNull()).select(size.alias("m"))
-    span = rows.agg(F.max("m").alias("_top"), F.count("*").alias("_n")).withColumn("_k", F.greatest(F.floor(F.col("_n") * (1 - filter_ratio)).cast("bigint"), F.lit(1)))
-    placed = rows.crossJoin(F.broadcast(span)).withColumn("b", F.coalesce(F.floor(F.try_divide(F.col("m"), F.col("_top")) * (buckets - 1)), F.lit(0)).cast("int"))
-    up = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    level = placed.groupBy("b", "_k").count().withColumn("_before", F.coalesce(F.sum("count").over(up), F.lit(0)))
-    hit = level.where((F.col("_before") < F.col("_k")) & (F.col("_before") + F.col("count") >= F.col("_k"))).select("b", "_k", "_before")
-    # values of the bucket by multiplicity, so ties cost nothing
-    inside = placed.select("b", "m").join(F.broadcast(hit), "b").groupBy("m", "_k", "_before").count()
-    upto = F.sum("count").over(Window.orderBy("m").rowsBetween(Window.unboundedPreceding, 0)) + F.col("_before")
-    return inside.withColumn("_upto", upto).where(F.col("_upto") >= F.col("_k")).agg(F.min("m").alias("threshold"))
+    rows = delta.where(F.col("value").isNotNull()).select(F.abs("value").alias("m"))
+    n, low, high = rows.agg(F.count("*"), F.min("m"), F.max("m")).first()
+    k = max(1, int(n * (1 - filter_ratio)))
+    left = n
+    while left > small and high > low:
+        place = F.least(F.floor((F.col("m") - low) / (high - low) * buckets), F.lit(buckets - 1)).alias("b")
+        level = rows.where(F.col("m").between(low, high)).groupBy(place).agg(F.count("*").alias("c"), F.min("m").alias("low"), F.max("m").alias("high"))
+        for r in sorted(level.collect()):
+            if k <= r.c:
+                left, low, high = r.c, r.low, r.high
+                break
+            k -= r.c
+    inside = rows.where(F.col("m").between(low, high)).groupBy("m").count()
+    upto = F.sum("count").over(Window.orderBy("m").rowsBetween(Window.unboundedPreceding, 0))
+    return inside.withColumn("_upto", upto).where(F.col("_upto") >= k).agg(F.min("m").alias("threshold"))
 
 
 def magnitude_filter(delta: DataFrame, filter_ratio=1.0, from_bottom=False, exclude_prefix: str | None = None) -> DataFrame:
