@@ -148,6 +148,21 @@ LONG = f"""(SELECT {BY}, 'accuracy' AS metric, avg(correct) AS value FROM {TRIAL
   UNION ALL SELECT {BY}, 'gamma_correlation', {GAMMA} FROM {_pairs(TRIALS, BY)} UNION ALL SELECT {BY}, 'type2_auroc', {AUROC} FROM {_pairs(TRIALS, BY)})"""
 ORACLES["transfer_matrix"] = f"SELECT {BY}, metric, round(value, 9) AS value FROM {LONG}"
 ORACLES["baseline_delta"] = f"SELECT a.model, a.dataset, a.meta_type, a.metric, round(b.value, 9) AS baseline, round(a.value, 9) AS value, round(a.value - b.value, 9) AS delta FROM {LONG} a JOIN {LONG} b USING (dataset, meta_type, metric) WHERE b.model = 'm0' AND a.model <> 'm0' AND metric IN ('accuracy', 'mean_grade')"
+MODELS = f"(SELECT *, 'm' || id % 2 AS m, score / 200 AS x FROM {EVENTS})"
+RANKS = f"(SELECT m, k, correct, rank() OVER (PARTITION BY m, k ORDER BY x) + (count(*) OVER (PARTITION BY m, k, x) - 1) / 2.0 AS rank FROM {MODELS})"
+_MEAN = lambda probe, metric, of: f"SELECT m AS model, k AS dataset, '{probe}' AS meta_type, '{metric}' AS metric, round({of}, 8) AS value FROM {MODELS} GROUP BY m, k"
+ORACLES["transfer_results"] = " UNION ALL ".join(
+    [
+        _MEAN("binary", "accuracy", "avg(correct)"),
+        _MEAN("graded", "accuracy", "avg(correct)"),
+        _MEAN("binary", "yes_rate", "avg((grade >= 2)::INT)"),
+        _MEAN("binary", "yes_failure_ratio", "coalesce(avg(1 - correct) FILTER (grade >= 2), 0.0)"),
+        _MEAN("graded", "mean_grade", "avg(grade)"),
+        _MEAN("graded", "logit_mean_confidence", "avg(x)"),
+        f"SELECT m, k, 'graded', 'gamma_correlation', round({GAMMA}, 8) FROM {_pairs(MODELS, 'm, k')}",
+        f"SELECT m, k, 'graded', 'logit_type2_auroc', round((sum(rank) FILTER (correct = 1) - sum(correct) * (sum(correct) + 1) / 2.0) / (sum(correct)::DOUBLE * sum(1 - correct)), 8) FROM {RANKS} GROUP BY m, k",
+    ]
+)
 ORACLES["run_product"] = "SELECT r_name, n_name FROM (SELECT DISTINCT r_name FROM region), (SELECT DISTINCT n_name FROM nation)"
 PRICE = " UNION ALL ".join(f"SELECT {i} AS o, '{m}' AS m, {a}::DOUBLE AS a, {b}::DOUBLE AS b" for i, (m, a, b) in enumerate(PRICES))
 ORACLES["api_cost"] = f"""WITH u AS (SELECT CASE conv_id % 3 WHEN 0 THEN 'gpt-5.2-2025-12-11' WHEN 1 THEN 'gemini-3-flash' ELSE 'unlisted' END AS model, sum(length(text))::BIGINT AS p, sum(turn + 1)::BIGINT AS c FROM conversations GROUP BY ALL), l AS ({PRICE}),

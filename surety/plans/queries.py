@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from surety.functions import logits, reward, score, text
-from surety.operators import compare, cost, evolve, metrics, tensor
+from surety.operators import compare, cost, evolve, metrics, tensor, transfer
 from surety.plans import prompts, views
 from surety.plans.views import table
 from surety.sources import corpora
@@ -333,6 +333,18 @@ def baseline_delta(spark, sf_dir):
     return compare.baseline_delta(long_, "m0").select("model", "dataset", "meta_type", "metric", *[F.round(c, 9).alias(c) for c in ("baseline", "value", "delta")])
 
 
+@query
+def transfer_results(spark, sf_dir):
+    """Two probes over two models, with logit confidences for one of them."""
+    rows = views.trial_events(spark, sf_dir)
+    both = rows.select(F.concat(F.lit("m"), F.col("id") % 2).alias("model"), F.col("k").alias("dataset"), "correct", "grade", (F.col("score") / 200).alias("logit_confidence"))
+    graded = both.withColumns({"meta_type": F.lit("graded"), "meta_value": F.col("grade")})
+    binary = both.withColumns({"meta_type": F.lit("binary"), "meta_value": (F.col("grade") >= 2).cast("int")})
+    out = transfer.transfer_results(graded.unionByName(binary), ("binary", "graded"), logits=True)
+    names = ("accuracy", "yes_rate", "yes_failure_ratio", "gamma_correlation", "mean_grade", "logit_mean_confidence", "logit_type2_auroc")
+    return out.where(F.col("metric").isin(*names)).withColumn("value", F.round("value", 8))
+
+
 @query
 def run_product(spark, sf_dir):
     t = lambda name, c: table(spark, sf_dir, name).select(c).distinct()
