@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,3 +53,29 @@ def digest_unit(*parts):
 def digest_long(*parts):
     text = F.concat_ws(":", *[F.coalesce(p.cast("string"), F.lit("null")) for p in parts])
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint")
+
+
+#: Rows and bytes of an Arrow batch on its way to Python, so that long texts don't pile up in a worker.
+BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
+
+
+def map_batches(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow in batches of bounded size; a worker gives its free memory back when its task ends."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) != BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+    def bounded(batches):
+        yield from run(batches)
+        release()
+
+    return df.mapInArrow(bounded, schema)
+
+
+def release() -> None:
+    """Hands free memory back to the system, which other tasks of the executor need."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

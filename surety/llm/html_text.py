@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from surety.llm.common import materialise, small_side
+from surety.llm.common import map_batches, materialise, small_side
 
 #: Tokens of a repeated substring; characters in a chunk; share of an open block's tokens that makes it boilerplate.
 DEPTH, CHUNK, COVERED = 12, 250_000, 0.7
@@ -304,7 +304,7 @@ def _windows(pages: DataFrame, source: str) -> DataFrame:
             made = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(made, (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["_host", "_code", "_page"])
 
-    return pages.select("_host", "_page", source).mapInArrow(run, "_host string, _code long, _page long")
+    return map_batches(pages.select("_host", "_page", source), run, "_host string, _code long, _page long")
 
 
 def extract(df: DataFrame, source="html", url="url", key="page_id") -> DataFrame:
@@ -325,7 +325,7 @@ def extract(df: DataFrame, source="html", url="url", key="page_id") -> DataFrame
             texts = clean([blocks(r[2] or "") for r in held], known)
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in held], _arrow(kinds[key])), pa.array([r[1] for r in held], pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[key, url, "text", "n_chars"])
 
-    return rows.mapInArrow(run, f"`{key}` {kinds[key]}, `{url}` {kinds[url]}, text string, n_chars long")
+    return map_batches(rows, run, f"`{key}` {kinds[key]}, `{url}` {kinds[url]}, text string, n_chars long")
 
 
 def _arrow(kind: str):

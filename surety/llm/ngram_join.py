@@ -32,11 +32,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from surety.llm.common import materialise, small_side
+from surety.llm.common import map_batches, materialise, small_side
 from surety.llm.components import components
 
 #: Words remembered by a worker; n-grams gathered before a batch is sent; n-grams in a hash fragment; least fragments.
-MEMO, BATCH, SEGMENT, LEAST = 300_000, 1_500_000, 2_000_000, 48
+MEMO, BATCH, SEGMENT, LEAST = 200_000, 1_000_000, 2_000_000, 48
 #: Sets in a block; n-grams in a fragment of the frequency order.
 BLOCK, FRAGMENT = 256, 4096
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -84,7 +84,7 @@ def class_sets(df: DataFrame, text: str, key: str, words: int) -> DataFrame:
                 marks.append(digest(s) if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(n, pa.int64()), pa.array(marks, pa.binary())], names=[key, "n_shingles", "_digest"])
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_shingles long, _digest binary")
+    return map_batches(df.select(key, text), run, f"`{key}` {kind}, n_shingles long, _digest binary")
 
 
 def _mark(code: bytes) -> int:
@@ -172,7 +172,7 @@ def shared_counts(df: DataFrame, text: str, words: int, fragments: int) -> DataF
         hit, back = np.unique(m, return_inverse=True)
         return pa.table({"_mark": pa.array(hit, pa.int64()), "shared": pa.array(np.bincount(back, weights=c, minlength=len(hit)).astype(np.int64), pa.int64())})
 
-    dealt = df.select(text).mapInArrow(deal, schema)
+    dealt = map_batches(df.select(text), deal, schema)
     return dealt.groupBy("fragment").applyInArrow(count, "_mark long, shared long").groupBy("_mark").agg(F.sum("shared").alias("shared"))
 
 
@@ -201,7 +201,7 @@ def _survivors(df, sets, text, key, words, percent) -> DataFrame:
                 grams = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(part).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in part], pa.binary()), pa.array(np.diff(ends), pa.int64()), grams], names=["_digest", "n", "grams"])
 
-    found = texts.mapInArrow(run, "_digest binary, n long, grams array<long>").dropDuplicates(["_digest"])
+    found = map_batches(texts, run, "_digest binary, n long, grams array<long>").dropDuplicates(["_digest"])
     return materialise(found.withColumn("cid", F.monotonically_increasing_id()), "join-sets")
 
 
@@ -302,7 +302,7 @@ def _verify(units: DataFrame, percent: int) -> DataFrame:
             out += solve(held)
         yield _pairs(out)
 
-    return rows.mapInArrow(run, "a long, b long")
+    return map_batches(rows, run, "a long, b long")
 
 
 def _pairs(rows):

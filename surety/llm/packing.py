@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from surety.llm.common import materialise
+from surety.llm.common import map_batches, materialise
 from surety.llm.tokens import ByteEncoder
 
 @lru_cache(maxsize=2)
@@ -59,7 +59,7 @@ def pieces(df: DataFrame, tokenizer: str, ranks: str | None = None, text="text",
                 names=[key, "piece", "start", "length", "ids_crc32", "part"],
             )
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long, part int")
+    return map_batches(df.select(key, text), run, f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long, part int")
 
 
 class Plan:
@@ -216,7 +216,7 @@ def pack(made: DataFrame, key="doc_id", capacity=2048) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in (key, "piece", "start", "length", "ids_crc32")] + [pa.array(sequence), pa.array(offset)], names=[key, "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
     ranked = ranked.select(key, "piece", "start", "length", "ids_crc32", "_rank")
-    return ranked.mapInArrow(run, f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return map_batches(ranked, run, f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def pack_documents(df: DataFrame, tokenizer: str, ranks: str | None = None, text="text", key="doc_id", capacity=2048, end=0) -> DataFrame:

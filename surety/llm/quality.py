@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from surety.llm.common import materialise
+from surety.llm.common import map_batches, materialise
 
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
 SYMBOLS, WINDOW = "#*$%&|<>", 8
@@ -98,7 +98,7 @@ def measure(df: DataFrame, text="text", keep=("doc_id",)) -> DataFrame:
             made = [pa.array(c, pa.int64()) for c in (zip(*rows) if rows else ((),) * len(STATS))]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + made, names=[*keep, *STATS])
 
-    return df.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
+    return map_batches(df.select(*dict.fromkeys([*keep, text])), run, schema)
 
 
 def ratios(columns: dict[str, np.ndarray]) -> np.ndarray:
@@ -183,7 +183,7 @@ def scored(stats: DataFrame, forest: Forest) -> DataFrame:
             got = forest.score(ratios({c: np.asarray(batch.column(c)) for c in STATS}))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.float64())], names=[*names, "anomaly"])
 
-    return stats.mapInArrow(run, schema)
+    return map_batches(stats, run, schema)
 
 
 def calibrate(marked: DataFrame, labels: DataFrame, key="doc_id", loss=LOSS) -> float:
@@ -216,7 +216,7 @@ def keep_clean(df: DataFrame, labels: DataFrame, text="text", key="doc_id") -> D
                 keep &= forest.score(ratios(columns)) < threshold
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns], names=names)
 
-    return df.mapInArrow(run, df.schema)
+    return map_batches(df, run, df.schema)
 
 
 def judge(df: DataFrame, labels: DataFrame, text="text", key="doc_id", keep=None) -> DataFrame:

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from surety.llm.common import map_batches
+
 #: Numbers of the format's tags, compressions and field types.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIPS, SAMPLES, STRIP_ROWS, STRIP_BYTES, PLANAR, PREDICTOR = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317
 TILE_WIDTH, TILE_HEIGHT, TILES, TILE_BYTES = 322, 323, 324, 325
@@ -230,7 +232,7 @@ def tiff_pages(df: DataFrame, media="media") -> DataFrame:
             if rows:
                 yield batchful(batch, at, rows)
 
-    return df.select(*keep, media).mapInArrow(run, schema)
+    return map_batches(df.select(*keep, media), run, schema)
 
 
 #: Layout of stored payloads: samples a row, rows a page, rows a strip, side of a tile.
@@ -304,7 +306,7 @@ def store(df: DataFrame, text="text", keep=("doc_id",), media="media") -> DataFr
                 part = batch.slice(start, at - start)
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + [pa.array(sizes, pa.int64()), pa.array(files, pa.binary())], names=[*keep, "n_bytes", media])
 
-    return df.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
+    return map_batches(df.select(*dict.fromkeys([*keep, text])), run, schema)
 
 
 def digest_pages(pages: DataFrame, keep: list[str]) -> DataFrame:
@@ -327,7 +329,7 @@ def digest_pages(pages: DataFrame, keep: list[str]) -> DataFrame:
                 made = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.string()), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(at)) for c in keep] + made, names=[*keep, "payload_bytes", "payload_sha256", "tail_crc32", "feature"])
 
-    return pages.select(*keep, "page", "pages", "pixels").mapInArrow(run, schema)
+    return map_batches(pages.select(*keep, "page", "pages", "pixels"), run, schema)
 
 
 def feature(body: bytes, pages: int) -> str:

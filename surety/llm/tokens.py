@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from surety.llm.common import map_batches
+
 #: Below this code point, without combining marks, NFC changes nothing and lower-casing is one character to one.
 LATIN = 0x250
 #: White space inside the fast path; other controls and spaces go to the library.
@@ -122,7 +124,7 @@ def count_tokens(df: DataFrame, tokenizer: str, text="text", keep=None, limit=20
             columns += [pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, *added])
 
-    return df.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
+    return map_batches(df.select(*dict.fromkeys([*keep, text])), run, schema)
 
 
 class ByteEncoder:
