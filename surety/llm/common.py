@@ -55,6 +55,20 @@ def digest_long(*parts):
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint")
 
 
+#: The column that packed() makes; columns of the input can't clash with an operator's own inside it.
+ROW = "_row"
+
+
+def packed(df: DataFrame) -> DataFrame:
+    """df with all its columns in one struct, so that whatever they are called, they don't meet working columns."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(ROW))
+
+
+def unpacked(columns: list[str], *added: str) -> list:
+    """The columns of packed() but for those that the added ones replace, then the added ones."""
+    return [F.col(ROW)[c].alias(c) for c in columns if c not in added] + [F.col(a) for a in added]
+
+
 #: Rows and bytes of an Arrow batch on its way to Python, so that long texts don't pile up in a worker.
 BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 

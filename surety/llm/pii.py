@@ -6,7 +6,7 @@ numbers (10 digits), social-security numbers (9), IPv4 addresses (32 bits) and c
 72,900 days). E-mail addresses, having no numeric format, become keyed hashes of the whole address.
 
 Defined results: a null text stays null with counts 0; texts without such values are unchanged, character by
-character; digit runs that fail validation are unchanged; repeated rows are treated alike; other columns pass through.
+character; digit runs that fail validation are unchanged; repeated rows are treated alike; other columns pass through, but one named n_pii is replaced.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from surety.llm.common import ROW, packed
+
 ROUNDS = 8
 #: Fixed formats, in order of preference at one place.
 FORMATS = {
@@ -121,14 +123,15 @@ def pseudonym(value: Column, key: str) -> Column:
 
 def pseudonymise(df: DataFrame, text="text", key="surety-demo-key", counts=True) -> DataFrame:
     """df with pseudonyms in its text; counts adds ``n_pii`` (values changed). key: the secret of the permutations."""
-    body = F.col(text)
-    found = F.regexp_extract_all(body, F.lit(ANY), F.lit(0))
-    df = df.withColumn("_pii_hit", F.coalesce(body.rlike("[0-9@]") & body.rlike(ANY), F.lit(False)))
-    df = df.withColumn("_pii_old", F.when(F.col("_pii_hit"), found))
-    df = df.withColumn("_pii_new", F.transform("_pii_old", lambda v: pseudonym(v, key)))
-    pieces = F.zip_with(F.split(body, ANY, -1), F.col("_pii_new"), lambda gap, new: F.concat(gap, F.coalesce(new, F.lit(""))))
-    changed = F.size(F.filter(F.zip_with("_pii_old", "_pii_new", lambda a, b: a != b), lambda x: x))
-    df = df.withColumn(text, F.when(F.col("_pii_hit"), F.array_join(pieces, "")).otherwise(body))
+    body = F.col(ROW)[text]
+    hit = F.coalesce(body.rlike("[0-9@]") & body.rlike(ANY), F.lit(False))
+    rows = packed(df).withColumn("hit", hit)
+    rows = rows.withColumn("old", F.when(F.col("hit"), F.regexp_extract_all(body, F.lit(ANY), F.lit(0))))
+    rows = rows.withColumn("new", F.transform("old", lambda v: pseudonym(v, key)))
+    pieces = F.zip_with(F.split(body, ANY, -1), F.col("new"), lambda gap, new: F.concat(gap, F.coalesce(new, F.lit(""))))
+    changed = F.size(F.filter(F.zip_with("old", "new", lambda a, b: a != b), lambda x: x))
+    made = {text: F.when(F.col("hit"), F.array_join(pieces, "")).otherwise(body)}
     if counts:
-        df = df.withColumn("n_pii", F.when(F.col("_pii_hit"), changed).otherwise(0).cast("bigint"))
-    return df.drop("_pii_hit", "_pii_old", "_pii_new")
+        made["n_pii"] = F.when(F.col("hit"), changed).otherwise(0).cast("bigint")
+    names = [*df.columns, *(c for c in made if c not in df.columns)]
+    return rows.select(*[made.get(c, F.col(ROW)[c]).alias(c) for c in names])

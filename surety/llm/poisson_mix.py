@@ -7,7 +7,8 @@ the document's key; it is exploded into that many rows, which a range partition
 Defined results: a null source is a source of its own; a null key hashes as the word null; rows with equal key and
 source get equal counts (repeated rows are replicated alike); an empty table gives an empty table; sources whose
 total size is 0 have no rate to invert and keep each document once per epoch rounded down by the same draw with
-lambda = epochs. Other columns pass through; the added columns are ``copy`` (from 1) and ``shuffle_key``.
+lambda = epochs. Other columns pass through; the added columns ``copy`` (from 1) and ``shuffle_key`` replace columns of
+their names.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from surety.llm.common import digest_long, digest_unit, materialise, small_side
+from surety.llm.common import ROW, digest_long, digest_unit, materialise, packed, small_side, unpacked
 
 #: Rates above this are drawn as a sum of equal independent parts, so exp(-rate) never underflows.
 PART = 500.0
@@ -49,12 +50,12 @@ def source_rates(df: DataFrame, source="source", size=None, targets: dict | None
 
 
 def poisson_mix(df: DataFrame, key="doc_id", source="source", size=None, targets=None, epochs=1.0, seed=17, shuffle=True) -> DataFrame:
-    columns = df.columns
     rates = materialise(source_rates(df, source, size, targets, epochs), "rates")
-    joined = df.join(small_side(rates), F.col(source).eqNullSafe(F.col("_source")))
-    draw = lambda p: F.size(F.filter("_cdf", lambda c: c <= digest_unit(F.lit(seed), F.col(key), p)))
+    own = F.col(ROW)[key]
+    joined = packed(df).join(small_side(rates), F.col(ROW)[source].eqNullSafe(F.col("_source")))
+    draw = lambda p: F.size(F.filter("_cdf", lambda c: c <= digest_unit(F.lit(seed), own, p)))
     count = F.aggregate(F.sequence(F.lit(1), F.col("_parts")), F.lit(0), lambda a, p: a + draw(p))
     out = joined.withColumn("_k", count).where("_k > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_k"))))
-    out = out.withColumn("shuffle_key", digest_long(F.lit(seed), F.lit("order"), F.col(key), F.col("copy")))
-    out = out.select(*columns, "copy", "shuffle_key")
+    out = out.withColumn("shuffle_key", digest_long(F.lit(seed), F.lit("order"), own, F.col("copy")))
+    out = out.select(*unpacked(df.columns, "copy", "shuffle_key"))
     return out.repartitionByRange("shuffle_key").sortWithinPartitions("shuffle_key") if shuffle else out

@@ -89,7 +89,7 @@ def statistics(text: str | None) -> tuple[int, ...]:
 
 def measure(df: DataFrame, text="text", keep=("doc_id",)) -> DataFrame:
     """The kept columns and STATS."""
-    keep = list(keep)
+    keep = [c for c in keep if c not in STATS]
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(c, T.LongType()) for c in STATS])
 
     def run(batches):

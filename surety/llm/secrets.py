@@ -7,7 +7,7 @@ verified with the expression; rules without mandatory trigrams scan every docume
 
 Spans are code points, end exclusive, leftmost and non-overlapping within a kind. Defined results: a null text is
 empty (no spans); a null key is a key of its own; repeated rows each get their row; an empty table gives no rows.
-Every input row gives one output row, whatever its other columns are called.
+Every input row gives one output row, whatever its other columns are called; one named like the result is replaced.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from surety.llm.common import materialise, small_side
+from surety.llm.common import ROW, materialise, packed, small_side, unpacked
 from surety.llm.trigram_query import query
 
 
@@ -82,9 +82,10 @@ def _spans(text: Column, rule: Rule, order: int) -> Column:
 
 def find_secrets(df: DataFrame, text="text", key="doc_id", rules=RULES, out="secrets") -> DataFrame:
     """df with the array column ``out`` of (start, ord, kind, end), in order of start, then of the rules."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    met = materialise(candidates(df, body, F.col(key), rules), "secret-candidates")
-    joined = df.join(small_side(met), F.col(key).eqNullSafe(F.col("_key")), "left")
+    rows = packed(df)
+    body, own = F.coalesce(F.col(ROW)[text], F.lit("")), F.col(ROW)[key]
+    met = materialise(candidates(rows, body, own, rules), "secret-candidates")
+    joined = rows.join(small_side(met), own.eqNullSafe(F.col("_key")), "left")
     none = F.array().cast("array<struct<start:int,ord:int,kind:string,end:int>>")
     kinds = []
     for i, rule in enumerate(rules):
@@ -92,7 +93,7 @@ def find_secrets(df: DataFrame, text="text", key="doc_id", rules=RULES, out="sec
         if query(rule.pattern) is not None:
             scan = F.coalesce(F.array_contains("_rules", rule.kind), F.lit(False)) & scan
         kinds.append(F.when(scan, _spans(body, rule, i)).otherwise(none))
-    return joined.withColumn(out, F.array_sort(F.concat(*kinds))).drop("_key", "_rules")
+    return joined.withColumn(out, F.array_sort(F.concat(*kinds))).select(*unpacked(df.columns, out))
 
 
 def span_list(spans: Column) -> Column:

@@ -289,7 +289,7 @@ def write(payload: bytes) -> bytes:
 
 def store(df: DataFrame, text="text", keep=("doc_id",), media="media") -> DataFrame:
     """The kept columns, n_bytes (of the text) and the stored payload."""
-    keep = list(keep)
+    keep = [c for c in keep if c not in ("n_bytes", media)]
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField("n_bytes", T.LongType()), T.StructField(media, T.BinaryType())])
 
     def run(batches):

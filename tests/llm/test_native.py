@@ -110,3 +110,14 @@ def test_large_rates_and_given_targets(spark):
     df = spark.createDataFrame([(i, "a" if i < 10 else "b") for i in range(20010)], "doc_id long, source string")
     out = poisson_mix.poisson_mix(df, targets={"a": 1.0}).groupBy("source").count().collect()
     assert [r.source for r in out] == ["a"] and abs(out[0]["count"] - 20010) < 6 * 20010**0.5
+
+
+def test_clashing_columns(spark):
+    names = ["secrets", "_key", "_rules", "_row", "_folded", "gram", "copy", "shuffle_key", "_k", "_source", "_cdf", "hit", "old", "new", "n_pii", "_parts", "_rate", "a.b"]
+    df = spark.createDataFrame([(1, "password=abcdefgh12 4111111111111111", "s", *names)], ["doc_id", "text", "source", *names])
+    a = secrets.find_secrets(df).first().asDict()
+    assert [s.kind for s in a["secrets"]] == ["assign"] and all(a[c] == c for c in names if c != "secrets")
+    b = pii.pseudonymise(df).first().asDict()
+    assert b["n_pii"] == 1 and all(b[c] == c for c in names if c != "n_pii")
+    c = poisson_mix.poisson_mix(df, epochs=20.0).first().asDict()
+    assert c["copy"] >= 1 and all(c[x] == x for x in names if x not in ("copy", "shuffle_key"))
