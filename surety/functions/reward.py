@@ -47,7 +47,7 @@ def quadratic_reward(correct, grade) -> Column:
 REWARDS = {
     "correct": correct_reward,
     "alignment": alignment_reward,
-    "esma": combined_reward,
+    "combined": combined_reward,
     "graded": letter_reward,
     "graded_fok": five_point_reward,
     "graded_numeric": ten_point_reward,

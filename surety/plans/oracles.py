@@ -137,7 +137,7 @@ CONFIDENT = f"(SELECT label::BIGINT AS label, vec_id % 2 AS correct, vec_id % 4
 ORACLES["verbal_logit_pearson"] = f"SELECT label, round(coalesce(corr(grade / 3.0, x), 0.0), 8) AS pearson FROM {CONFIDENT} GROUP BY label"
 ORACLES["logit_means"] = f"SELECT label, round(avg(x), 9) AS logit_mean_confidence, round(coalesce(avg(x) FILTER (correct = 1), 0.0), 9) AS logit_mean_confidence_correct, round(coalesce(avg(x) FILTER (correct = 0), 0.0), 9) AS logit_mean_confidence_incorrect FROM {CONFIDENT} GROUP BY label"
 ORACLES["option_tokens"] = "SELECT DISTINCT c::BIGINT AS grade, ascii(c)::VARCHAR AS token_ids FROM (SELECT unnest(string_split(o_orderpriority, '')) AS c FROM orders) WHERE c IN ('1', '2', '3', '4', '5')"
-ORACLES["rewards_binary"] = f"SELECT k, sum(correct)::BIGINT AS correct, sum((correct = yes)::INT)::BIGINT AS alignment, sum(CASE WHEN correct = 1 AND yes = 1 THEN 2 WHEN correct = 0 AND yes = 1 THEN 0 ELSE 1 END)::BIGINT AS esma FROM {BINARY} GROUP BY k"
+ORACLES["rewards_binary"] = f"SELECT k, sum(correct)::BIGINT AS correct, sum((correct = yes)::INT)::BIGINT AS alignment, sum(CASE WHEN correct = 1 AND yes = 1 THEN 2 WHEN correct = 0 AND yes = 1 THEN 0 ELSE 1 END)::BIGINT AS combined FROM {BINARY} GROUP BY k"
 ORACLES["rewards_graded"] = " UNION ALL ".join(f"SELECT id, '{n}' AS kind, round(1 + (2 * correct - 1) * (grade - {low}) / {span}.0, 9) AS reward FROM {view}" for n, view, low, span in (("graded", EVENTS, 0, 3), ("graded_fok", ORDERS, 1, 4), ("graded_numeric", ORDERS, 1, 9)))
 ORACLES["rewards_quadratic"] = f"SELECT id, round(2 * (1 - pow(grade / 3.0 - correct, 2)), 9) AS reward FROM {EVENTS}"
 ORACLES["seed_rewards_zscore"] = f"""WITH p AS (SELECT k AS iteration, l_partkey % 32 AS seed, avg(correct + (correct = yes)::INT) AS reward FROM {BINARY} GROUP BY ALL)

@@ -283,7 +283,7 @@ def option_tokens(spark, sf_dir):
 @query
 def rewards_binary(spark, sf_dir):
     rows = views.trial_binary(spark, sf_dir)
-    names = ("correct", "alignment", "esma")
+    names = ("correct", "alignment", "combined")
     return rows.groupBy(long("k").alias("k")).agg(*[long(F.sum(reward.reward(n, "correct", "yes"))).alias(n) for n in names])
 
 
@@ -303,7 +303,7 @@ def rewards_quadratic(spark, sf_dir):
 
 def _population(spark, sf_dir):
     rows = views.trial_binary(spark, sf_dir).withColumns({"iteration": F.col("k"), "seed": F.col("l_partkey") % 32})
-    return evolve.seed_rewards(rows, "esma")
+    return evolve.seed_rewards(rows, "combined")
 
 
 @query

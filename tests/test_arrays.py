@@ -76,7 +76,7 @@ def test_orders_and_schedules(spark):
 
 def test_population(spark):
     trials = spark.createDataFrame([(1, s, c, y) for s, c, y in ((7, 1, 1), (7, 1, 0), (8, 0, 1), (9, 0, 0))] + [(2, 7, 1, 1)], "iteration int, seed long, correct int, yes int")
-    rows = {(r.iteration, r.seed): r for r in evolve.standard_scores(evolve.seed_rewards(trials, "esma")).collect()}
+    rows = {(r.iteration, r.seed): r for r in evolve.standard_scores(evolve.seed_rewards(trials, "combined")).collect()}
     rewards = [1.5, 0.0, 1.0]
     assert [rows[1, s].reward for s in (7, 8, 9)] == rewards
     assert abs(rows[1, 7].z - (1.5 - statistics.mean(rewards)) / (statistics.stdev(rewards) + 1e-8)) < 1e-9 and rows[2, 7].z is None

@@ -71,7 +71,7 @@ def test_row_metrics_and_dispatch(spark):
 
 def test_rewards(spark):
     pairs = [(1, 1), (1, 0), (0, 0), (0, 1)]
-    assert run(spark, pairs, "c int, y int", reward.reward("esma", "c", "y"), reward.reward("alignment", "c", "y"), reward.reward("correct", "c", "y")) == [(2, 1, 1), (1, 0, 1), (1, 1, 0), (0, 0, 0)]
+    assert run(spark, pairs, "c int, y int", reward.reward("combined", "c", "y"), reward.reward("alignment", "c", "y"), reward.reward("correct", "c", "y")) == [(2, 1, 1), (1, 0, 1), (1, 1, 0), (0, 0, 0)]
     got = run(spark, [(1, 3), (1, 0), (0, 0), (0, 3)], "c int, g int", reward.reward("graded", "c", "g"), reward.reward("graded_quadratic", "c", "g"))
     assert got == [(2.0, 2.0), (1.0, 0.0), (1.0, 2.0), (0.0, 0.0)]
     got = run(spark, [(1, 5), (0, 5), (1, 1)], "c int, g int", reward.reward("graded_fok", "c", "g"))
