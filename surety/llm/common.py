@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 500_000
 
 
+_WRITTEN: list[str] = []
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -36,9 +39,19 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession) -> int:
+    """Deletes the tables that this session has written to the shared folder, once their readers are done."""
+    jvm, conf, n = spark._jvm, spark._jsc.hadoopConfiguration(), 0
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        n += path.getFileSystem(conf).delete(path, True)
+    return n
+
+
 def small_side(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if its counted rows fit the limit, else unchanged."""
     n = df.count() if rows is None else rows

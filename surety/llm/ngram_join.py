@@ -37,8 +37,8 @@ from surety.llm.components import components
 
 #: Words remembered by a worker; n-grams gathered before a batch is sent; n-grams in a hash fragment; least fragments.
 MEMO, BATCH, SEGMENT, LEAST = 200_000, 1_000_000, 2_000_000, 48
-#: Sets in a block; n-grams in a fragment of the frequency order.
-BLOCK, FRAGMENT = 256, 4096
+#: Sets in a block; n-grams of a set that count as one set more; n-grams in a fragment of the frequency order.
+BLOCK, LONG, FRAGMENT = 256, 8000, 4096
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -215,13 +215,18 @@ def _ordered(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _candidate_groups(ordered: DataFrame, percent: int) -> DataFrame:
-    """(cid, root, size) of sets that share n-grams of their prefixes, directly or through others."""
+    """(cid, root, weight, size) of sets that share n-grams of their prefixes, directly or through others.
+
+    A set weighs as many as its n-grams would fill, so blocks are bounded in sets and in n-grams; size is the group's
+    weight.
+    """
     prefix = F.slice("shared", F.lit(1), (F.size("shared") - need(F.col("n"), percent) + 1).cast("int"))
     posts = ordered.select("cid", F.explode(prefix).alias("gram"))
     heads = posts.groupBy("gram").agg(F.min("cid").alias("head"), F.count("*").alias("c")).where("c > 1").select("gram", "head")
     roots = materialise(components(posts.join(heads, "gram").select(F.col("cid").alias("a"), F.col("head").alias("b")), "join-groups"), "join-roots")
-    sizes = roots.groupBy("root").agg(F.count("*").alias("size"))
-    return materialise(roots.join(sizes, "root").select(F.col("node").alias("cid"), "root", "size"), "join-sized")
+    weighed = roots.withColumnRenamed("node", "cid").join(ordered.select("cid", F.ceil(F.col("n") / LONG).alias("weight")), "cid")
+    sizes = weighed.groupBy("root").agg(F.sum("weight").alias("size"))
+    return materialise(weighed.join(sizes, "root").select("cid", "root", "weight", "size"), "join-sized")
 
 
 def unit_links(grams: list[np.ndarray], sizes: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -311,7 +316,7 @@ def _pairs(rows):
 
 
 def _block(count):
-    """A set's block among ceil(count / BLOCK) blocks."""
+    """A set's block among ceil(weight / BLOCK) blocks."""
     return F.pmod(F.xxhash64("cid"), F.ceil(count / BLOCK)).cast("long")
 
 
@@ -327,9 +332,9 @@ def set_links(ordered: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     if groups.where(F.col("size") > BLOCK).limit(1).count() == 0:
         return one
     large = groups.where(F.col("size") > BLOCK)
-    named = large.join(components(one, "join-parts").withColumnRenamed("root", "part"), large["cid"] == F.col("node"), "left").select("cid", "root", "size", F.coalesce("part", "cid").alias("part"))
+    named = large.join(components(one, "join-parts").withColumnRenamed("root", "part"), large["cid"] == F.col("node"), "left").select("cid", "root", "weight", "size", F.coalesce("part", "cid").alias("part"))
     named = materialise(named, "join-named")
-    counts = named.groupBy("root", "part").agg(F.count("*").alias("c"))
+    counts = named.groupBy("root", "part").agg(F.sum("weight").alias("c"))
     main = counts.groupBy("root").agg(F.max(F.struct("c", "part")).alias("m"), F.sum("c").alias("all")).select("root", F.col("m.part").alias("main"), (F.col("all") - F.col("m.c")).alias("rest")).where("rest > 0")
     again = named.join(main, "root").join(ordered, "cid").withColumn("v", _block(F.col("size"))).withColumn("u", _block(F.col("rest")))
     range_ = lambda count: F.sequence(F.lit(0).cast("long"), F.ceil(F.col(count) / BLOCK).cast("long") - 1)

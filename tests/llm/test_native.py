@@ -121,3 +121,13 @@ def test_clashing_columns(spark):
     assert b["n_pii"] == 1 and all(b[c] == c for c in names if c != "n_pii")
     c = poisson_mix.poisson_mix(df, epochs=20.0).first().asDict()
     assert c["copy"] >= 1 and all(c[x] == x for x in names if x not in ("copy", "shuffle_key"))
+
+
+def test_tables_are_forgotten(spark):
+    from surety.llm import common
+
+    common.forget(spark)
+    made = common.materialise(spark.range(10), "some")
+    assert made.count() == 10 and common.forget(spark) == 1 and common.forget(spark) == 0
+    with pytest.raises(Exception, match="(?i)exist|found"):
+        made.count()

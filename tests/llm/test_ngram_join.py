@@ -56,6 +56,7 @@ def corpus(seed, n, edits=4):
 @pytest.mark.parametrize("words, percent, block", [(4, 85, 256), (5, 80, 8)])
 def test_components_match_all_pairs(spark, monkeypatch, words, percent, block):
     monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "LONG", 40 * block)
     rows = corpus(3, 360) + [(1000, None), (1001, ""), (1002, " \t\n"), (1003, "one two"), (1004, "ONE\x0btwo"), (1005, "one two three"), (1006, "É é é é"), (1007, "é é é é"), (1008, "x " * 60_000), (1009, "x y z w " * 20_000)]
     df = spark.createDataFrame([(i, t, "n") for i, t in rows], "doc_id long, text string, n_shingles string").repartition(5)
     got = sorted(tuple(r) for r in ngram_join.jaccard_components(df, words=words, percent=percent).collect())
