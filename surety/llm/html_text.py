@@ -1,18 +1,19 @@
-"""Main text of web pages: structure first, a host's suffix array for what structure leaves open.
+"""Main text of web pages by a host's suffix array, with a check by structure.
 
-A page is cut into blocks of visible text. Blocks inside an article (or main) element are content; blocks inside
-menus, headers, footers, sidebars, notices, adverts, forms and reader comments, known by element, role or class, are
-not. The blocks that structure leaves open (all of them on pages without an article) are decided by their host: the
-token streams of its pages are concatenated, a suffix array sorted to DEPTH tokens finds substrings that occur on
-distinct pages, and open blocks covered by them are boilerplate, while their unique runs are kept.
+A page is cut into blocks of visible text. Blocks inside an article (or main) element are content and stand as they
+are, however often a site repeats an article. All other blocks go to their host's suffix array: the token streams of
+its pages are concatenated, suffixes are sorted to DEPTH tokens, substrings that occur on distinct pages are found,
+blocks that they cover are removed as boilerplate and unique runs are kept. The check then removes what furniture is
+left for being unique to its page: blocks inside menus, headers, footers, sidebars, notices, adverts, forms and reader
+comments, known by element, role or class.
 
 A host is dealt out in chunks of about CHUNK characters (by a hash of the page), so a host with any share of the
 pages spreads over many tasks and every task holds one chunk at a time. For hosts of several chunks, substrings that
-repeat across chunks are found by aggregating the fingerprints of their open windows; each chunk gets its host's
-repeated ones as further rows. Only open blocks have windows, so these are few.
+repeat across chunks are found by aggregating the fingerprints of their windows; each chunk gets its host's repeated
+ones as further rows. Articles have no windows, so these are few.
 
 Defined results: a null html gives an empty text; a page without visible content too; a null url is a host of its
-own; exact copies of a page keep their article (only open blocks can be boilerplate); repeated rows each give a row.
+own; exact copies of a page keep their article (only blocks outside one can be boilerplate); repeated rows each give a row.
 """
 
 from __future__ import annotations
@@ -52,7 +53,7 @@ SPACE = re.compile(r"\s+")
 WORD = re.compile(r"[^\W_]+|[^\w\s]")
 #: Inside an article these belong to it.
 TITLES = frozenset("header masthead".split())
-OPEN, KEEP = 0, 1
+OPEN, KEEP, FURNISHED = 0, 1, 2
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -74,17 +75,21 @@ def _furniture(name: str, rest: str, main: bool) -> bool:
 
 
 def blocks(source: str) -> list[tuple[int, str]]:
-    """(KEEP or OPEN, text) of the visible blocks that aren't furniture, in page order."""
-    out, parts, stack = [], [], []  # stack: (name, dropped, main) with what holds inside
+    """(KEEP, OPEN or FURNISHED, text) of the visible blocks in page order; furniture inside a block is one of its own."""
+    out, parts, aside, stack = [], [], [], []  # stack: (name, dropped, main) with what holds inside
     dropped = main = False
     at, n = 0, len(source)
 
     def flush():
-        if parts:
-            text = SPACE.sub(" ", "".join(parts)).strip()
-            if text:
-                out.append((KEEP if main else OPEN, text))
-            parts.clear()
+        for held, kind in ((parts, KEEP if main else OPEN), (aside, FURNISHED)):
+            if held:
+                text = SPACE.sub(" ", "".join(held)).strip()
+                if text:
+                    out.append((kind, text))
+                held.clear()
+
+    def add(text):
+        (aside if dropped else parts).append(text)
 
     def leave(k):
         nonlocal dropped, main
@@ -94,16 +99,15 @@ def blocks(source: str) -> list[tuple[int, str]]:
     while at < n:
         m = TOKEN.search(source, at)
         if m is None:
-            if not dropped:
-                parts.append(html.unescape(source[at:]))
+            add(html.unescape(source[at:]))
             break
-        if m.start() > at and not dropped:
-            parts.append(html.unescape(source[at : m.start()]))
+        if m.start() > at:
+            add(html.unescape(source[at : m.start()]))
         at = m.end()
         name = m["name"] or m["bname"]
         if name is None:
-            if m[0].startswith("<![CDATA[") and not dropped:
-                parts.append(m[0][9:].removesuffix("]]>"))
+            if m[0].startswith("<![CDATA["):
+                add(m[0][9:].removesuffix("]]>"))
             continue
         name = name.lower()
         if m["close"] or m["bad"]:
@@ -132,7 +136,7 @@ def blocks(source: str) -> list[tuple[int, str]]:
         rest = m["rest"] or ""
         if name in VOID:
             if name == "br":
-                parts.append("\n") if not dropped else None
+                add("\n")
             elif name not in INLINE:
                 flush()
             continue
@@ -252,17 +256,19 @@ def unique_runs(text: str, covered: np.ndarray) -> str:
 
 
 def clean(parsed: list[list[tuple[int, str]]], known: frozenset = frozenset()) -> list[str]:
-    """Texts of the pages of one host. Only open blocks are looked up; content stays as it is."""
-    found, _ = repeated([[t for k, t in p if k == OPEN] for p in parsed], known=known)
+    """Texts of the pages of one host. Blocks outside articles are looked up; content stays as it is."""
+    found, _ = repeated([[t for k, t in p if k != KEEP] for p in parsed], known=known)
     out = []
     for page, hits in zip(parsed, found, strict=True):
         lines, at = [], 0
         for kind, text in page:
-            if kind == OPEN:
+            if kind != KEEP:
                 covered = hits[at]
                 at += 1
                 if len(covered) and covered.mean() >= COVERED:
                     continue
+                if kind == FURNISHED:
+                    continue
                 if covered.any():
                     text = unique_runs(text, covered)
             if text:
@@ -293,13 +299,13 @@ def _groups(batches, names):
 
 
 def _windows(pages: DataFrame, source: str) -> DataFrame:
-    """(_host, _code, _page) of the windows of open blocks."""
+    """(_host, _code, _page) of the windows of blocks outside articles."""
 
     def run(batches):
         for batch in batches:
             rows = []
             for host, page, text in zip(*(batch.column(c).to_pylist() for c in ("_host", "_page", source)), strict=True):
-                marks = repeated([[t for k, t in blocks(text or "") if k == OPEN]])[1]
+                marks = repeated([[t for k, t in blocks(text or "") if k != KEEP]])[1]
                 rows += [(host, c - (1 << 64) if c >> 63 else c, page) for c in marks]
             made = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(made, (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["_host", "_code", "_page"])

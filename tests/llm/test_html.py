@@ -16,7 +16,7 @@ TEXT = "Head&&am\nOne two three four\nFive <b> é\na\nb"
 
 
 def texts(source):
-    return "\n".join(t for _, t in H.blocks(source))
+    return "\n".join(t for k, t in H.blocks(source) if k != H.FURNISHED)
 
 
 @pytest.mark.parametrize(
@@ -27,6 +27,10 @@ def test_blocks(source, want):
     assert texts(source) == want
 
 
+def test_furniture_is_kept_apart():
+    assert H.blocks("<p>a <span class=ad>buy</span> b</p><nav>m<br>n</nav>") == [(H.OPEN, "a b"), (H.FURNISHED, "buy"), (H.FURNISHED, "m n")]
+
+
 def test_suffix_ranks_match_sorted_suffixes():
     rng = random.Random(1)
     for depth in (1, 3, 5, 12):
