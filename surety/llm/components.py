@@ -1,8 +1,9 @@
 """Connected components by alternating large-star and small-star steps (Kiveris et al.), in DataFrame operations.
 
 Edges are rewired towards the smallest node until nothing changes; every step is written to the shared folder, so the
-lineage stays short and a lost executor costs one step. No node's neighbours are gathered: minima are aggregated with
-partial sums and joined back, and the joins can be split where a node has very many edges.
+lineage stays short and a lost executor costs one step. No node's neighbours are gathered: minima are aggregated
+partially, written and joined back, so that both sides of the joins are plain exchanges, which can be split where a node
+has very many edges.
 """
 
 from __future__ import annotations
@@ -15,13 +16,13 @@ from surety.llm.common import materialise
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    least = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
     return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """edges: a > b."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    least = materialise(edges.groupBy("a").agg(F.min("b").alias("m")), "least")
     moved = edges.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
@@ -35,6 +36,6 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         if mark == before or mark[0] == 0:
             break
         before = mark
-        now = materialise(_small_star(_large_star(now)), label)
+        now = materialise(_small_star(materialise(_large_star(now), label)), label)
     nodes = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return nodes.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -208,7 +208,8 @@ def _survivors(df, sets, text, key, words, percent) -> DataFrame:
 def _ordered(sets: DataFrame, percent: int) -> DataFrame:
     """(cid, n, shared): the n-grams that occur in several sets, rarest first, of sets with enough of them."""
     rows = sets.select("cid", "n", F.explode("grams").alias("gram"))
-    often = rows.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
+    # written first: a join of two plain exchanges can be split where one n-gram fills a partition
+    often = materialise(rows.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1"), "join-often")
     kept = rows.join(often, "gram").groupBy("cid", "n").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("s"))
     kept = kept.where(F.size("s") >= need(F.col("n"), percent))
     return materialise(kept.select("cid", "n", F.col("s.gram").alias("shared")), "join-ordered")
@@ -222,7 +223,7 @@ def _candidate_groups(ordered: DataFrame, percent: int) -> DataFrame:
     """
     prefix = F.slice("shared", F.lit(1), (F.size("shared") - need(F.col("n"), percent) + 1).cast("int"))
     posts = ordered.select("cid", F.explode(prefix).alias("gram"))
-    heads = posts.groupBy("gram").agg(F.min("cid").alias("head"), F.count("*").alias("c")).where("c > 1").select("gram", "head")
+    heads = materialise(posts.groupBy("gram").agg(F.min("cid").alias("head"), F.count("*").alias("c")).where("c > 1").select("gram", "head"), "join-heads")
     roots = materialise(components(posts.join(heads, "gram").select(F.col("cid").alias("a"), F.col("head").alias("b")), "join-groups"), "join-roots")
     weighed = roots.withColumnRenamed("node", "cid").join(ordered.select("cid", F.ceil(F.col("n") / LONG).alias("weight")), "cid")
     sizes = weighed.groupBy("root").agg(F.sum("weight").alias("size"))
