@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from surety.functions import logits, reward, score, text
 from surety.operators import compare, cost, evolve, metrics, tensor, transfer
