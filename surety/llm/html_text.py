@@ -189,59 +189,51 @@ def suffix_ranks(tokens: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray
     return np.argsort(rank, kind="stable"), rank
 
 
-def repeated(pages: list[list[str]], depth: int = DEPTH, known: frozenset = frozenset()) -> tuple[list[list[np.ndarray]], dict[int, int]]:
+def windows(texts: list[str], depth: int):
+    """Tokens of the texts in a row, the text of each, and for each token the length and fingerprint of the window that
+    starts there: depth tokens, or all of a text that has fewer; 0 where none does."""
+    tokens, owner = stream(texts)
+    n = len(tokens)
+    counts = np.bincount(owner, minlength=len(texts))
+    start = (np.cumsum(counts) - counts)[owner]
+    place = np.arange(n)
+    whole = (counts[owner] < depth) & (place == start)
+    length = np.where(start + counts[owner] - place >= depth, depth, np.where(whole, counts[owner], 0))
+    code = np.zeros(n, np.uint64)
+    for k in range(min(depth, n)):
+        use = np.flatnonzero(length > k)
+        mixed = (code[use] ^ tokens[use + k]) * _P
+        code[use] = mixed ^ (mixed >> np.uint64(29))
+    return tokens, owner, length, code
+
+
+def repeated(pages: list[list[str]], depth: int = DEPTH, known: frozenset = frozenset()) -> list[list[np.ndarray]]:
     """For every block of every page: which of its tokens lie in a substring of depth tokens (or a shorter block as a
-    whole) that occurs on another page, or whose fingerprint is known; and the page of each fingerprint."""
+    whole) that occurs on another page, or whose fingerprint is known."""
     texts = [t for p in pages for t in p]
     page_of = np.repeat(np.arange(len(pages)), [len(p) for p in pages])
-    tokens, owner = stream(texts)
+    tokens, owner, length, code = windows(texts, depth)
     n = len(tokens)
     cover = np.zeros(n + 1, np.int64)
-    marks: dict[int, int] = {}
     if n:
-        counts = np.bincount(owner, minlength=len(texts))
-        start = np.concatenate([[0], np.cumsum(counts)[:-1]])
-        # substrings stay inside their block; a block shorter than depth counts as one substring
-        room = (start + counts)[owner] - np.arange(n)
-        length = np.where(room >= depth, depth, 0)
-        short = (counts[owner] < depth) & (np.arange(n) == start[owner])
-        length = np.where(short, counts[owner], length)
         order, rank = suffix_ranks(tokens, depth)
-        code = np.zeros(n, np.uint64)
-        for k in range(depth):
-            inside = np.arange(n) + k < n
-            nxt = np.zeros(n, np.uint64)
-            nxt[: n - k] = tokens[k:]
-            use = inside & (k < length)
-            code = np.where(use, (code ^ nxt) * _P, code)
-            code ^= np.where(use, code >> np.uint64(29), np.uint64(0))
-        key = np.where(length == depth, rank, 0)
-        runs = order[key[order] > 0]
-        same_page = page_of[owner]
-        hit = np.zeros(n, bool)
-        for members, label in ((runs, rank), (np.flatnonzero(short), code)):
+        page, hit = page_of[owner], np.zeros(n, bool)
+        short = np.flatnonzero((length > 0) & (length < depth))
+        for members, label in ((order[length[order] == depth], rank), (short[np.argsort(code[short], kind="stable")], code)):
             if not len(members):
                 continue
-            members = members[np.argsort(label[members], kind="stable")]
             values = label[members]
             edge = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
-            low = np.minimum.reduceat(same_page[members], edge)
-            high = np.maximum.reduceat(same_page[members], edge)
-            hit[members] = np.repeat(low != high, np.diff(np.append(edge, len(members))))
-        valid = np.flatnonzero(length > 0)
+            many = np.minimum.reduceat(page[members], edge) != np.maximum.reduceat(page[members], edge)
+            hit[members] = np.repeat(many, np.diff(np.append(edge, len(members))))
         if known:
-            hit[valid] |= np.isin(code[valid], np.fromiter(known, np.uint64, len(known)))
-        marks = dict(zip(code[valid].tolist(), same_page[valid].tolist(), strict=True))
+            hit |= (length > 0) & np.isin(code, np.fromiter(known, np.uint64, len(known)))
         at = np.flatnonzero(hit)
         np.add.at(cover, at, 1)
         np.add.at(cover, at + length[at], -1)
-    covered = np.cumsum(cover)[:-1] > 0 if n else np.zeros(0, bool)
-    split = np.split(covered, np.cumsum(np.bincount(owner, minlength=len(texts)))[:-1]) if n else [np.zeros(0, bool)] * len(texts)
-    out, k = [], 0
-    for p in pages:
-        out.append(split[k : k + len(p)])
-        k += len(p)
-    return out, marks
+    covered = np.cumsum(cover)[:-1] > 0
+    parts = iter(np.split(covered, np.cumsum(np.bincount(owner, minlength=len(texts)))[:-1]) if texts else [])
+    return [[next(parts) for _ in p] for p in pages]
 
 
 def unique_runs(text: str, covered: np.ndarray) -> str:
@@ -257,7 +249,7 @@ def unique_runs(text: str, covered: np.ndarray) -> str:
 
 def clean(parsed: list[list[tuple[int, str]]], known: frozenset = frozenset()) -> list[str]:
     """Texts of the pages of one host. Blocks outside articles are looked up; content stays as it is."""
-    found, _ = repeated([[t for k, t in p if k != KEEP] for p in parsed], known=known)
+    found = repeated([[t for k, t in p if k != KEEP] for p in parsed], known=known)
     out = []
     for page, hits in zip(parsed, found, strict=True):
         lines, at = [], 0
@@ -303,12 +295,13 @@ def _windows(pages: DataFrame, source: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for host, page, text in zip(*(batch.column(c).to_pylist() for c in ("_host", "_page", source)), strict=True):
-                marks = repeated([[t for k, t in blocks(text or "") if k != KEEP]])[1]
-                rows += [(host, c - (1 << 64) if c >> 63 else c, page) for c in marks]
-            made = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(made, (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["_host", "_code", "_page"])
+            parsed = [[t for k, t in blocks(text or "") if k != KEEP] for text in batch.column(source).to_pylist()]
+            row_of = np.repeat(np.arange(len(parsed)), [len(p) for p in parsed])
+            _, owner, length, code = windows([t for p in parsed for t in p], DEPTH)
+            at = np.flatnonzero(length)
+            pairs = np.unique(np.stack([row_of[owner[at]].astype(np.uint64), code[at]], axis=1), axis=0)
+            rows = pa.array(pairs[:, 0].astype(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("_host").take(rows), pa.array(pairs[:, 1].view(np.int64)), batch.column("_page").take(rows)], names=["_host", "_code", "_page"])
 
     return map_batches(pages.select("_host", "_page", source), run, "_host string, _code long, _page long")
 
