@@ -1,9 +1,9 @@
 """Connected components by alternating large-star and small-star steps (Kiveris et al.), in DataFrame operations.
 
-Edges are rewired towards the smallest node until nothing changes; every step is written to the shared folder, so the
-lineage stays short and a lost executor costs one step. No node's neighbours are gathered: minima are aggregated
-partially, written and joined back, so that both sides of the joins are plain exchanges, which can be split where a node
-has very many edges.
+Edges are rewired towards the smallest node until every component is a star; every step is written to the shared folder, so the
+lineage stays short and a lost executor costs one step. No node's neighbours are gathered into a row: minima are
+aggregated partially and joined back. The rows of one node (a few longs each) do meet in one task of that join, streamed
+and spilled by the sort.
 """
 
 from __future__ import annotations
@@ -16,26 +16,28 @@ from surety.llm.common import materialise
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
+    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
     return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """edges: a > b."""
-    least = materialise(edges.groupBy("a").agg(F.min("b").alias("m")), "least")
+    least = edges.groupBy("a").agg(F.min("b").alias("m"))
     moved = edges.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
+def _unsettled(edges: DataFrame) -> bool:
+    """Whether some node has two parents, or a parent and children: if none has, all components are stars."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("up")))
+    of = ends.groupBy("node").agg(F.sum("up").alias("parents"), F.min("up").alias("least"))
+    return of.where("parents > 1 or (parents = 1 and least = 0)").limit(1).count() > 0
+
+
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """(node, root) for the nodes of edges (a, b: longs), root being the smallest node reachable."""
     now = materialise(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), label)
-    before = None
-    while True:
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003), F.sum(F.col("b") % 1_000_003)).first()
-        if mark == before or mark[0] == 0:
-            break
-        before = mark
-        now = materialise(_small_star(materialise(_large_star(now), label)), label)
+    while _unsettled(now):
+        now = materialise(_small_star(_large_star(now)), label)
     nodes = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return nodes.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
