@@ -53,3 +53,11 @@ def test_query_matches_sql(spark, con, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(ORACLES) <= set(QUERIES)
+
+
+@needs_data
+def test_containment_by_windows_equals_the_nested_loop(spark):
+    from surety.plans import views
+
+    a, b = (sorted(tuple(r) for r in views.containment(spark, SF, few).collect()) for few in (1000, 0))
+    assert a == b and a
