@@ -1,9 +1,8 @@
 """Connected components by alternating large-star and small-star steps (Kiveris et al.), in DataFrame operations.
 
 Edges are rewired towards the smallest node until every component is a star; every step is written to the shared folder, so the
-lineage stays short and a lost executor costs one step. No node's neighbours are gathered into a row: minima are
-aggregated partially and joined back. The rows of one node (a few longs each) do meet in one task of that join, streamed
-and spilled by the sort.
+lineage stays short and a lost executor costs one step. No node's neighbours are gathered: minima are aggregated
+partially and joined back, those of nodes with very many edges by a broadcast of bounded size.
 """
 
 from __future__ import annotations
@@ -14,17 +13,37 @@ from pyspark.sql import functions as F
 from surety.llm.common import materialise
 
 
+#: A node with more edges than this, and than the edges divided by half of it, is hot; so there are at most so many.
+HOT = 100_000
+
+
+def _with_least(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """rows (a, b) with m, the least neighbour of a in edges.
+
+    A hot node's rows take m from a broadcast, whose size the definition of hot bounds, and aren't shuffled; all other
+    nodes have few rows and are joined.
+    """
+    least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("edges"))
+    n = edges.count()
+    limit = max(HOT, 2 * n // HOT)
+    if n <= limit:
+        return rows.join(least.select("a", "m"), "a")
+    hot = materialise(least.where(F.col("edges") > limit).select("a", F.col("m").alias("hot")), "hot-nodes")
+    marked = rows.join(F.broadcast(hot), "a", "left")
+    cold = marked.where("hot is null").select("a", "b").join(least.select("a", "m"), "a")
+    return marked.where("hot is not null").select("a", "b", F.col("hot").alias("m")).unionByName(cold)
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+    least = _with_least(both, both).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
+    return least.where("a != b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """edges: a > b."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+    moved = _with_least(edges, edges).where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return moved.unionByName(edges.groupBy("a").agg(F.min("b").alias("b"))).distinct()
 
 
 def _unsettled(edges: DataFrame) -> bool:

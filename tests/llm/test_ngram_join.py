@@ -86,9 +86,11 @@ def test_repeated_rows_and_empty_tables(spark):
     assert kept == ["1", "3", "None"] or kept == ["1", "3", "None", "None"]
 
 
-def test_components_of_random_graphs(spark):
+@pytest.mark.parametrize("hot", [100_000, 8])
+def test_components_of_random_graphs(spark, monkeypatch, hot):
+    monkeypatch.setattr(components, "HOT", hot)
     rng = random.Random(1)
-    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(260)] + [(i, i + 1) for i in range(400, 460)]
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(260)] + [(i, i + 1) for i in range(400, 460)] + [(900, i) for i in range(901, 1600)] + [(i, 2000) for i in range(1800, 2000)]
     parent = {x: x for e in edges for x in e}
 
     def find(i):
