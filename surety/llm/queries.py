@@ -92,4 +92,13 @@ _POISSON_SQL = """WITH n AS (SELECT source, count(*)::DOUBLE AS n FROM documents
   e AS (SELECT doc_id, source, unnest(range(1, k + 1)) AS copy FROM k)
   SELECT doc_id, source, copy, ('0x' || substr(md5('17:order:' || doc_id || ':' || copy), 1, 13))::BIGINT AS shuffle_key FROM e"""
 
-ORACLES = {"op1_secret_scan": _secret_sql(), "op9_poisson_mix": _POISSON_SQL}
+_JACCARD_SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+  s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS g FROM w),
+  e AS (SELECT doc_id, len(g) AS n, unnest(g) AS g FROM s),
+  o AS (SELECT g FROM e GROUP BY g HAVING count(*) > 1),
+  f AS (SELECT e.* FROM e JOIN o USING (g)),
+  l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM f a JOIN f b ON a.g = b.g GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+  r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+  SELECT s.doc_id, len(s.g)::BIGINT AS n_shingles, (SELECT min(r.b) FROM r WHERE r.a = s.doc_id) AS component_id FROM s"""
+
+ORACLES = {"op1_secret_scan": _secret_sql(), "op9_poisson_mix": _POISSON_SQL, "op10_ngram_jaccard": _JACCARD_SQL}
