@@ -6,7 +6,8 @@ numbers (10 digits), social-security numbers (9), IPv4 addresses (32 bits) and c
 72,900 days). E-mail addresses, having no numeric format, become keyed hashes of the whole address.
 
 Defined results: a null text stays null with counts 0; texts without such values are unchanged, character by
-character; digit runs that fail validation are unchanged; repeated rows are treated alike; other columns pass through, but one named n_pii is replaced.
+character; digit runs without a valid card are unchanged. A card is one or more whole groups of digits of a run, 13 to 19 digits
+joined by single blanks or hyphens, found from the left in what the fixed formats leave; repeated rows are treated alike; other columns pass through, but one named n_pii is replaced.
 """
 
 from __future__ import annotations
@@ -17,16 +18,18 @@ from pyspark.sql import functions as F
 from surety.llm.common import ROW, packed
 
 ROUNDS = 8
-#: Fixed formats, in order of preference at one place.
+#: Fixed formats, in order of preference at one place; runs of digits that may hold cards.
 FORMATS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}(?![A-Za-z0-9-])",
-    "phone": r"\+1[ .-]?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9A-Za-z(+.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}(?![0-9A-Za-z-])",
+    "phone": r"(?:\+1[ .-]?|(?<![0-9A-Za-z(+.-])1[ .-])(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])|(?<![0-9A-Za-z(+.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z-])",
     "ip": r"(?<![0-9A-Za-z.-])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9A-Za-z]|\.[0-9])",
     "date": r"(?<![0-9A-Za-z-])(?:19|20)[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])(?![0-9A-Za-z-])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
-    "card": r"(?<![0-9A-Za-z.-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z-])",
 }
 ANY = "|".join(f"(?:{p})" for p in FORMATS.values())
+RUN = r"(?<![0-9A-Za-z.-])[0-9][0-9 -]{11,}[0-9](?![0-9A-Za-z-])"
+#: One card's digits and separators.
+CARD = r"^[0-9](?:[ -]?[0-9]){12,18}$"
 #: Days in a block of dates, 270 * 270, counted from 1900-01-01.
 SIDE, EPOCH = 270, "1900-01-01"
 
@@ -76,7 +79,48 @@ def _card(value: Column, key: str) -> Column:
     digits = F.regexp_replace(value, "[^0-9]", "")
     body = F.concat(F.substring(digits, 1, 1), permute_digits(F.substring(digits, F.lit(2), F.length(digits) - 2), key, "card"))
     check = F.pmod(-luhn_sum(F.concat(body, F.lit("0"))), F.lit(10)).cast("string")
-    return F.when(luhn_sum(digits) % 10 == 0, _refill(value, F.concat(body, check))).otherwise(value)
+    return _refill(value, F.concat(body, check))
+
+
+def _once(value: Column, use) -> Column:
+    """use(value), with the value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _run(value: Column, key: str) -> Column:
+    """(n, new): how many cards a run of digit groups holds, and the run with their pseudonyms."""
+
+    def replaced(tokens):
+        n = F.size(tokens)
+        part = lambda i, j: F.array_join(F.slice(tokens, i, j - i + 1), "")
+        valid = lambda v: v.rlike(CARD) & (luhn_sum(F.regexp_replace(v, "[^0-9]", "")) % 10 == 0)
+        # a card that begins with token i has at most 19 groups
+        last = lambda i: F.get(F.filter(F.sequence(i, F.least(i + 36, n), F.lit(2)), lambda j: valid(part(i, j))), F.lit(0))
+        found = F.filter(F.transform(F.sequence(F.lit(1), n, F.lit(2)), lambda i: F.struct(i.alias("i"), last(i).alias("j"))), lambda x: x["j"].isNotNull())
+        none = F.array().cast("array<struct<i:int,j:int,after:int>>")
+
+        def pick(s, x):
+            more = F.concat(s["picks"], F.array(F.struct(x["i"].alias("i"), x["j"].alias("j"), s["next"].alias("after"))))
+            return F.when(x["i"] >= s["next"], F.struct((x["j"] + 1).alias("next"), more.alias("picks"))).otherwise(s)
+
+        def joined(s):
+            made = F.transform(s["picks"], lambda x: F.concat(part(x["after"], x["i"] - 1), _once(part(x["i"], x["j"]), lambda v: _card(v, key))))
+            return F.struct(F.size(s["picks"]).alias("n"), F.concat(F.array_join(made, ""), part(s["next"], n)).alias("new"))
+
+        return F.aggregate(found, F.struct(F.lit(1).alias("next"), none.alias("picks")), pick, joined)
+
+    return _once(F.regexp_extract_all(value, F.lit("[0-9]+|[^0-9]+"), F.lit(0)), replaced)
+
+
+def _cards(gap: Column, key: str) -> Column:
+    """(n, new): the cards in a text without fixed formats, and the text with their pseudonyms."""
+
+    def joined(runs):
+        text = F.array_join(F.zip_with(F.split(gap, RUN, -1), runs, lambda rest, r: F.concat(rest, F.coalesce(r["new"], F.lit("")))), "")
+        return F.struct(F.aggregate(runs, F.lit(0), lambda s, r: s + r["n"]).alias("n"), text.alias("new"))
+
+    runs = F.transform(F.regexp_extract_all(gap, F.lit(RUN), F.lit(0)), lambda v: _run(v, key))
+    return F.when(gap.rlike(RUN), _once(runs, joined)).otherwise(F.struct(F.lit(0).alias("n"), gap.alias("new")))
 
 
 def _ip(value: Column, key: str) -> Column:
@@ -112,24 +156,25 @@ def pseudonym(value: Column, key: str) -> Column:
     whole = lambda kind: value.rlike(f"^(?:{FORMATS[kind].replace('(?<!', '(?<!')})$")
     return (
         F.when(F.contains(value, F.lit("@")), _email(value, key))
-        .when(value.rlike(r"^\+1"), _digits(value, key, "phone", 1))
-        .when(value.rlike(r"^\(?[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}$"), _digits(value, key, "phone"))
+        .when(value.rlike(r"^(?:\+1|1[ .-])"), _digits(value, key, "phone", 1))
+        .when(value.rlike(r"^\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}$"), _digits(value, key, "phone"))
         .when(whole("ip"), _ip(value, key))
         .when(whole("date"), _date(value, key))
-        .when(whole("ssn"), _digits(value, key, "ssn"))
-        .otherwise(_card(value, key))
+        .otherwise(_digits(value, key, "ssn"))
     )
 
 
 def pseudonymise(df: DataFrame, text="text", key="surety-demo-key", counts=True) -> DataFrame:
     """df with pseudonyms in its text; counts adds ``n_pii`` (values changed). key: the secret of the permutations."""
     body = F.col(ROW)[text]
-    hit = F.coalesce(body.rlike("[0-9@]") & body.rlike(ANY), F.lit(False))
+    hit = F.coalesce(body.rlike("[0-9@]") & (body.rlike(ANY) | body.rlike(RUN)), F.lit(False))
     rows = packed(df).withColumn("hit", hit)
     rows = rows.withColumn("old", F.when(F.col("hit"), F.regexp_extract_all(body, F.lit(ANY), F.lit(0))))
     rows = rows.withColumn("new", F.transform("old", lambda v: pseudonym(v, key)))
-    pieces = F.zip_with(F.split(body, ANY, -1), F.col("new"), lambda gap, new: F.concat(gap, F.coalesce(new, F.lit(""))))
-    changed = F.size(F.filter(F.zip_with("old", "new", lambda a, b: a != b), lambda x: x))
+    # cards are looked for in the gaps between the fixed formats
+    rows = rows.withColumn("gaps", F.when(F.col("hit"), F.transform(F.split(body, ANY, -1), lambda gap: _cards(gap, key))))
+    pieces = F.zip_with("gaps", "new", lambda gap, new: F.concat(gap["new"], F.coalesce(new, F.lit(""))))
+    changed = F.size(F.filter(F.zip_with("old", "new", lambda a, b: a != b), lambda x: x)) + F.aggregate("gaps", F.lit(0), lambda s, g: s + g["n"])
     made = {text: F.when(F.col("hit"), F.array_join(pieces, "")).otherwise(body)}
     if counts:
         made["n_pii"] = F.when(F.col("hit"), changed).otherwise(0).cast("bigint")

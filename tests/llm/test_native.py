@@ -131,3 +131,33 @@ def test_tables_are_forgotten(spark):
     assert made.count() == 10 and common.forget(spark) == 1 and common.forget(spark) == 0
     with pytest.raises(Exception, match="(?i)exist|found"):
         made.count()
+
+
+def test_cards_beside_other_digits_and_phones_in_other_forms(spark):
+    card, spaced = "4111111111111111", "4111 1111 1111 1111"
+    shapes = {
+        f"{spaced} 12/27": r"(\d{4} \d{4} \d{4} \d{4}) 12/27",
+        f"{card} 123": r"(\d{16}) 123",
+        f"2 {card}": r"2 (\d{16})",
+        f"n 7 {spaced} 99 {card} 123-45-6789": r"n 7 (\d{4} \d{4} \d{4} \d{4}) 99 (\d{16}) (\d{3}-\d\d-\d{4})",
+        "12345 123-45-6789": r"12345 (\d{3}-\d\d-\d{4})",
+        "4512 555-123-4567": r"4512 (\d{3}-\d{3}-\d{4})",
+        "call +1-555-123-4567": r"call \+1-(\d{3}-\d{3}-\d{4})",
+        "call 555 123 4567 now": r"call (\d{3} \d{3} \d{4}) now",
+        "1-555-123-4567": r"1-(\d{3}-\d{3}-\d{4})",
+    }
+    same = ["4111111111111112 123", "1 2 3 4 5 6 7 8 9 1 2 3", "9 " * 2000]
+    texts = [*shapes, *same]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: r for r in pii.pseudonymise(df).collect()}
+    cards, phones = set(), set()
+    for i, (text, shape) in enumerate(shapes.items()):
+        m = re.fullmatch(shape, out[i].text)
+        assert m and out[i].n_pii == len(m.groups()), (text, out[i].text)
+        for g in m.groups():
+            digits = re.sub(r"\D", "", g)
+            assert g not in text
+            (cards if len(digits) == 16 else phones if len(digits) == 10 else set()).add(digits)
+    assert len(cards) == len(phones) == 1 and luhn(cards.pop())
+    for i, text in enumerate(same[:2], len(shapes)):
+        assert out[i].text == text and out[i].n_pii == 0
