@@ -31,6 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from surety.llm.common import map_batches, materialise, small_side
 from surety.llm.components import components
@@ -344,8 +345,8 @@ def set_links(ordered: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     return one.unionByName(materialise(_verify(every.unionByName(rest), percent), "join-links"))
 
 
-def jaccard_components(df: DataFrame, text="text", key="doc_id", words=4, percent=85) -> DataFrame:
-    """(key, n_shingles, component_id), one row per row of df."""
+def _named(df: DataFrame, text: str, key: str, words: int, percent: int) -> DataFrame:
+    """(key, n_shingles, _digest, _name, _class) of every row: its component's name and number (its digest if alone)."""
     sets = materialise(class_sets(df, text, key, words), "join-classes")
     survivors = _survivors(df, sets, text, key, words, percent)
     ordered = _ordered(survivors, percent)
@@ -354,19 +355,45 @@ def jaccard_components(df: DataFrame, text="text", key="doc_id", words=4, percen
     named = survivors.select("cid", "_digest").join(roots, F.col("cid") == F.col("node")).select("_digest", "root")
     reps = sets.where("_digest is not null").groupBy("_digest").agg(F.min(key).alias("_rep")).join(named, "_digest", "left")
     least = reps.where("root is not null").groupBy("root").agg(F.min("_rep").alias("_least"))
-    names = reps.join(least, "root", "left").select("_digest", F.coalesce("_least", "_rep").alias("_name"))
-    out = sets.join(names, "_digest", "left")
+    names = reps.join(least, "root", "left").select("_digest", F.coalesce("_least", "_rep").alias("_name"), F.coalesce(F.col("root").cast("string"), F.hex("_digest")).alias("_class"))
+    return sets.join(names, "_digest", "left").select(key, "n_shingles", "_digest", "_name", "_class")
+
+
+def jaccard_components(df: DataFrame, text="text", key="doc_id", words=4, percent=85) -> DataFrame:
+    """(key, n_shingles, component_id), one row per row of df."""
+    out = _named(df, text, key, words, percent)
     return out.select(key, "n_shingles", F.when(F.col("n_shingles") > 0, F.col("_name")).otherwise(F.col(key)).alias("component_id"))
 
 
 def keep_one(df: DataFrame, text="text", key="doc_id", words=5, percent=80) -> DataFrame:
-    """df with one row of each component, the one of the smallest key; rows without n-grams all stay."""
-    named = materialise(jaccard_components(df, text, key, words, percent), "join-named")
-    stay = named.where((F.col("component_id") == F.col(key)) | (F.col("n_shingles") == 0) | F.col("component_id").isNull())
-    kept = df.join(small_side(stay.select(F.col(key).alias("_stay")).distinct()), F.col(key).eqNullSafe(F.col("_stay")), "left_semi")
-    twice = materialise(named.where("n_shingles > 0").groupBy(key).count().where("count > 1").select(F.col(key).alias("_twice")), "join-repeats")
-    if twice.limit(1).count() == 0:
+    """df with one row of each component, one of the smallest key; rows without n-grams all stay.
+
+    Keys that are null or repeat don't tell rows apart, so theirs are told by the digests of their sets: a component
+    stays as one (key, digest), and of the rows that share both, one stays.
+    """
+    named = materialise(_named(df, text, key, words, percent), "join-named")
+    # nulls come last, as in the names
+    first = named.where("n_shingles > 0").groupBy("_class").agg(F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("k"), F.col("_digest").alias("d"))).alias("m"))
+    stay = materialise(first.select(F.col("m.k").alias("_stay"), F.col("m.d").alias("_kept")), "join-stay")
+    often = materialise(named.groupBy(key).agg(F.count("*").alias("c")).where(F.col("c") > 1).select(F.col(key).alias("_twice")), "join-repeats")
+    often = often.unionByName(stay.where("_stay is null").select(F.col("_stay").alias("_twice"))).distinct()
+    plain = stay.select("_stay").unionByName(named.where("n_shingles = 0").select(F.col(key).alias("_stay"))).distinct()
+    kept = df.join(small_side(plain), F.col(key).eqNullSafe(F.col("_stay")), "left_semi")
+    if often.limit(1).count() == 0:
         return kept
-    both = small_side(twice)
+    both = small_side(often)
     single = kept.join(both, F.col(key).eqNullSafe(F.col("_twice")), "left_anti")
-    return single.unionByName(kept.join(both, F.col(key).eqNullSafe(F.col("_twice")), "left_semi").dropDuplicates([key]))
+    # only rows of unclear keys have their digests made again
+    unclear, columns = kept.join(both, F.col(key).eqNullSafe(F.col("_twice")), "left_semi"), df.columns
+
+    def mark(batches):
+        shingle = Shingler(words)
+        for batch in batches:
+            made = [shingle(t) for t in batch.column(text).to_pylist()]
+            marks = pa.array([digest(s) if len(s) else None for s in made], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, marks], names=[*columns, "_digest"])
+
+    schema = T.StructType([*df.schema.fields, T.StructField("_digest", T.BinaryType())])
+    marked = materialise(map_batches(unclear, mark, schema), "join-unclear")
+    chosen = marked.join(stay, F.col(key).eqNullSafe(F.col("_stay")) & (F.col("_digest") == F.col("_kept")), "left_semi")
+    return single.unionByName(chosen.dropDuplicates([key, "_digest"]).select(*columns)).unionByName(marked.where("_digest is null").select(*columns))

@@ -104,3 +104,12 @@ def test_components_of_random_graphs(spark, monkeypatch, hot):
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     looped = {a for a, b in edges if a == b}
     assert all(got.get(x, x) == find(x) for x in parent) and set(parent) - set(got) <= looped
+
+
+def test_rows_of_null_and_repeated_keys_are_told_apart(spark):
+    text = lambda c: " ".join(f"{c}{i}" for i in range(40))
+    rows = [(None, text("a")), (None, text("b")), (None, text("b")), (None, None), (None, ""), (5, text("c")), (5, text("d")), (6, text("d") + " tail"), (2, text("e")), (7, text("e")), (7, text("f")), (8, None), (8, text("g"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = sorted(repr((r.doc_id, r.text)) for r in ngram_join.keep_one(df).collect())
+    want = [(None, text("a")), (None, text("b")), (None, None), (None, ""), (5, text("c")), (5, text("d")), (2, text("e")), (7, text("f")), (8, None), (8, text("g"))]
+    assert kept == sorted(map(repr, want))
