@@ -2,9 +2,9 @@
 
 One pass over whole texts gives each document's counts. Base rules reject documents of fewer than 20 words or with
 more than 30 % of their words in repeated 8-word windows. For the others, ratios of those counts go to an isolation
-forest: random splits isolate unusual documents on short paths. The trees are grown on the rows with the smallest
-hashes (at most TREES * SAMPLE of them, a documented bound); scores and the threshold cover all rows: the threshold is
-the anomaly score that separates labelled bad rows best while losing at most LOSS of all labelled good rows.
+forest: random splits isolate unusual documents on short paths. The trees are grown on the exact histogram of the
+feature vectors of all rows: each tree draws half a sample by their counts and is dealt others regardless of counts,
+so every vector is in a tree, however rare. Scores and the threshold cover all rows: the threshold is the anomaly score that separates labelled bad rows best while losing at most LOSS of all labelled good rows.
 
 Defined results: a null text has no words and fails the base rules; without labelled rows of both kinds no threshold
 can be calibrated and the forest rejects nothing; repeated rows are treated alike; an empty table gives no rows.
@@ -117,8 +117,16 @@ def _mean_path(n: int) -> float:
 class Forest:
     """Trees as flat arrays: feature (-1: leaf), split, left child, path length at leaves."""
 
-    def __init__(self, rows: np.ndarray, trees=TREES, sample=SAMPLE, seed=SEED):
+    def __init__(self, rows: np.ndarray, trees=TREES, sample=SAMPLE, seed=SEED, counts: np.ndarray | None = None):
+        """Trees on samples of rows or, with counts, on rows that are distinct and occur that often."""
         rng = np.random.default_rng(seed)
+        if counts is not None:
+            own = max(-(-len(rows) // trees), min(len(rows), sample // 2))
+            deal, drawn = rng.permutation(len(rows)), max(sample - own, sample // 2)
+            self.norm = _mean_path(own + drawn)
+            parts = [np.append(deal[np.arange(t * own, (t + 1) * own) % len(rows)], rng.choice(len(rows), drawn, p=counts / counts.sum())) for t in range(trees)]
+            self.trees = [self._grow(rows[part], rng) for part in parts]
+            return
         self.norm = _mean_path(min(sample, len(rows))) or 1.0
         self.trees = [self._grow(rows[rng.choice(len(rows), min(sample, len(rows)), replace=False)], rng) for _ in range(trees)]
 
@@ -158,15 +166,17 @@ class Forest:
 
 
 def fit(stats: DataFrame, key="doc_id", trees=TREES, sample=SAMPLE) -> Forest | None:
-    """A forest on the rows with the smallest hashes of their key and counts: at most trees * sample rows."""
-    order = F.xxhash64(F.lit(SEED), key, *STATS)
-    passing = stats.where(~base_failed())
-    n, want = passing.count(), trees * sample
-    # the smallest hashes lie below twice their expected bound, so each task sends only its few rows below it
-    bound = min(2**63 - 1, -(2**63) + int(2 * want / max(n, 1) * 2**64))
-    low = passing.where(order <= bound)
-    rows = low.orderBy(order, *STATS).limit(want).select(*STATS).toPandas()
-    return Forest(ratios({c: rows[c].to_numpy() for c in STATS}), trees, sample) if len(rows) > 1 else None
+    """A forest on the distinct feature vectors of all rows that pass the base rules, with their counts."""
+    names, passing = [f"_{f}" for f in FEATURES], stats.where(~base_failed())
+
+    def run(batches):
+        for batch in batches:
+            made = ratios({c: np.asarray(batch.column(c)) for c in STATS})
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in made.T], names=names)
+
+    vectors = map_batches(passing.select(*STATS), run, ", ".join(f"{n} double" for n in names))
+    rows = vectors.groupBy(*names).agg(F.count("*").alias("n")).orderBy(*names).toPandas()  # as many as there are vectors of eighths
+    return Forest(rows[names].to_numpy(), trees, sample, counts=rows["n"].to_numpy(float)) if rows["n"].sum() > 1 else None
 
 
 def base_failed():

@@ -111,3 +111,16 @@ def test_verdicts(spark):
     free = quality.judge(df, lab.limit(0)).where("not base_failed")
     assert free.where("kept").count() == free.count() == 301
     assert quality.judge(df.limit(0), lab).count() == 0
+
+
+def test_rare_junk_is_in_the_trees(spark):
+    rng = random.Random(6)
+    clean, echo = (60, 300, 0, 0, 0, 0, 300, 0, 0), (60, 300, 0, 0, 0, 0, 300, 0, 40)
+    rows = [(i, *(echo if i == 17_777 else clean)) for i in range(20_000)]
+    rng.shuffle(rows)
+    stats = spark.createDataFrame(rows, "doc_id long, " + ", ".join(f"{c} long" for c in quality.STATS))
+    forest = quality.fit(stats, trees=10, sample=16)
+    a, b = forest.score(quality.ratios({c: np.array([clean[i], echo[i]]) for i, c in enumerate(quality.STATS)}))
+    assert b > a
+    many = np.arange(5000.0)[:, None]
+    assert len(set(quality.Forest(many, 10, 16, counts=np.ones(5000)).score(many[[0, 2500]]))) == 2
