@@ -4,9 +4,12 @@ The reader walks the image directories of either byte order, undoes PackBits, LZ
 the horizontal predictor, and emits the 8-bit samples of each page in rows. It works on one Arrow batch at a time and
 never shuffles pixels.
 
-Defined results: a null or unreadable file gives one row whose page is null and whose ``error`` says why, and a bad
-page spoils its own file only; repeated rows are read alike; an empty table gives no rows; columns of the input that
-carry an output column's name are replaced.
+Defined results: a null file, or one whose directories can't be walked, gives one row whose page is null and whose
+``error`` says why; a bad page gives its own row without pixels and with an ``error``, and the other pages are read.
+Strips or tiles that don't cover the page, sizes of 0, bit depths other than 8, separate planes and unknown compressions
+are errors; palettes are given as their indexes. Repeated rows are read alike; an empty table gives no rows; columns of
+the input that carry an output column's name are replaced. Pages are read one at a time, so a file of many pages is
+never held at once.
 """
 
 from __future__ import annotations
@@ -165,7 +168,7 @@ def directories(data: bytes):
 def read_page(data: bytes, tags: dict) -> tuple[int, int, int, bytes]:
     """(width, height, samples, pixels) of one directory."""
     one = lambda tag, default=None: tags[tag][0] if tag in tags or default is None else default
-    wide, high, samples = one(WIDTH), one(HEIGHT), one(SAMPLES, 1)
+    wide, high, samples, kind = one(WIDTH), one(HEIGHT), one(SAMPLES, 1), one(COMPRESSION, PLAIN)
     if set(tags.get(BITS, (8,))) != {8} or one(PLANAR, 1) != 1:
         raise ValueError("only interleaved 8-bit samples are read")
     if not 0 < wide * high * samples <= MOST_SAMPLES:
@@ -173,13 +176,16 @@ def read_page(data: bytes, tags: dict) -> tuple[int, int, int, bytes]:
     tiled = TILES in tags
     across, down = (one(TILE_WIDTH), one(TILE_HEIGHT)) if tiled else (wide, min(one(STRIP_ROWS, high), high))
     places, sizes = (tags[TILES], tags[TILE_BYTES]) if tiled else (tags[STRIPS], tags[STRIP_BYTES])
-    image = np.zeros((high, wide, samples), np.uint8)
+    if across < 1 or down < 1 or across * down * samples > MOST_SAMPLES:
+        raise ValueError("impossible strips or tiles")
     columns = -(-wide // across)
+    if len(places) != columns * -(-high // down) or len(sizes) != len(places):
+        raise ValueError("strips or tiles are missing")
+    image = np.zeros((high, wide, samples), np.uint8)
     for k, (at, size) in enumerate(zip(places, sizes, strict=True)):
         top, left = k // columns * down, k % columns * across
         rows = down if tiled else min(down, high - top)
         raw, want = data[at : at + size], rows * across * samples
-        kind = one(COMPRESSION, PLAIN)
         if kind in (DEFLATE, OLD_DEFLATE):
             raw = zlib.decompressobj().decompress(raw, want)
         elif kind == LZW:
@@ -197,15 +203,29 @@ def read_page(data: bytes, tags: dict) -> tuple[int, int, int, bytes]:
     return wide, high, samples, image.tobytes()
 
 
-def read(data: bytes | None) -> list[tuple]:
-    """The rows of PAGE_SCHEMA for one file."""
-    if data is None:
-        return [(None, 0, None, None, None, None, "null")]
+#: What malformed bytes can raise on the way.
+BAD = (ArithmeticError, LookupError, MemoryError, TypeError, ValueError, struct.error, zlib.error)
+
+
+def _why(e: Exception) -> str:
+    return f"{type(e).__name__}: {e}"[:200]
+
+
+def read(data: bytes | None):
+    """The rows of PAGE_SCHEMA for one file, one page at a time."""
     try:
-        found = [read_page(data, tags) for tags in directories(data)]
-    except (ValueError, KeyError, IndexError, struct.error, zlib.error, MemoryError) as e:
-        return [(None, 0, None, None, None, None, f"{type(e).__name__}: {e}"[:200])]
-    return [(i, len(found), *page, None) for i, page in enumerate(found)]
+        found = [] if data is None else list(directories(data))
+    except BAD as e:
+        yield None, 0, None, None, None, None, _why(e)
+        return
+    if not found:
+        yield None, 0, None, None, None, None, "null" if data is None else "no pages"
+    for i, tags in enumerate(found):
+        try:
+            row = (i, len(found), *read_page(data, tags), None)
+        except BAD as e:
+            row = (i, len(found), None, None, None, None, _why(e))
+        yield row
 
 
 def tiff_pages(df: DataFrame, media="media") -> DataFrame:
@@ -226,9 +246,9 @@ def tiff_pages(df: DataFrame, media="media") -> DataFrame:
                     at.append(i)
                     rows.append(row)
                     held += len(row[5] or b"")
-                if held > 1 << 23:
-                    yield batchful(batch, at, rows)
-                    at, rows, held = [], [], 0
+                    if held > 1 << 23:
+                        yield batchful(batch, at, rows)
+                        at, rows, held = [], [], 0
             if rows:
                 yield batchful(batch, at, rows)
 
@@ -310,21 +330,25 @@ def store(df: DataFrame, text="text", keep=("doc_id",), media="media") -> DataFr
 
 
 def digest_pages(pages: DataFrame, keep: list[str]) -> DataFrame:
-    """Folds the page rows of each file, which follow each other, into one row: digests and a feature of the payload."""
+    """Folds the page rows of each file, which follow each other, into one row: digests and a feature of the payload.
+
+    A file with an unreadable page has the digests of its other pages and the feature "error".
+    """
     schema = T.StructType([pages.schema[c] for c in keep] + [T.StructField("payload_bytes", T.LongType()), T.StructField("payload_sha256", T.StringType()), T.StructField("tail_crc32", T.LongType()), T.StructField("feature", T.StringType())])
 
     def run(batches):
-        parts = []
+        parts, failed = [], False
         for batch in batches:
             at, rows = [], []
             number, of, pixels = (batch.column(c).to_pylist() for c in ("page", "pages", "pixels"))
             for i, (k, n, data) in enumerate(zip(number, of, pixels, strict=True)):
                 parts.append(data or b"")
+                failed |= data is None
                 if n == 0 or k == n - 1:
                     body = b"".join(parts)
-                    rows.append((len(body), hashlib.sha256(body).hexdigest(), zlib.crc32(body[-64:]), feature(body, max(n, 0))))
+                    rows.append((len(body), hashlib.sha256(body).hexdigest(), zlib.crc32(body[-64:]), "error" if failed else feature(body, n)))
                     at.append(i)
-                    parts = []
+                    parts, failed = [], False
             if rows:
                 made = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.string()), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(at)) for c in keep] + made, names=[*keep, "payload_bytes", "payload_sha256", "tail_crc32", "feature"])

@@ -32,7 +32,7 @@ def test_files_round_trip_in_every_layout():
     for i in range(700):
         payload = tiff.payload_of(f"text {i} é " * (1 + i % 9 * (300 if i % 5 == 0 else 3)) * (1 + i % 4))
         data = tiff.write(payload)
-        rows = tiff.read(data)
+        rows = list(tiff.read(data))
         assert b"".join(r[5] for r in rows) == payload and [r[0] for r in rows] == list(range(len(rows)))
         tags = next(tiff.directories(data))
         seen.add((data[:2], tags[tiff.COMPRESSION][0], tags[tiff.PREDICTOR][0], tiff.TILES in tags))
@@ -48,13 +48,62 @@ def test_rows_of_odd_files(spark):
     by = {i: [r for r in rows if r.doc_id == i] for i, _ in files}
     assert len(by[1]) == len(by[6]) == 4 and all(r.error is None for r in by[1])
     assert all(len(by[i]) == 1 and by[i][0].page is None and by[i][0].error for i in (2, 3, 4, 5))
+    assert tiff.digest_pages(tiff.tiff_pages(df), ["doc_id"]).where("feature = 'pages=0'").count() == 0
     order = "<" if loop[:2] == b"II" else ">"
     (at,) = struct.unpack_from(order + "I", loop, 4)
     struct.pack_into(order + "I", loop, len(loop) - 4, at)
-    assert "loop" in tiff.read(bytes(loop))[0][-1]
+    assert "loop" in next(tiff.read(bytes(loop)))[-1]
     assert tiff.tiff_pages(df.limit(0)).count() == 0
 
 
+def image(changes=(), pages=2, wide=4, high=6, drop=()):
+    """A plain little-endian file of pages of two strips (or what changes say), each page with samples of its own number."""
+    out = bytearray(b"II*\x00" + bytes(4))
+    link = 4
+    for p in range(pages):
+        at = len(out)
+        out += bytes([p + 1]) * (wide * high)
+        tags = {256: [wide], 257: [high], 258: [8], 259: [1], 262: [1], 273: [at, at + wide * 3], 277: [1], 278: [3], 279: [wide * 3] * 2}
+        if p == 1:
+            tags.update(dict(changes))
+            tags = {k: v for k, v in tags.items() if k not in drop}
+        fields = b""
+        for tag in sorted(tags):
+            body = struct.pack(f"<{len(tags[tag])}I", *tags[tag])
+            if len(body) > 4:
+                out += body
+                body = struct.pack("<I", len(out) - len(body))
+            fields += struct.pack("<HHI", tag, 4, len(tags[tag])) + body.ljust(4, b"\0")
+        struct.pack_into("<I", out, link, len(out))
+        out += struct.pack("<H", len(tags)) + fields
+        link = len(out)
+        out += bytes(4)
+    return bytes(out)
+
+
+@pytest.mark.parametrize(
+    "changes, drop",
+    [({278: [0]}, ()), ({273: [8], 279: [12]}, ()), ({256: [0]}, ()), ({257: [0]}, ()), ({322: [0], 323: [0], 324: [8], 325: [1]}, ()), ({322: [1 << 31], 323: [1 << 31], 324: [8], 325: [1]}, ()), ({258: [4]}, ()), ({284: [2]}, ()), ({259: [99]}, ()), ({277: [0]}, ()), ({256: [1 << 31], 257: [1 << 31]}, ()), ({273: [1 << 30, 1 << 30]}, ()), ({}, (273,)), ({}, (256,)), ({}, (279,)), ({259: [5]}, ()), ({259: [8]}, ()), ({259: [32773]}, ())],
+)
+def test_a_bad_page_is_an_error_of_its_own(changes, drop):
+    rows = list(tiff.read(image(changes.items(), drop=drop)))
+    assert [(r[0], r[1]) for r in rows] == [(0, 2), (1, 2)]
+    assert rows[0][5] == b"\x01" * 24 and rows[0][6] is None
+    assert rows[1][5] is None and rows[1][6]
+
+
+def test_pages_of_hand_made_files():
+    assert [r[2:6] for r in tiff.read(image(pages=3))] == [(4, 6, 1, bytes([p]) * 24) for p in (1, 2, 3)]
+    rng = random.Random(5)
+    whole = image()
+    for _ in range(300):
+        broken = bytearray(whole)
+        for _ in range(rng.randint(1, 4)):
+            broken[rng.randrange(len(broken))] = rng.choice((0, 1, 255, rng.randrange(256)))
+        rows = list(tiff.read(bytes(broken)))
+        assert rows and all((r[5] is None) != (r[6] is None) for r in rows)
+
+
 def test_digests_of_stored_texts(spark):
     texts = [None, "", "é", "a" * 64, "b" * 200_000, "b" * 200_000]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
