@@ -25,6 +25,14 @@ def test_every_fast_character_counts_as_the_library_does():
             assert counter.counts([t]) == [len(tok.encode(t, add_special_tokens=False).ids)], repr(t)
 
 
+def test_pieces_around_odd_characters_count_as_the_library_does():
+    counter, tok, rng = tokens.WordCounter(WORD, tokens.whole_tokens(WORD)), Tokenizer.from_file(WORD), random.Random(4)
+    bits = ["the", "naïve", "don’t", "—", "“so”", "e\u0301", "\u0301", "Σας", "中文", " ", "\n", "\t", "\u2028", "\xa0", "\x85", "İ", "ǅ", "ﬁ", "'s", "42", "½", "ſ", "\u212a", "한", "\u1112\u1161", "\x00", "🤦🏼", ".", "a" * 40]
+    for _ in range(3000):
+        t = "".join(rng.choice(bits) + rng.choice(("", "", " ")) for _ in range(rng.randint(1, 9)))
+        assert counter.counts([t]) == [len(tok.encode(t, add_special_tokens=False).ids)], repr(t)
+
+
 def test_byte_ids_equal_the_library():
     enc, tok = tokens.ByteEncoder(BYTE, RANKS), Tokenizer.from_file(BYTE)
     for c in map(chr, range(tokens.LATIN)):
