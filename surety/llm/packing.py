@@ -4,8 +4,9 @@ Documents become pieces of at most ``capacity`` tokens. Pieces of equal length a
 is the histogram of lengths, which has at most ``capacity`` rows however large the corpus is. On it, sets of up to
 three lengths that provably dominate every other way of placing their largest member are fixed for good, as many at
 once as there are; what remains goes best-fit decreasing, again in bulk. The resulting plan of ranges
-(length, ranks, sequences, offset) is applied to pieces ranked by length in two levels, so a length that holds most
-rows is never gathered in one task.
+(length, ranks, sequences, offset) is applied to pieces ranked by length in two levels: parts of at most some PART
+pieces are dealt out, each with the ranks its lengths begin at, so a length that holds most rows is never gathered in
+one task and nothing but the plan is broadcast.
 
 Defined results: a null text is empty and becomes the one token ``end``; repeated rows are packed each on their own;
 an empty table gives no rows; other columns are dropped.
@@ -28,6 +29,10 @@ from pyspark.sql.window import Window
 from surety.llm.common import map_batches, materialise
 from surety.llm.tokens import ByteEncoder
 
+#: Pieces ranked together, in one task.
+PART = 50_000
+
+
 @lru_cache(maxsize=2)
 def encoder(tokenizer: str, ranks: str | None) -> ByteEncoder:
     return ByteEncoder(tokenizer, ranks)
@@ -40,12 +45,12 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def pieces(df: DataFrame, tokenizer: str, ranks: str | None = None, text="text", key="doc_id", capacity=2048, end=0) -> DataFrame:
-    """One row per piece; ``part`` is the task that made it, for ranking."""
+    """One row per piece; ``part`` numbers runs of about PART pieces that one task made, for ranking."""
     kind = dict(df.dtypes)[key]
 
     def run(batches):
         enc = encoder(tokenizer, ranks)
-        part = TaskContext.get().partitionId()
+        part, made = TaskContext.get().partitionId() << 24, 0
         for batch in batches:
             keys, rows = batch.column(key), []
             for i, t in enumerate(batch.column(text).to_pylist()):
@@ -53,13 +58,16 @@ def pieces(df: DataFrame, tokenizer: str, ranks: str | None = None, text="text",
                 ids.append(end)
                 raw = memoryview(ids).cast("B")
                 rows += [(i, p, s, n, zlib.crc32(raw[4 * s : 4 * (s + n)])) for p, (s, n) in enumerate(cut(len(ids), capacity))]
+            if made > PART:
+                part, made = part + 1, 0
+            made += len(rows)
             at, piece, start, length, crc = map(list, zip(*rows)) if rows else ([],) * 5
             yield pa.RecordBatch.from_arrays(
-                [keys.take(pa.array(at, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array([part] * len(at), pa.int32())],
+                [keys.take(pa.array(at, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array([part] * len(at), pa.int64())],
                 names=[key, "piece", "start", "length", "ids_crc32", "part"],
             )
 
-    return map_batches(df.select(key, text), run, f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long, part int")
+    return map_batches(df.select(key, text), run, f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long, part long")
 
 
 class Plan:
@@ -197,26 +205,27 @@ def pack(made: DataFrame, key="doc_id", capacity=2048) -> DataFrame:
     lookup = {k: np.array(sorted(v), np.int64).T for k, v in table.items()}
     share = made.sparkSession.sparkContext.broadcast(lookup)  # grows with the capacity, not with the corpus
     start = F.sum("_n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    starts = by.select("length", "part", F.coalesce(start, F.lit(0)).alias("_before"))
-    within = F.row_number().over(Window.partitionBy("length", "part").orderBy(key, "piece", "start", "ids_crc32"))
-    ranked = made.join(starts, ["length", "part"]).withColumn("_rank", F.col("_before") + within - 1)
+    starts = by.select("part", F.struct("length", F.coalesce(start, F.lit(0)).alias("n")).alias("at")).groupBy("part").agg(F.collect_list("at").alias("starts"))
+    names = [key, "piece", "start", "length", "ids_crc32"]
     kind = dict(made.dtypes)[key]
 
-    def run(batches):
-        for batch in batches:
-            length, rank = np.asarray(batch.column("length")), np.asarray(batch.column("_rank"))
-            sequence, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
-            order = np.argsort(length, kind="stable")
-            edges = np.flatnonzero(np.diff(length[order], prepend=-1))
-            for a, b in zip(edges, [*edges[1:], len(order)], strict=True):
-                rows = order[a:b]
-                ranks, first, offsets = share.value[int(length[rows[0]])]
-                at = np.searchsorted(ranks, rank[rows], "right") - 1
-                sequence[rows], offset[rows] = first[at] + rank[rows] - ranks[at], offsets[at]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in (key, "piece", "start", "length", "ids_crc32")] + [pa.array(sequence), pa.array(offset)], names=[key, "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
-
-    ranked = ranked.select(key, "piece", "start", "length", "ids_crc32", "_rank")
-    return map_batches(ranked, run, f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    def place(rows: pa.Table, before: pa.Table) -> pa.Table:
+        """The pieces of one part, ranked by key inside each length and sent to the ranges of the plan."""
+        at = before.column("starts").combine_chunks().values
+        known = dict(zip(at.field("length").to_pylist(), at.field("n").to_pylist(), strict=True))
+        rows = rows.sort_by([(c, "ascending") for c in ("length", key, "piece", "start", "ids_crc32")])
+        length = rows.column("length").to_numpy()
+        sequence, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
+        edges = np.flatnonzero(np.diff(length, prepend=-1))
+        for a, b in zip(edges, [*edges[1:], len(length)], strict=True):
+            rank = known[int(length[a])] + np.arange(b - a)
+            ranks, first, offsets = share.value[int(length[a])]
+            found = np.searchsorted(ranks, rank, "right") - 1
+            sequence[a:b], offset[a:b] = first[found] + rank - ranks[found], offsets[found]
+        return rows.select(names).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
+
+    schema = f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+    return made.groupBy("part").cogroup(starts.groupBy("part")).applyInArrow(place, schema)
 
 
 def pack_documents(df: DataFrame, tokenizer: str, ranks: str | None = None, text="text", key="doc_id", capacity=2048, end=0) -> DataFrame:
