@@ -21,15 +21,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The session setting that holds the secret of pseudonyms, and what stands in for it on sample tables.
+SECRET, SAMPLE_SECRET = "spark.surety.pseudonym.secret", "sample tables only"
+
+
+def secret(spark: SparkSession) -> str:
+    """The session's secret for pseudonyms; without one, pseudonyms can be inverted by anyone who reads this."""
+    return spark.conf.get(SECRET, SAMPLE_SECRET)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one is made locally only where the session names none (tests)."""
+    """The folder all executors share. Where the session names none, one is made for local masters only."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         made = spark.sparkContext._jsc.sc().getCheckpointDir()
         if made.isDefined():
             return made.get()
-        found = tempfile.mkdtemp(prefix="surety-")
-        spark.sparkContext.setCheckpointDir(found)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="surety-"))
         found = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     return found
 
@@ -40,22 +50,40 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _WRITTEN.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables made by materialise() whose last reader has run."""
+    for t in tables:
+        if t._written in _WRITTEN:
+            _WRITTEN.remove(t._written)
+            _delete(t.sparkSession, t._written)
+
+
+def written() -> int:
+    """How many tables stand; forget() deletes those written after such a mark."""
+    return len(_WRITTEN)
 
 
-def forget(spark: SparkSession) -> int:
-    """Deletes the tables that this session has written to the shared folder, once their readers are done."""
-    jvm, conf, n = spark._jvm, spark._jsc.hadoopConfiguration(), 0
-    while _WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        n += path.getFileSystem(conf).delete(path, True)
-    return n
+def forget(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> int:
+    """Deletes the tables written to the shared folder since a mark, but for one, once their readers are done."""
+    gone = [p for p in _WRITTEN[since:] if keep is None or p != keep._written]
+    _WRITTEN[since:] = [p for p in _WRITTEN[since:] if p not in gone]
+    return sum(_delete(spark, p) for p in gone)
 
 
-def small_side(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if its counted rows fit the limit, else unchanged."""
+def small_side(df: DataFrame, rows: int | None = None, limit: int | None = None) -> DataFrame:
+    """df with a broadcast hint if its counted rows are at most limit (BROADCAST_ROWS), else unchanged."""
     n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= limit else df
+    return F.broadcast(df) if n <= (BROADCAST_ROWS if limit is None else limit) else df
 
 
 def digest_unit(*parts):

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from surety.llm.common import materialise
+from surety.llm.common import discard, forget, materialise, written
 
 
 #: A node with more edges than this, and than the edges divided by half of it, is hot; so there are at most so many.
@@ -57,6 +57,9 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """(node, root) for the nodes of edges (a, b: longs), root being the smallest node reachable."""
     now = materialise(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), label)
     while _unsettled(now):
-        now = materialise(_small_star(_large_star(now)), label)
+        before, mark = now, written()
+        now = materialise(_small_star(_large_star(before)), label)
+        forget(edges.sparkSession, mark, now)
+        discard(before)
     nodes = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return nodes.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -2,12 +2,16 @@
 
 Validated values keep their format and are permuted inside it, so equal values stay equal across documents and
 different ones stay different: payment cards (Luhn; the first digit stays and the check digit is set anew), phone
-numbers (10 digits), social-security numbers (9), IPv4 addresses (32 bits) and calendar dates (inside blocks of
-72,900 days). E-mail addresses, having no numeric format, become keyed hashes of the whole address.
+numbers (10 digits; without +1 only those whose area code can exist, 200 to 999, which stay in that range),
+social-security numbers (areas 001 to 899 without 666, groups from 01, serials from 0001), IPv4 addresses (32 bits) and
+calendar dates (1900-01-01 to 2099-12-31). E-mail addresses, having no numeric format, become keyed hashes of the whole
+address. The key is the caller's secret: whoever has it can invert the permutations.
 
 Defined results: a null text stays null with counts 0; texts without such values are unchanged, character by
-character; digit runs without a valid card are unchanged. A card is one or more whole groups of digits of a run, 13 to 19 digits
-joined by single blanks or hyphens, found from the left in what the fixed formats leave; repeated rows are treated alike; other columns pass through, but one named n_pii is replaced.
+character; digit runs without a valid card, impossible dates, social-security numbers and area codes are unchanged; an
+empty table gives no rows. A card is one or more whole groups of digits of a run, 13 to 19 digits
+joined by single blanks or hyphens, found from the left in what the fixed formats leave; repeated rows are treated
+alike; other columns pass through, but one named n_pii is replaced.
 """
 
 from __future__ import annotations
@@ -21,17 +25,18 @@ ROUNDS = 8
 #: Fixed formats, in order of preference at one place; runs of digits that may hold cards.
 FORMATS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}(?![A-Za-z0-9-])",
-    "phone": r"(?:\+1[ .-]?|(?<![0-9A-Za-z(+.-])1[ .-])(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])|(?<![0-9A-Za-z(+.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z-])",
+    "phone": r"(?:\+1[ .-]?|(?<![0-9A-Za-z(+.-])1[ .-])(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])|(?<![0-9A-Za-z(+.-])\(?[2-9][0-9]{2}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z-])",
     "ip": r"(?<![0-9A-Za-z.-])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9A-Za-z]|\.[0-9])",
     "date": r"(?<![0-9A-Za-z-])(?:19|20)[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])(?![0-9A-Za-z-])",
-    "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
+    "ssn": r"(?<![0-9A-Za-z-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9A-Za-z-])",
 }
 ANY = "|".join(f"(?:{p})" for p in FORMATS.values())
 RUN = r"(?<![0-9A-Za-z.-])[0-9][0-9 -]{11,}[0-9](?![0-9A-Za-z-])"
 #: One card's digits and separators.
 CARD = r"^[0-9](?:[ -]?[0-9]){12,18}$"
-#: Days in a block of dates, 270 * 270, counted from 1900-01-01.
-SIDE, EPOCH = 270, "1900-01-01"
+#: The accepted dates are LONG * SHORT days from EPOCH; the areas, and groups and serials, of social-security numbers.
+EPOCH, SHORT, LONG = "1900-01-01", 17, 4297
+AREAS, GROUPS, SERIALS = 898, 99, 9999
 
 
 def _rounds(low: Column, high: Column, low_size: Column, high_size: Column, key: str, kind: str, index=None) -> Column:
@@ -133,38 +138,51 @@ def _ip(value: Column, key: str) -> Column:
 
 def _date(value: Column, key: str) -> Column:
     day = F.datediff(F.try_to_timestamp(value, F.lit("yyyy-MM-dd")).cast("date"), F.lit(EPOCH).cast("date"))
-    size = F.lit(SIDE)
-    inside = F.pmod(day, F.lit(SIDE * SIDE))
-    out = _rounds(F.floor(inside / SIDE), inside % SIDE, size, size, key, "date")
-    moved = F.date_add(F.lit(EPOCH).cast("date"), (day - inside + out["a"] * SIDE + out["b"]).cast("int"))
+    out = _rounds(F.floor(day / LONG), day % LONG, F.lit(SHORT), F.lit(LONG), key, "date")
+    moved = F.date_add(F.lit(EPOCH).cast("date"), (out["a"] * LONG + out["b"]).cast("int"))
     return F.when(day.isNotNull(), F.date_format(moved, "yyyy-MM-dd")).otherwise(value)
 
 
+def _ssn(value: Column, key: str) -> Column:
+    """Areas are numbered without 000 and 666, so every pseudonym is one that can exist."""
+    part = lambda at, n: F.substring(value, at, n).cast("bigint")
+    area = part(1, 3) - F.when(part(1, 3) > 666, 2).otherwise(1)
+    out = _rounds(area, (part(5, 2) - 1) * SERIALS + part(8, 4) - 1, F.lit(AREAS), F.lit(GROUPS * SERIALS), key, "ssn")
+    text = lambda n, size: F.lpad(n.cast("bigint").cast("string"), size, "0")
+    shown = lambda o: F.concat_ws("-", text(o["a"] + F.when(o["a"] >= 665, 2).otherwise(1), 3), text(F.floor(o["b"] / SERIALS) + 1, 2), text(o["b"] % SERIALS + 1, 4))
+    return _once(out, shown)
+
+
+def _phone(value: Column, key: str) -> Column:
+    """Area codes from 200 and those below, which only +1 announces, keep to themselves."""
+    found = F.regexp_replace(value, "[^0-9]", "")
+    ten, prefix = F.substring(found, -10, 10), F.substring(found, F.lit(1), F.length(found) - 10)
+    area, rest = F.substring(ten, 1, 3).cast("bigint"), F.substring(ten, 4, 7).cast("bigint")
+    real = area >= 200
+    low, size = F.when(real, 200).otherwise(0), F.when(real, 800).otherwise(200)
+    out = _rounds(area - low, rest, size, F.lit(10**7), key, "phone")
+    digits = lambda o: F.concat(prefix, F.lpad((o["a"] + low).cast("string"), 3, "0"), F.lpad(o["b"].cast("string"), 7, "0"))
+    return _refill(value, _once(out, digits))
+
+
 def _email(value: Column, key: str) -> Column:
     word = F.sha2(F.concat_ws(":", F.lit(key), F.lit("email"), F.lower(value)), 256)
     return F.concat(F.lit("u"), F.substring(word, 1, 16), F.lit("@"), F.lit("m"), F.substring(word, 17, 8), F.lit(".invalid"))
 
 
-def _digits(value: Column, key: str, kind: str, skip: int = 0) -> Column:
-    digits = F.regexp_replace(value, "[^0-9]", "")
-    kept = F.substring(digits, F.lit(1), F.lit(skip))
-    return _refill(value, F.concat(kept, permute_digits(F.substring(digits, F.lit(1 + skip), F.length(digits) - skip), key, kind)))
-
-
 def pseudonym(value: Column, key: str) -> Column:
     """The pseudonym of one value found by ANY."""
     whole = lambda kind: value.rlike(f"^(?:{FORMATS[kind].replace('(?<!', '(?<!')})$")
     return (
         F.when(F.contains(value, F.lit("@")), _email(value, key))
-        .when(value.rlike(r"^(?:\+1|1[ .-])"), _digits(value, key, "phone", 1))
-        .when(value.rlike(r"^\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}$"), _digits(value, key, "phone"))
+        .when(value.rlike(r"^(?:\+1|1[ .-]|\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}$)"), _phone(value, key))
         .when(whole("ip"), _ip(value, key))
         .when(whole("date"), _date(value, key))
-        .otherwise(_digits(value, key, "ssn"))
+        .otherwise(_ssn(value, key))
     )
 
 
-def pseudonymise(df: DataFrame, text="text", key="surety-demo-key", counts=True) -> DataFrame:
+def pseudonymise(df: DataFrame, key: str, text="text", counts=True) -> DataFrame:
     """df with pseudonyms in its text; counts adds ``n_pii`` (values changed). key: the secret of the permutations."""
     body = F.col(ROW)[text]
     hit = F.coalesce(body.rlike("[0-9@]") & (body.rlike(ANY) | body.rlike(RUN)), F.lit(False))

@@ -2,7 +2,8 @@
 
 Each source s gets a target repetition rate lambda_s = epochs * (w_s / sum w) * (total size / size_s). A document's
 number of copies is the inverse of the Poisson(lambda_s) distribution at a uniform number hashed from the seed and
-the document's key; it is exploded into that many rows, which a range partition on a hashed key shuffles globally.
+the document's key; it is exploded into that many rows. Whole rows are shuffled globally: hashed keys deal them out and
+order each partition, so no bounds have to be sampled and every document is read and drawn once.
 
 Defined results: a null source is a source of its own; a null key hashes as the word null; rows with equal key and
 source get equal counts (repeated rows are replicated alike); an empty table gives an empty table; sources whose
@@ -53,9 +54,11 @@ def poisson_mix(df: DataFrame, key="doc_id", source="source", size=None, targets
     rates = materialise(source_rates(df, source, size, targets, epochs), "rates")
     own = F.col(ROW)[key]
     joined = packed(df).join(small_side(rates), F.col(ROW)[source].eqNullSafe(F.col("_source")))
-    draw = lambda p: F.size(F.filter("_cdf", lambda c: c <= digest_unit(F.lit(seed), own, p)))
-    count = F.aggregate(F.sequence(F.lit(1), F.col("_parts")), F.lit(0), lambda a, p: a + draw(p))
-    out = joined.withColumn("_k", count).where("_k > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_k"))))
+    # one uniform number a part, drawn before it meets the distribution
+    drawn = F.transform(F.sequence(F.lit(1), F.col("_parts")), lambda p: digest_unit(F.lit(seed), own, p))
+    count = F.aggregate(drawn, F.lit(0), lambda a, u: a + F.size(F.filter("_cdf", lambda c: c <= u)))
+    copies = F.transform(F.array(count), lambda k: F.when(k > 0, F.sequence(F.lit(1), k)).otherwise(F.array().cast("array<int>")))[0]
+    out = joined.withColumn("copy", F.explode(copies))
     out = out.withColumn("shuffle_key", digest_long(F.lit(seed), F.lit("order"), own, F.col("copy")))
     out = out.select(*unpacked(df.columns, "copy", "shuffle_key"))
-    return out.repartitionByRange("shuffle_key").sortWithinPartitions("shuffle_key") if shuffle else out
+    return out.repartition("shuffle_key").sortWithinPartitions("shuffle_key") if shuffle else out

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from surety.llm import html_text, masked_lm, ngram_join, packing, pii, poisson_mix, quality, secrets, tiff, tokens
-from surety.llm.common import table
+from surety.llm.common import secret, table
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def op4_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pii_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), secret(spark))
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,8 +53,8 @@ def op8_masked_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    return poisson_mix.poisson_mix(docs).select("doc_id", "source", F.col("copy").cast("bigint").alias("copy"), "shuffle_key")
+    mixed = poisson_mix.poisson_mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "text", "lang", "source", "n_chars", F.col("copy").cast("bigint").alias("copy"), "shuffle_key")
 
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,9 +88,9 @@ def _secret_sql() -> str:
 _POISSON_SQL = """WITH n AS (SELECT source, count(*)::DOUBLE AS n FROM documents GROUP BY source),
   r AS (SELECT source, sqrt(n) / (SELECT sum(sqrt(n)) FROM n) * (SELECT sum(n) FROM n) / n AS rate FROM n),
   c AS (SELECT source, list_transform(range(0, cast(ceil(rate + 12 * sqrt(rate) + 30) AS BIGINT) + 1), lambda k: list_sum(list_transform(range(0, k + 1), lambda i: exp(-rate + i * ln(rate) - lgamma(i + 1))))) AS cdf FROM r),
-  k AS (SELECT doc_id, d.source, len(list_filter(cdf, lambda x: x <= ('0x' || substr(md5('17:' || doc_id || ':1'), 1, 13))::BIGINT / 4503599627370496.0)) AS k FROM documents d JOIN c ON d.source = c.source),
-  e AS (SELECT doc_id, source, unnest(range(1, k + 1)) AS copy FROM k)
-  SELECT doc_id, source, copy, ('0x' || substr(md5('17:order:' || doc_id || ':' || copy), 1, 13))::BIGINT AS shuffle_key FROM e"""
+  k AS (SELECT doc_id, text, lang, d.source, n_chars, len(list_filter(cdf, lambda x: x <= ('0x' || substr(md5('17:' || doc_id || ':1'), 1, 13))::BIGINT / 4503599627370496.0)) AS k FROM documents d JOIN c ON d.source IS NOT DISTINCT FROM c.source),
+  e AS (SELECT doc_id, text, lang, source, n_chars, unnest(range(1, k + 1)) AS copy FROM k)
+  SELECT doc_id, text, lang, source, n_chars, copy, ('0x' || substr(md5('17:order:' || doc_id || ':' || copy), 1, 13))::BIGINT AS shuffle_key FROM e"""
 
 _JACCARD_SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
   s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS g FROM w),

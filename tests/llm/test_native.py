@@ -1,12 +1,14 @@
 """Secret scans, pseudonyms and Poisson replication against plain Python."""
 
+import datetime
 import hashlib
 import math
+import random
 import re
 
 import pytest
 
-from surety.llm import pii, poisson_mix, secrets
+from surety.llm import common, pii, poisson_mix, secrets
 from surety.llm.trigram_query import query
 
 TEXTS = [
@@ -68,7 +70,7 @@ PII = [
 
 def test_pseudonyms_keep_formats_and_links(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(PII)] + [(9, None), (10, "")], "doc_id long, text string")
-    out = {r.doc_id: r for r in pii.pseudonymise(df).collect()}
+    out = {r.doc_id: r for r in pii.pseudonymise(df, "k").collect()}
     assert re.fullmatch(r"call \+1 \(\d{3}\) \d{3}-\d{4} now", out[0].text) and out[0].text != PII[0]
     m = re.fullmatch(r"ip ([\d.]+), card (\d{4} \d{4} \d{4} \d{4})\. born (\d{4}-\d\d-\d\d)!", out[1].text)
     assert m and all(0 <= int(x) < 256 for x in m[1].split(".")) and luhn(m[2]) and m[2] != "4111 1111 1111 1111"
@@ -79,13 +81,86 @@ def test_pseudonyms_keep_formats_and_links(spark):
     assert out[9].text is None and out[9].n_pii == 0 and out[10].text == ""
 
 
+def rounds(a, b, m, n, key, kind):
+    """The Feistel network in plain Python."""
+    for i in range(1, pii.ROUNDS + 1):
+        mixed = int(hashlib.sha256(f"{key}:{kind}:{i}:{n}:{b}".encode()).hexdigest()[:14], 16)
+        a, b, m, n = b, (a + mixed) % m, n, m
+    return a, b
+
+
+def plain(value, key):
+    """The pseudonym of one whole value in plain Python."""
+    digits = re.sub(r"\D", "", value)
+
+    def refill(new):
+        new = iter(new)
+        return "".join(next(new) if c.isdigit() else c for c in value)
+
+    if "@" in value:
+        h = hashlib.sha256(f"{key}:email:{value.lower()}".encode()).hexdigest()
+        return f"u{h[:16]}@m{h[16:24]}.invalid"
+    if value.count(".") == 3:
+        p = [int(x) for x in value.split(".")]
+        a, b = rounds(p[0] * 256 + p[1], p[2] * 256 + p[3], 65536, 65536, key, "ip")
+        return ".".join(str(x) for x in (a // 256, a % 256, b // 256, b % 256))
+    if re.fullmatch(r"\d{4}-\d\d-\d\d", value):
+        day = (datetime.date.fromisoformat(value) - datetime.date(1900, 1, 1)).days
+        a, b = rounds(day // 4297, day % 4297, 17, 4297, key, "date")
+        return str(datetime.date(1900, 1, 1) + datetime.timedelta(a * 4297 + b))
+    if re.fullmatch(r"\d{3}-\d\d-\d{4}", value):
+        areas = [x for x in range(1, 900) if x != 666]
+        a, b = rounds(areas.index(int(value[:3])), (int(value[4:6]) - 1) * 9999 + int(value[7:]) - 1, 898, 99 * 9999, key, "ssn")
+        return f"{areas[a]:03}-{b // 9999 + 1:02}-{b % 9999 + 1:04}"
+    if len(digits) > 11:
+        half = (len(digits) - 2) // 2
+        body, rest = digits[1 : 1 + half], digits[1 + half : -1]
+        a, b = rounds(int(body), int(rest), 10 ** len(body), 10 ** len(rest), key, "card")
+        new = digits[0] + str(a).zfill(len(body)) + str(b).zfill(len(rest))
+        return refill(new + next(c for c in "0123456789" if luhn(new + c)))
+    area, low, size = int(digits[-10:-7]), *((200, 800) if int(digits[-10:-7]) >= 200 else (0, 200))
+    a, b = rounds(area - low, int(digits[-7:]), size, 10**7, key, "phone")
+    return refill(digits[:-10] + f"{a + low:03}{b:07}")
+
+
+def test_pseudonyms_equal_a_plain_feistel_network(spark):
+    rng = random.Random(3)
+    values = ["a.b@mail.example.com", "A.B@mail.example.com", "1900-01-01", "2099-12-31", "2099-08-06", "1999-02-28", "001-01-0001", "899-99-9999", "665-12-1234", "667-12-1234", "+1 (058) 555-3468", "+1 (199) 555-3468", "(200) 000-0000", "999.999.9999", "0.0.0.0", "255.255.255.255", "4111 1111 1111 1111"]
+    for _ in range(60):
+        values += [f"{rng.randint(1, 665):03}-{rng.randint(1, 99):02}-{rng.randint(1, 9999):04}", f"{rng.randint(200, 999)}-{rng.randint(0, 999):03}-{rng.randint(0, 9999):04}", str(datetime.date(1900, 1, 1) + datetime.timedelta(rng.randrange(73049)))]
+        body = "".join(rng.choice("0123456789") for _ in range(rng.randint(12, 18)))
+        values.append("4" + body[1:] + next(c for c in "0123456789" if luhn("4" + body[1:] + c)))
+    df = spark.createDataFrame([(i, f"so {v} it") for i, v in enumerate(values)], "doc_id long, text string")
+    got = {r.doc_id: r.text[3:-3] for r in pii.pseudonymise(df, "some key").collect()}
+    assert got == {i: plain(v, "some key") for i, v in enumerate(values)}
+    assert len(set(got.values())) == len({v.lower() for v in values})
+    again = spark.createDataFrame([(i, f"so {v} it") for i, v in got.items() if "@" not in v], "doc_id long, text string")
+    # pseudonyms are values of their format again
+    assert pii.pseudonymise(again, "k").where("n_pii = 0").count() <= 1
+    other = {r.doc_id: r.text for r in pii.pseudonymise(df, "other key").collect()}
+    assert sum(other[i][3:-3] == got[i] for i in got) < 3
+
+
+def test_values_that_cannot_exist_stay_and_odd_rows_are_defined(spark):
+    same = ["part 987-65-4321", "a 000-12-1234", "b 666-12-1234", "c 123-00-1234", "d 123-45-0000", "range 100-200-3000", "on 2023-02-30", "v 256.1.1.1"]
+    long = "word " * 300_000 + "2099-12-31"
+    rows = [(i, t) for i, t in enumerate(same)] + [(90, long), (91, "x 123-45-6789"), (91, "x 123-45-6789"), (92, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = pii.pseudonymise(df, "k").collect()
+    by = {r.doc_id: r for r in out}
+    assert len(out) == len(rows) and [by[i].text for i in range(len(same))] == same and not any(by[i].n_pii for i in range(len(same)))
+    assert by[90].text == long[:-10] + plain("2099-12-31", "k") and by[90].n_pii == 1
+    assert [r.text for r in out if r.doc_id == 91] == ["x " + plain("123-45-6789", "k")] * 2
+    assert by[92].text is None and pii.pseudonymise(df.limit(0), "k").count() == 0
+
+
 def test_digit_permutation_is_a_bijection(spark):
     out = spark.range(1000).selectExpr("lpad(cast(id as string), 3, '0') as d")
     got = {r[0] for r in out.select(pii.permute_digits(out.d, "k", "t")).collect()}
     assert len(got) == 1000 and all(re.fullmatch(r"\d{3}", x) for x in got)
 
 
-def test_poisson_counts_match_the_inverse_distribution(spark):
+def test_poisson_counts_match_the_inverse_distribution(spark, monkeypatch):
     rows = [(i, "big" if i % 3 else ("small" if i % 2 else None), "c") for i in range(600)] + [(None, "big", "c")] * 2
     df = spark.createDataFrame(rows, "doc_id long, source string, copies string")
     rates = {r._source: r._rate for r in poisson_mix.source_rates(df).collect()}
@@ -103,6 +178,8 @@ def test_poisson_counts_match_the_inverse_distribution(spark):
 
     want = sorted((repr(i), c + 1) for i, s, _ in rows for c in range(count(i, rates[s])))
     assert sorted((repr(r.doc_id), r.copy) for r in out) == want
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    assert sorted((repr(r.doc_id), r.copy) for r in poisson_mix.poisson_mix(df).collect()) == want
     assert poisson_mix.poisson_mix(df.limit(0)).count() == 0
 
 
@@ -117,7 +194,7 @@ def test_clashing_columns(spark):
     df = spark.createDataFrame([(1, "password=abcdefgh12 4111111111111111", "s", *names)], ["doc_id", "text", "source", *names])
     a = secrets.find_secrets(df).first().asDict()
     assert [s.kind for s in a["secrets"]] == ["assign"] and all(a[c] == c for c in names if c != "secrets")
-    b = pii.pseudonymise(df).first().asDict()
+    b = pii.pseudonymise(df, "k").first().asDict()
     assert b["n_pii"] == 1 and all(b[c] == c for c in names if c != "n_pii")
     c = poisson_mix.poisson_mix(df, epochs=20.0).first().asDict()
     assert c["copy"] >= 1 and all(c[x] == x for x in names if x not in ("copy", "shuffle_key"))
@@ -149,7 +226,7 @@ def test_cards_beside_other_digits_and_phones_in_other_forms(spark):
     same = ["4111111111111112 123", "1 2 3 4 5 6 7 8 9 1 2 3", "9 " * 2000]
     texts = [*shapes, *same]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    out = {r.doc_id: r for r in pii.pseudonymise(df).collect()}
+    out = {r.doc_id: r for r in pii.pseudonymise(df, "k").collect()}
     cards, phones = set(), set()
     for i, (text, shape) in enumerate(shapes.items()):
         m = re.fullmatch(shape, out[i].text)
