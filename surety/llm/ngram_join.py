@@ -88,17 +88,17 @@ def class_sets(df: DataFrame, text: str, key: str, words: int) -> DataFrame:
     return map_batches(df.select(key, text), run, f"`{key}` {kind}, n_shingles long, _digest binary")
 
 
-def _mark(code: bytes) -> int:
-    return int.from_bytes(code[:8], "big", signed=True)
+#: Digests as numpy holds them.
+MARK = np.dtype("V16")
 
 
 def shared_counts(df: DataFrame, text: str, words: int, fragments: int) -> DataFrame:
-    """(_mark, shared): an upper bound of how many n-grams of the set occur in another set, by fragments of the hashes."""
+    """(_digest, shared): an upper bound of how many n-grams of the set occur in another set, by fragments of the hashes."""
     schema = "fragment int, marks binary, counts binary, grams binary, repeats binary"
     names = [x.split()[0] for x in schema.split(", ")]
 
     def send(sets):
-        marks = np.fromiter(sets, np.int64, len(sets))
+        marks = np.frombuffer(b"".join(sets), MARK)
         arrays = list(sets.values())
         sizes = np.array([len(a) for a in arrays], np.int64)
         grams, owner = np.concatenate(arrays), np.repeat(np.arange(len(arrays)), sizes)
@@ -128,7 +128,7 @@ def shared_counts(df: DataFrame, text: str, words: int, fragments: int) -> DataF
             held, counts = np.unique(owner[at], return_counts=True)
             rows.append((f, marks[held].tobytes(), counts.astype(np.int32).tobytes(), grams[at].astype(np.uint32).tobytes(), grams[more].astype(np.uint32).tobytes()))
         some = np.flatnonzero(local)
-        rows.append((int(abs(int(marks[0])) % fragments), marks[some].tobytes(), local[some].astype(np.int32).tobytes(), None, None))
+        rows.append((int.from_bytes(marks[0].tobytes()[:4], "big") % fragments, marks[some].tobytes(), local[some].astype(np.int32).tobytes(), None, None))
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(),) + (pa.binary(),) * 4, strict=True)], names=names)
 
     def deal(batches):
@@ -136,7 +136,7 @@ def shared_counts(df: DataFrame, text: str, words: int, fragments: int) -> DataF
         for batch in batches:
             for t in batch.column(text).to_pylist():
                 s = shingle(t)
-                if len(s) and (m := _mark(digest(s))) not in sets:
+                if len(s) and (m := digest(s)) not in sets:
                     sets[m] = s
                     held += len(s)
                 if held > BATCH:
@@ -146,15 +146,17 @@ def shared_counts(df: DataFrame, text: str, words: int, fragments: int) -> DataF
             yield send(sets)
 
     def count(part: pa.Table) -> pa.Table:
-        marks, sums, grams, owners, repeats = [], [], [], [], []
+        marks, sums, grams, owners, repeats, places, sets = [], [], [], [], [], [], 0
         for m, c, g, r in zip(*(part.column(x).to_pylist() for x in names[1:]), strict=True):
-            m, c = np.frombuffer(m, np.int64), np.frombuffer(c, np.int32)
+            m, c = np.frombuffer(m, MARK), np.frombuffer(c, np.int32)
             if g is None:
                 marks.append(m)
                 sums.append(c.astype(np.int64))
                 continue
             grams.append(np.frombuffer(g, np.uint32))
-            owners.append(np.repeat(m, c))
+            owners.append(np.repeat(np.arange(sets, sets + len(m)), c))
+            places.append(m)
+            sets += len(m)
             repeats.append(np.frombuffer(r, np.uint32))
         if grams:
             g, o, r = np.concatenate(grams), np.concatenate(owners), np.concatenate(repeats)
@@ -165,16 +167,16 @@ def shared_counts(df: DataFrame, text: str, words: int, fragments: int) -> DataF
             twice[1:] |= same
             twice[:-1] |= same
             twice |= np.isin(s, r)
-            hit, n = np.unique(o[order][twice], return_counts=True)
-            marks.append(hit)
-            sums.append(n.astype(np.int64))
-        m = np.concatenate(marks) if marks else np.empty(0, np.int64)
+            place = np.concatenate(places)
+            n = np.bincount(o[order][twice], minlength=len(place))
+            marks.append(place[n > 0])
+            sums.append(n[n > 0])
+        m = np.concatenate(marks) if marks else np.empty(0, MARK)
         c = np.concatenate(sums) if sums else np.empty(0, np.int64)
-        hit, back = np.unique(m, return_inverse=True)
-        return pa.table({"_mark": pa.array(hit, pa.int64()), "shared": pa.array(np.bincount(back, weights=c, minlength=len(hit)).astype(np.int64), pa.int64())})
+        return pa.table({"_digest": pa.Array.from_buffers(pa.binary(16), len(m), [None, pa.py_buffer(m.tobytes())]).cast(pa.binary()), "shared": pa.array(c.astype(np.int64), pa.int64())})
 
     dealt = map_batches(df.select(text), deal, schema)
-    return dealt.groupBy("fragment").applyInArrow(count, "_mark long, shared long").groupBy("_mark").agg(F.sum("shared").alias("shared"))
+    return dealt.groupBy("fragment").applyInArrow(count, "_digest binary, shared long").groupBy("_digest").agg(F.sum("shared").alias("shared"))
 
 
 def need(n, percent: int):
@@ -187,8 +189,7 @@ def _survivors(df, sets, text, key, words, percent) -> DataFrame:
     total = sets.agg(F.sum("n_shingles")).first()[0] or 0
     bound = shared_counts(df, text, words, max(LEAST, -(-total // SEGMENT)))
     classes = sets.where("n_shingles > 0").groupBy("_digest", "n_shingles").agg(F.min(key).alias("_rep"))
-    classes = classes.withColumn("_mark", F.conv(F.hex(F.substring("_digest", 1, 8)), 16, -10).cast("long"))
-    left = classes.join(bound, "_mark").where(F.col("shared") >= need(F.col("n_shingles"), percent))
+    left = classes.join(bound, "_digest").where(F.col("shared") >= need(F.col("n_shingles"), percent))
     reps = materialise(left.select("_rep").distinct(), "join-survivors")
     texts = df.select(key, text).join(small_side(reps), F.col(key).eqNullSafe(F.col("_rep")), "left_semi")
 
@@ -366,25 +367,23 @@ def jaccard_components(df: DataFrame, text="text", key="doc_id", words=4, percen
 
 
 def keep_one(df: DataFrame, text="text", key="doc_id", words=5, percent=80) -> DataFrame:
-    """df with one row of each component, one of the smallest key; rows without n-grams all stay.
+    """df with one row of each component, that of the smallest (key, digest); rows without n-grams all stay.
 
-    Keys that are null or repeat don't tell rows apart, so theirs are told by the digests of their sets: a component
-    stays as one (key, digest), and of the rows that share both, one stays.
+    Rows are told apart by (key, digest of the set), nulls last; of rows that share both, the one of the smallest text
+    stays. Rows of a key that occurs once are removed by it, so only the few removed keys meet the texts; rows of
+    null or repeated keys have their digests made again.
     """
     named = materialise(_named(df, text, key, words, percent), "join-named")
-    # nulls come last, as in the names
-    first = named.where("n_shingles > 0").groupBy("_class").agg(F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("k"), F.col("_digest").alias("d"))).alias("m"))
-    stay = materialise(first.select(F.col("m.k").alias("_stay"), F.col("m.d").alias("_kept")), "join-stay")
-    often = materialise(named.groupBy(key).agg(F.count("*").alias("c")).where(F.col("c") > 1).select(F.col(key).alias("_twice")), "join-repeats")
-    often = often.unionByName(stay.where("_stay is null").select(F.col("_stay").alias("_twice"))).distinct()
-    plain = stay.select("_stay").unionByName(named.where("n_shingles = 0").select(F.col(key).alias("_stay"))).distinct()
-    kept = df.join(small_side(plain), F.col(key).eqNullSafe(F.col("_stay")), "left_semi")
+    own = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("k"), F.col("_digest").alias("d"))
+    first = materialise(named.where("n_shingles > 0").groupBy("_class").agg(F.min(own).alias("m")).select("_class", F.col("m.k").alias("_stay"), F.col("m.d").alias("_kept")), "join-stay")
+    often = named.groupBy(key).agg(F.count("*").alias("c")).where((F.col("c") > 1) | F.col(key).isNull()).select(F.col(key).alias("_twice"))
+    often = materialise(often, "join-repeats")
+    other = named.where("n_shingles > 0").join(first, "_class").where(~F.col(key).eqNullSafe(F.col("_stay")))
+    gone = materialise(other.select(F.col(key).alias("_twice")).unionByName(often).distinct(), "join-removed")
+    single = df.join(small_side(gone), F.col(key).eqNullSafe(F.col("_twice")), "left_anti")
     if often.limit(1).count() == 0:
-        return kept
-    both = small_side(often)
-    single = kept.join(both, F.col(key).eqNullSafe(F.col("_twice")), "left_anti")
-    # only rows of unclear keys have their digests made again
-    unclear, columns = kept.join(both, F.col(key).eqNullSafe(F.col("_twice")), "left_semi"), df.columns
+        return single
+    unclear, columns = df.join(small_side(often), F.col(key).eqNullSafe(F.col("_twice")), "left_semi"), df.columns
 
     def mark(batches):
         shingle = Shingler(words)
@@ -395,5 +394,8 @@ def keep_one(df: DataFrame, text="text", key="doc_id", words=5, percent=80) -> D
 
     schema = T.StructType([*df.schema.fields, T.StructField("_digest", T.BinaryType())])
     marked = materialise(map_batches(unclear, mark, schema), "join-unclear")
-    chosen = marked.join(stay, F.col(key).eqNullSafe(F.col("_stay")) & (F.col("_digest") == F.col("_kept")), "left_semi")
-    return single.unionByName(chosen.dropDuplicates([key, "_digest"]).select(*columns)).unionByName(marked.where("_digest is null").select(*columns))
+    stays = first.select("_stay", "_kept")
+    chosen = marked.join(small_side(stays), F.col(key).eqNullSafe(F.col("_stay")) & (F.col("_digest") == F.col("_kept")), "left_semi")
+    row = F.struct(*[F.col(f"`{c}`") for c in columns])
+    one = chosen.groupBy(key, "_digest").agg(F.min_by(row, F.col(text)).alias("_one")).select("_one.*")
+    return single.unionByName(one).unionByName(marked.where("_digest is null").select(*columns))

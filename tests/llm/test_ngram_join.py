@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from surety.llm import components, ngram_join
+from surety.llm import common, components, ngram_join
 
 
 def shingles(text, words):
@@ -82,8 +82,8 @@ def test_repeated_rows_and_empty_tables(spark):
     got = sorted((repr(tuple(r)) for r in ngram_join.jaccard_components(df).collect()))
     assert got == sorted(["(1, 3, 1)", "(1, 3, 1)", "(2, 3, 1)", "(None, 3, 1)", "(None, 0, None)", "(3, 1, 3)"])
     assert ngram_join.jaccard_components(df.limit(0)).count() == 0
-    kept = sorted(repr(r.doc_id) for r in ngram_join.keep_one(df).collect())
-    assert kept == ["1", "3", "None"] or kept == ["1", "3", "None", "None"]
+    kept = sorted(repr((r.doc_id, r.text)) for r in ngram_join.keep_one(df).collect())
+    assert kept == ["(1, 'a b c d e f')", "(3, 'z')", "(None, None)"]
 
 
 @pytest.mark.parametrize("hot", [100_000, 8])
@@ -106,10 +106,24 @@ def test_components_of_random_graphs(spark, monkeypatch, hot):
     assert all(got.get(x, x) == find(x) for x in parent) and set(parent) - set(got) <= looped
 
 
-def test_rows_of_null_and_repeated_keys_are_told_apart(spark):
+@pytest.mark.parametrize("rows_broadcast", [500_000, 0])
+def test_rows_of_null_and_repeated_keys_are_told_apart(spark, monkeypatch, rows_broadcast):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", rows_broadcast)
     text = lambda c: " ".join(f"{c}{i}" for i in range(40))
     rows = [(None, text("a")), (None, text("b")), (None, text("b")), (None, None), (None, ""), (5, text("c")), (5, text("d")), (6, text("d") + " tail"), (2, text("e")), (7, text("e")), (7, text("f")), (8, None), (8, text("g"))]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    kept = sorted(repr((r.doc_id, r.text)) for r in ngram_join.keep_one(df).collect())
+    found = ngram_join.keep_one(df)
+    assert found.columns == ["doc_id", "text"]
+    kept = sorted(repr((r.doc_id, r.text)) for r in found.collect())
     want = [(None, text("a")), (None, text("b")), (None, None), (None, ""), (5, text("c")), (5, text("d")), (2, text("e")), (7, text("f")), (8, None), (8, text("g"))]
     assert kept == sorted(map(repr, want))
+
+
+def test_small_fragments_and_no_broadcast_give_the_same(spark, monkeypatch):
+    rows = corpus(5, 200)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    monkeypatch.setattr(ngram_join, "LEAST", 3)
+    monkeypatch.setattr(ngram_join, "SEGMENT", 500)
+    monkeypatch.setattr(ngram_join, "BATCH", 900)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    assert sorted(tuple(r) for r in ngram_join.jaccard_components(df).collect()) == brute(rows, 4, 85)
