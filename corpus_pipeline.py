@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from surety.llm import ngram_join, packing, pii, poisson_mix, quality
-from surety.llm.common import shared_dir, table
+from surety.llm.common import discard, forget, materialise, secret, table, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -29,7 +29,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with format-preserving pseudonyms; n_chars is counted anew."""
-    out = pii.pseudonymise(docs.select(*COLUMNS), counts=False)
+    out = pii.pseudonymise(docs.select(*COLUMNS), secret(spark), counts=False)
     return out.withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
 
 
@@ -49,9 +49,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    root = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    docs, last, root = table(spark, sf_dir, "documents"), None, f"pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{root}/{name}")
-        docs = spark.read.parquet(f"{root}/{name}")
+        mark = written()
+        docs = materialise(stage(spark, docs, sf_dir), f"{root}-{name}")
+        # the stage's own tables and what it read have had their last reader
+        forget(spark, mark, docs)
+        if last is not None:
+            discard(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)
