@@ -1,19 +1,25 @@
 """Main text of web pages by a host's suffix array, with a check by structure.
 
-A page is cut into blocks of visible text. Blocks inside an article (or main) element are content and stand as they
-are, however often a site repeats an article. All other blocks go to their host's suffix array: the token streams of
-its pages are concatenated, suffixes are sorted to DEPTH tokens, substrings that occur on distinct pages are found,
-blocks that they cover are removed as boilerplate and unique runs are kept. The check then removes what furniture is
-left for being unique to its page: blocks inside menus, headers, footers, sidebars, notices, adverts, forms and reader
-comments, known by element, role or class.
+A page is cut into blocks of visible text. The token streams of a host's pages (all blocks but those that the markup
+itself declares to be an article) are concatenated with a separator after each; their suffixes are sorted, and the
+longest common prefixes of neighbours give, for every token, the longest substring from there that a distinct page has
+too. Substrings of DEPTH tokens and more are boilerplate: blocks that they cover to the last token are removed, runs of
+other blocks are kept whole. Exact copies of a page count as one page, and a page without an article of which nothing
+would be left keeps its blocks, so mirrored pages keep their text.
+
+A check by structure follows: blocks inside menus, headers, footers, sidebars, notices, adverts, forms and reader
+comments are removed even if they are unique to their page. They are known by element, or by a class, id or role one of
+whose words names furniture as a whole (comment-list does, has-sidebar and share-story don't). What only arranges a page
+(a form, a header, a class) never removes an article inside it.
 
 A host is dealt out in chunks of about CHUNK characters (by a hash of the page), so a host with any share of the
-pages spreads over many tasks and every task holds one chunk at a time. For hosts of several chunks, substrings that
-repeat across chunks are found by aggregating the fingerprints of their windows; each chunk gets its host's repeated
-ones as further rows. Articles have no windows, so these are few.
+pages spreads over many tasks and every task holds one chunk at a time. A substring of DEPTH tokens or more is the
+union of its windows of DEPTH tokens, so what repeats across chunks follows from the fingerprints of these windows:
+they are aggregated by host and joined back to the chunks that hold them, which gives the same blocks whatever the
+chunks are.
 
 Defined results: a null html gives an empty text; a page without visible content too; a null url is a host of its
-own; exact copies of a page keep their article (only blocks outside one can be boilerplate); repeated rows each give a row.
+own; repeated rows each give a row; a null key is a key like others. Texts and nesting may have any length.
 """
 
 from __future__ import annotations
@@ -26,11 +32,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from surety.llm.common import map_batches, materialise, small_side
+from surety.llm.common import discard, map_batches, materialise, small_side
 
-#: Tokens of a repeated substring; characters in a chunk; share of an open block's tokens that makes it boilerplate.
-DEPTH, CHUNK, COVERED = 12, 250_000, 0.7
+#: Tokens of a repeated substring; characters in a chunk; tokens that suffixes are sorted to, longer repeats being unions.
+DEPTH, CHUNK, SORTED = 12, 250_000, 1024
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^\"'>]|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<(?P<bad>/?)(?P<bname>[a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)",
     re.S,
@@ -42,123 +49,158 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 DROPPED = frozenset("nav footer aside form head menu dialog button select input fieldset header".split())
 MAIN = frozenset("article main".split())
-#: Words of class, id and role values that mark page furniture.
+#: Words of class, id and role values that mark page furniture; of these, those under which articles aren't the page's.
 FURNITURE = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar aside nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead footer cookie cookies consent notice notices alert popup modal newsletter subscribe subscription signup login form search comment comments commentlist reply replies respond disqus discussion share sharing social related recommended complementary contentinfo pagination pager skip toolbar widget".split()
 )
+FOREIGN = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion footer comment comments commentlist reply replies respond disqus discussion related recommended contentinfo".split())
+#: Words that may stand beside them in a compound.
+PLAIN_WORDS = frozenset("site main page top bottom left right primary secondary global box bar list section container wrapper wrap block inner outer item link links area body content post article text icon buttons button dialog overlay panel group col column row the user reader readers".split())
 #: Elements whose start tag ends an open paragraph.
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
 SELF_CLOSING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SPACE = re.compile(r"\s+")
+#: Attributes that can say what an element is; the attribute without a value; quoted values.
+TELLING = re.compile(r"class|id|role|hidden", re.I)
+HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)", re.I)
+QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
 WORD = re.compile(r"[^\W_]+|[^\w\s]")
 #: Inside an article these belong to it.
 TITLES = frozenset("header masthead".split())
+#: Elements under which an article isn't the page's own.
+APART = frozenset("nav footer aside".split())
 OPEN, KEEP, FURNISHED = 0, 1, 2
+#: How an element removes what is inside it: not, but for an article, altogether.
+FREE, ARRANGED, GONE = 0, 1, 2
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _furniture(name: str, rest: str, main: bool) -> bool:
+def _named(value: str) -> set[str]:
+    """The furniture words of a class, id or role value's names that consist of such and plain words alone."""
+    out = set()
+    for name in value.split():
+        words = [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower()) if w]
+        found = FURNITURE.intersection(words)
+        if found and all(w in FURNITURE or w in PLAIN_WORDS for w in words):
+            out |= found
+    return out
+
+
+def _furniture(name: str, rest: str, main: bool) -> int:
+    """FREE, ARRANGED or GONE for an element."""
+    out = FREE
     if name in DROPPED and not (main and name in TITLES):
-        return True
-    if "=" not in rest:
-        return False
+        out = GONE if main or name in APART else ARRANGED
+    if not TELLING.search(rest):
+        return out
+    if HIDDEN.search(QUOTED.sub('""', rest)):
+        return GONE
     for m in ATTRIBUTE.finditer(rest):
         key = m[1].lower()
-        if key in ("class", "id", "role"):
-            value = (m[2] or m[3] or m[4] or "").lower()
-            found = FURNITURE.intersection(re.split(r"[^a-z]+", value)) if name not in ("html", "body", *MAIN) else ()
+        if key in ("class", "id", "role") and name not in ("html", "body"):
+            found = _named(m[2] or m[3] or m[4] or "")
+            if name in MAIN:
+                found &= FOREIGN
             if found and not (main and TITLES.issuperset(found)):
-                return True
-        elif key == "hidden" or key == "aria-hidden" and "true" in m[0].lower():
-            return True
-    return False
+                out = max(out, GONE if main or found & FOREIGN else ARRANGED)
+        elif key == "aria-hidden" and "true" in m[0].lower():
+            return GONE
+    return out
 
 
-def blocks(source: str) -> list[tuple[int, str]]:
-    """(KEEP, OPEN or FURNISHED, text) of the visible blocks in page order; furniture inside a block is one of its own."""
-    out, parts, aside, stack = [], [], [], []  # stack: (name, dropped, main) with what holds inside
-    dropped = main = False
-    at, n = 0, len(source)
+class _Page:
+    """The open elements and the blocks so far. A frame of the stack: (name, how it removes, in an article, the
+    open paragraph that a block element would end or -1)."""
+
+    def __init__(self):
+        self.out, self.parts, self.aside, self.stack, self.where = [], [], [], [], {}
+
+    def state(self):
+        return self.stack[-1][1:] if self.stack else (FREE, False, -1)
 
-    def flush():
-        for held, kind in ((parts, KEEP if main else OPEN), (aside, FURNISHED)):
+    def add(self, text):
+        (self.aside if self.state()[0] else self.parts).append(text)
+
+    def flush(self):
+        kept = KEEP if self.state()[1] else OPEN
+        for held, kind in ((self.parts, kept), (self.aside, FURNISHED)):
             if held:
                 text = SPACE.sub(" ", "".join(held)).strip()
                 if text:
-                    out.append((kind, text))
+                    self.out.append((kind, text))
                 held.clear()
 
-    def add(text):
-        (aside if dropped else parts).append(text)
+    def push(self, name, rest):
+        gone, main, p = self.state()
+        inline = name in INLINE
+        if not inline or rest:
+            gone = max(gone, _furniture(name, rest, main))
+            if name in MAIN and gone == ARRANGED:
+                gone = FREE
+            main = main or name in MAIN
+        self.where.setdefault(name, []).append(len(self.stack))
+        self.stack.append((name, gone, main, len(self.stack) if name == "p" else p if inline else -1))
+
+    def leave(self, depth):
+        while len(self.stack) > depth:
+            self.where[self.stack.pop()[0]].pop()
+
+    def close(self, name):
+        if name in INLINE:
+            # an inline element ends only within its own block
+            if self.stack and self.stack[-1][0] == name:
+                self.leave(len(self.stack) - 1)
+            return
+        self.flush()
+        if self.where.get(name):
+            self.leave(self.where[name][-1])
+
+    def open(self, name, rest):
+        if name not in INLINE:
+            self.flush()
+            if name in ENDS_P and self.state()[2] >= 0:
+                self.leave(self.state()[2])
+            siblings = SELF_CLOSING.get(name)
+            while siblings and self.stack and (self.stack[-1][0] in siblings or self.stack[-1][0] in INLINE or self.stack[-1][0] == "p"):
+                self.leave(len(self.stack) - 1)
+            if rest.rstrip().endswith("/") and name not in MAIN and name not in ("p", "div"):
+                return
+        self.push(name, rest)
 
-    def leave(k):
-        nonlocal dropped, main
-        del stack[k:]
-        dropped, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
 
+def blocks(source: str) -> list[tuple[int, str]]:
+    """(KEEP, OPEN or FURNISHED, text) of the visible blocks in page order; furniture inside a block is one of its own."""
+    page, at, n = _Page(), 0, len(source)
     while at < n:
         m = TOKEN.search(source, at)
         if m is None:
-            add(html.unescape(source[at:]))
+            page.add(html.unescape(source[at:]))
             break
         if m.start() > at:
-            add(html.unescape(source[at : m.start()]))
+            page.add(html.unescape(source[at : m.start()]))
         at = m.end()
         name = m["name"] or m["bname"]
         if name is None:
             if m[0].startswith("<![CDATA["):
-                add(m[0][9:].removesuffix("]]>"))
+                page.add(m[0][9:].removesuffix("]]>"))
             continue
         name = name.lower()
         if m["close"] or m["bad"]:
-            if name in INLINE:
-                # an inline element ends only within its own block
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == name:
-                        if k == len(stack) - 1:
-                            leave(k)
-                        break
-                    if stack[k][0] not in INLINE:
-                        break
-                continue
-            flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    leave(k)
-                    break
-            continue
-        if name in RAW:
+            page.close(name)
+        elif name in RAW:
             if name not in INLINE:
-                flush()
+                page.flush()
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
             at = end.end() if end else n
-            continue
-        rest = m["rest"] or ""
-        if name in VOID:
+        elif name in VOID:
             if name == "br":
-                add("\n")
+                page.add("\n")
             elif name not in INLINE:
-                flush()
-            continue
-        inline = name in INLINE
-        if not inline:
-            flush()
-            if name in ENDS_P:
-                k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == "p"), None)
-                if k is not None and all(x[0] == "p" or x[0] in INLINE for x in stack[k:]):
-                    leave(k)
-            siblings = SELF_CLOSING.get(name)
-            if siblings:
-                while stack and (stack[-1][0] in siblings or stack[-1][0] in INLINE or stack[-1][0] == "p"):
-                    leave(len(stack) - 1)
-        if rest.rstrip().endswith("/") and name not in MAIN and not inline and name != "p" and name != "div":
-            continue
-        if not inline or rest:
-            dropped = dropped or _furniture(name, rest, main)
-            main = main or name in MAIN
-        stack.append((name, dropped, main))
-    flush()
-    return out
+                page.flush()
+        else:
+            page.open(name, m["rest"] or "")
+    page.flush()
+    return page.out
 
 
 def stream(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -172,100 +214,112 @@ def stream(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.array([memo[w] for w in words], np.uint64), np.array(owner, np.int64)
 
 
-def suffix_ranks(tokens: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The suffix array sorted to depth tokens, and each suffix's rank: equal ranks share their first depth tokens.
-
-    Prefix doubling: suffixes are sorted by pairs of ranks of half the length, the last step overlapping.
-    """
+def suffix_array(tokens: np.ndarray, room: np.ndarray, longest: int = SORTED) -> tuple[np.ndarray, np.ndarray]:
+    """The order of all suffixes, each ending after its room of tokens, and the common prefix of each with the one
+    before it; both up to longest tokens (a power of 2). Prefix doubling: suffixes are sorted by pairs of ranks of
+    half the length; the ranks of all lengths then add up the common prefixes from the longest down."""
     n = len(tokens)
-    rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64) + 1
-    have = 1
-    while have < depth:
-        step = min(have, depth - have)
-        after = np.zeros(n, np.int64)
-        after[: n - step] = rank[step:]
-        rank = np.unique(rank * (n + 2) + after, return_inverse=True)[1].astype(np.int64) + 1
-        have += step
-    return np.argsort(rank, kind="stable"), rank
-
-
-def windows(texts: list[str], depth: int):
-    """Tokens of the texts in a row, the text of each, and for each token the length and fingerprint of the window that
-    starts there: depth tokens, or all of a text that has fewer; 0 where none does."""
+    ranks, have = [np.unique(tokens, return_inverse=True)[1].astype(np.int32) + 1], 1
+    while have < longest and (not n or ranks[-1].max() < n):
+        rank, after = ranks[-1].astype(np.int64), np.zeros(n, np.int64)
+        inside = np.flatnonzero(room > have)
+        after[inside] = rank[inside + have]
+        ranks.append(np.unique(rank * (n + 2) + after, return_inverse=True)[1].astype(np.int32) + 1)
+        have *= 2
+    # suffixes that end early are equal only if they end alike
+    order = np.argsort(ranks[-1], kind="stable")
+    common = np.zeros(n, np.int64)
+    left, right = order[:-1].copy(), order[1:].copy()
+    for level in range(len(ranks) - 1, -1, -1):
+        size, rank = 1 << level, ranks[level]
+        # windows of this length that both still have room for
+        fits = (room[order[:-1]] - common[1:] >= size) & (room[order[1:]] - common[1:] >= size)
+        at = np.flatnonzero(fits)
+        same = at[rank[left[at]] == rank[right[at]]]
+        common[1:][same] += size
+        left[same] = np.minimum(left[same] + size, n - 1)
+        right[same] = np.minimum(right[same] + size, n - 1)
+    return order, common
+
+
+def shared_lengths(order: np.ndarray, common: np.ndarray, page: np.ndarray) -> np.ndarray:
+    """For each token the longest substring from there that a page of another number has too: the least common prefix
+    up to the nearest neighbour of another page in the suffix array, on either side."""
+    n = len(order)
+    out = np.zeros(n, np.int64)
+    if n < 2:
+        return out
+    own = page[order]
+    run = np.cumsum(np.concatenate([[0], own[1:] != own[:-1]]))
+    far = np.int64(1) << 40
+
+    def reach(low, run):
+        # least value since the run began: later runs are shifted below all earlier ones
+        return np.minimum.accumulate(low - run * far) + run * far
+
+    before = reach(common, run)
+    before[run == 0] = 0
+    down = np.append(common[1:], 0)[::-1]
+    back = run[-1] - run[::-1]
+    after = reach(down, back)
+    after[back == 0] = 0
+    out[order] = np.maximum(before, after[::-1])
+    return out
+
+
+def _pages(pages: list[list[str]]):
+    """(tokens, block, page identity, room to the page's end) of the pages' streams in a row."""
+    texts = [t for p in pages for t in p]
     tokens, owner = stream(texts)
-    n = len(tokens)
-    counts = np.bincount(owner, minlength=len(texts))
-    start = (np.cumsum(counts) - counts)[owner]
-    place = np.arange(n)
-    whole = (counts[owner] < depth) & (place == start)
-    length = np.where(start + counts[owner] - place >= depth, depth, np.where(whole, counts[owner], 0))
-    code = np.zeros(n, np.uint64)
-    for k in range(min(depth, n)):
-        use = np.flatnonzero(length > k)
+    number = np.repeat(np.arange(len(pages)), [len(p) for p in pages])[owner] if len(owner) else owner
+    ends = np.cumsum(np.bincount(number, minlength=len(pages)))
+    same = np.array([xxhash.xxh64_intdigest("\0".join(p)) for p in pages], np.uint64)
+    return tokens, owner, same[number], (ends[number] - np.arange(len(tokens)))
+
+
+def windows(pages: list[list[str]], depth: int = DEPTH):
+    """(tokens, block, page identity, room, code): code is the fingerprint of the depth tokens from there, if there are so many."""
+    tokens, owner, page, room = _pages(pages)
+    use = np.flatnonzero(room >= depth)
+    code = np.zeros(len(tokens), np.uint64)
+    for k in range(depth):
         mixed = (code[use] ^ tokens[use + k]) * _P
         code[use] = mixed ^ (mixed >> np.uint64(29))
-    return tokens, owner, length, code
+    return tokens, owner, page, room, code
 
 
-def repeated(pages: list[list[str]], depth: int = DEPTH, known: frozenset = frozenset()) -> list[list[np.ndarray]]:
-    """For every block of every page: which of its tokens lie in a substring of depth tokens (or a shorter block as a
-    whole) that occurs on another page, or whose fingerprint is known."""
-    texts = [t for p in pages for t in p]
-    page_of = np.repeat(np.arange(len(pages)), [len(p) for p in pages])
-    tokens, owner, length, code = windows(texts, depth)
-    n = len(tokens)
-    cover = np.zeros(n + 1, np.int64)
+def repeated(pages: list[list[str]], depth: int = DEPTH, known: frozenset = frozenset()) -> list[list[bool]]:
+    """For every block of every page, whether all its tokens lie in substrings of depth tokens or more that occur on
+    another page, or whose windows' fingerprints are known. Blocks without tokens aren't covered."""
+    tokens, owner, page, room, code = windows(pages, depth)
+    n, blocks_ = len(tokens), sum(map(len, pages))
+    length = np.zeros(n, np.int64)
     if n:
-        order, rank = suffix_ranks(tokens, depth)
-        page, hit = page_of[owner], np.zeros(n, bool)
-        short = np.flatnonzero((length > 0) & (length < depth))
-        for members, label in ((order[length[order] == depth], rank), (short[np.argsort(code[short], kind="stable")], code)):
-            if not len(members):
-                continue
-            values = label[members]
-            edge = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
-            many = np.minimum.reduceat(page[members], edge) != np.maximum.reduceat(page[members], edge)
-            hit[members] = np.repeat(many, np.diff(np.append(edge, len(members))))
-        if known:
-            hit |= (length > 0) & np.isin(code, np.fromiter(known, np.uint64, len(known)))
-        at = np.flatnonzero(hit)
-        np.add.at(cover, at, 1)
-        np.add.at(cover, at + length[at], -1)
+        order, common = suffix_array(tokens, room)
+        length = shared_lengths(order, common, np.unique(page, return_inverse=True)[1])
+        length[length < depth] = 0
+    if known and n:
+        hit = (room >= depth) & np.isin(code, np.fromiter(known, np.uint64, len(known)))
+        length[hit] = np.maximum(length[hit], depth)
+    cover = np.zeros(n + 1, np.int64)
+    at = np.flatnonzero(length)
+    np.add.at(cover, at, 1)
+    np.add.at(cover, at + length[at], -1)
     covered = np.cumsum(cover)[:-1] > 0
-    parts = iter(np.split(covered, np.cumsum(np.bincount(owner, minlength=len(texts)))[:-1]) if texts else [])
-    return [[next(parts) for _ in p] for p in pages]
-
-
-def unique_runs(text: str, covered: np.ndarray) -> str:
-    """text without its covered tokens' runs; the rest trimmed and joined."""
-    keep, at, spans = [], 0, [m.span() for m in WORD.finditer(text)]
-    for (a, b), gone in zip(spans, covered, strict=True):
-        if gone:
-            keep.append(text[at:a])
-            at = b
-    keep.append(text[at:])
-    return SPACE.sub(" ", " ".join(x.strip() for x in keep if x.strip())).strip()
+    size, bare = np.bincount(owner, minlength=blocks_), np.bincount(owner[~covered], minlength=blocks_)
+    found = iter(((size > 0) & (bare == 0)).tolist())
+    return [[next(found) for _ in p] for p in pages]
 
 
 def clean(parsed: list[list[tuple[int, str]]], known: frozenset = frozenset()) -> list[str]:
-    """Texts of the pages of one host. Blocks outside articles are looked up; content stays as it is."""
+    """Texts of the pages of one host."""
     found = repeated([[t for k, t in p if k != KEEP] for p in parsed], known=known)
     out = []
     for page, hits in zip(parsed, found, strict=True):
-        lines, at = [], 0
-        for kind, text in page:
-            if kind != KEEP:
-                covered = hits[at]
-                at += 1
-                if len(covered) and covered.mean() >= COVERED:
-                    continue
-                if kind == FURNISHED:
-                    continue
-                if covered.any():
-                    text = unique_runs(text, covered)
-            if text:
-                lines.append(text)
-        out.append("\n".join(lines))
+        hit = iter(hits)
+        marked = [(kind, text, kind != KEEP and next(hit)) for kind, text in page]
+        lines = [text for kind, text, gone in marked if kind == KEEP or kind == OPEN and not gone]
+        out.append("\n".join(lines or [text for kind, text, _ in marked if kind == OPEN]))
     return out
 
 
@@ -291,41 +345,44 @@ def _groups(batches, names):
 
 
 def _windows(pages: DataFrame, source: str) -> DataFrame:
-    """(_host, _code, _page) of the windows of blocks outside articles."""
+    """(_host, _chunk, _code, a, b): the fingerprints of each chunk's windows and the least and greatest page that has them."""
 
     def run(batches):
         for batch in batches:
             parsed = [[t for k, t in blocks(text or "") if k != KEEP] for text in batch.column(source).to_pylist()]
-            row_of = np.repeat(np.arange(len(parsed)), [len(p) for p in parsed])
-            _, owner, length, code = windows([t for p in parsed for t in p], DEPTH)
-            at = np.flatnonzero(length)
-            pairs = np.unique(np.stack([row_of[owner[at]].astype(np.uint64), code[at]], axis=1), axis=0)
-            rows = pa.array(pairs[:, 0].astype(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("_host").take(rows), pa.array(pairs[:, 1].view(np.int64)), batch.column("_page").take(rows)], names=["_host", "_code", "_page"])
+            row = np.repeat(np.arange(len(parsed)), [len(p) for p in parsed])
+            _, owner, page, room, code = windows(parsed)
+            at = np.flatnonzero(room >= DEPTH)
+            at = at[np.lexsort((code[at], row[owner[at]]))]
+            at = at[np.concatenate([[True], (code[at[1:]] != code[at[:-1]]) | (row[owner[at[1:]]] != row[owner[at[:-1]]])])[: len(at)]]
+            rows = pa.array(row[owner[at]])
+            yield pa.RecordBatch.from_arrays([batch.column("_host").take(rows), batch.column("_chunk").take(rows), pa.array(code[at].view(np.int64)), pa.array(page[at].view(np.int64))], names=["_host", "_chunk", "_code", "_page"])
 
-    return map_batches(pages.select("_host", "_page", source), run, "_host string, _code long, _page long")
+    made = map_batches(pages.select("_host", "_chunk", source), run, "_host string, _chunk int, _code long, _page long")
+    return made.groupBy("_host", "_chunk", "_code").agg(F.min("_page").alias("a"), F.max("_page").alias("b"))
 
 
 def extract(df: DataFrame, source="html", url="url", key="page_id") -> DataFrame:
     """(key, url, text, n_chars), one row per page."""
     kinds = dict(df.dtypes)
-    pages = df.select(key, url, source).withColumn("_host", host_of(F.col(url))).withColumn("_page", F.xxhash64(key, url))
+    pages = df.select(key, url, source).withColumn("_host", host_of(F.col(url)))
     size = F.ceil(F.sum(F.length(source)) / CHUNK).cast("int")
     large = materialise(pages.groupBy("_host").agg(size.alias("_chunks")).where("_chunks > 1"), "large-hosts")
-    side = small_side(large)
-    dealt = pages.join(side, "_host", "left").withColumn("_chunk", F.pmod("_page", F.coalesce("_chunks", F.lit(1))).cast("int"))
-    seen = _windows(dealt.where("_chunks > 1"), source).groupBy("_host", "_code").agg(F.min("_page").alias("a"), F.max("_page").alias("b")).where("a != b")
-    told = seen.join(side, "_host").withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
-    rows = dealt.select("_host", "_chunk", F.lit(None).cast("long").alias("_code"), key, url, source).unionByName(told.select("_host", "_chunk", "_code"), allowMissingColumns=True)
+    dealt = pages.join(small_side(large), "_host", "left").withColumn("_chunk", F.pmod(F.xxhash64(key, url), F.coalesce("_chunks", F.lit(1))).cast("int"))
+    held = materialise(_windows(dealt.where("_chunks > 1"), source), "host-windows")
+    seen = held.groupBy("_host", "_code").agg(F.min("a").alias("a"), F.max("b").alias("b")).where("a != b").select("_host", "_code")
+    # each chunk is told only of its own windows, and only of those that another chunk shares
+    told = materialise(held.select("_host", "_chunk", "_code").join(seen, ["_host", "_code"]).select("_host", "_chunk", "_code"), "shared-windows")
+    discard(held)
+    rows = dealt.select("_host", "_chunk", F.lit(None).cast("long").alias("_code"), key, url, source).unionByName(told, allowMissingColumns=True)
     rows = rows.repartition("_host", "_chunk").sortWithinPartitions("_host", "_chunk", F.col("_code").asc_nulls_last(), key)
+    names = [key, url, "text", "n_chars"]
+    types = [f.type for f in to_arrow_schema(rows.select(key, url).schema)] + [pa.string(), pa.int64()]
 
     def run(batches):
-        for held, known in _groups(batches, (key, url, source)):
-            texts = clean([blocks(r[2] or "") for r in held], known)
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in held], _arrow(kinds[key])), pa.array([r[1] for r in held], pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[key, url, "text", "n_chars"])
+        for group, known in _groups(batches, (key, url, source)):
+            texts = clean([blocks(r[2] or "") for r in group], known)
+            columns = [[r[0] for r in group], [r[1] for r in group], texts, [len(t) for t in texts]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
     return map_batches(rows, run, f"`{key}` {kinds[key]}, `{url}` {kinds[url]}, text string, n_chars long")
-
-
-def _arrow(kind: str):
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]

@@ -101,13 +101,15 @@ _JACCARD_SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(transl
   r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
   SELECT s.doc_id, len(s.g)::BIGINT AS n_shingles, (SELECT min(r.b) FROM r WHERE r.a = s.doc_id) AS component_id FROM s"""
 
-#: The sample pages hold one article each, of headings and paragraphs; entities are decoded in one pass by keeping & apart.
-_ARTICLE_SQL = r"""WITH a AS (SELECT page_id, url, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS t FROM pages),
-  b AS (SELECT page_id, url, unnest(list_concat([''], string_split(regexp_replace(t, '</?(?:p|h1)>', chr(2), 'g'), chr(2)))) AS t, generate_subscripts(list_concat([''], string_split(regexp_replace(t, '</?(?:p|h1)>', chr(2), 'g'), chr(2))), 1) AS i FROM a),
+#: What is left of a page without its head, comments, menus, adverts and footer, cut at tags of blocks. Entities are
+#: decoded in one pass by keeping & apart.
+_REST_SQL = r"""WITH a AS (SELECT page_id, url, regexp_replace(coalesce(html, ''), '(?s)<!--.*?-->|<head>.*?</head>|<nav>.*?</nav>|<div class="ad">.*?</div>|<footer>.*?</footer>', chr(2), 'g') AS t FROM pages),
+  l AS (SELECT page_id, url, list_concat([''], string_split(regexp_replace(t, '<!DOCTYPE html>|</?(?:html|body|article|p|h1)(?: [^>]*)?>', chr(2), 'g'), chr(2))) AS l FROM a),
+  b AS (SELECT page_id, url, unnest(l) AS t, generate_subscripts(l, 1) AS i FROM l),
   c AS (SELECT page_id, url, i, regexp_replace(regexp_replace(t, '<br>', ' ', 'g'), '<[^>]+>', '', 'g') AS t FROM b),
   d AS (SELECT page_id, url, i, replace(replace(replace(replace(replace(replace(replace(t, '&amp;', chr(1)), '&amp', chr(1)), '&quot;', '"'), '&quot', '"'), '&lt;', '<'), '&gt;', '>'), chr(1), '&') AS t FROM c),
   e AS (SELECT page_id, url, i, trim(regexp_replace(t, '\s+', ' ', 'g')) AS t FROM d),
   f AS (SELECT page_id, url, coalesce(string_agg(t, chr(10) ORDER BY i) FILTER (t <> ''), '') AS text FROM e GROUP BY page_id, url)
   SELECT page_id, url, text, length(text) AS n_chars FROM f"""
 
-ORACLES = {"op7_host_suffix_array": _ARTICLE_SQL, "op1_secret_scan": _secret_sql(), "op9_poisson_mix": _POISSON_SQL, "op10_ngram_jaccard": _JACCARD_SQL}
+ORACLES = {"op7_host_suffix_array": _REST_SQL, "op1_secret_scan": _secret_sql(), "op9_poisson_mix": _POISSON_SQL, "op10_ngram_jaccard": _JACCARD_SQL}
