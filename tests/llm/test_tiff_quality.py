@@ -1,6 +1,8 @@
 """TIFF round trips, rule statistics and the isolation forest."""
 
 import hashlib
+import math
+import os
 import random
 import re
 import struct
@@ -133,11 +135,53 @@ def test_statistics_match_brute_force():
         assert quality.statistics(t)[:5] == brute(t), repr(t)
 
 
-def test_forest_finds_planted_outliers():
-    rng = np.random.default_rng(0)
-    rows = np.concatenate([rng.normal(0, 0.05, (900, 4)), rng.normal(3, 0.05, (20, 4))])
-    score = quality.Forest(rows).score(rows)
-    assert score[-20:].min() > score[:-20].max()
+def plain_path(rows, tree, node, row, level, levels, bits):
+    """The path of one row through a tree grown on rows, in plain Python; bits by feature."""
+    low, high = np.array([min(c) for c in zip(*rows)]), np.array([max(c) for c in zip(*rows)])
+    f, split = quality.choose_split(tree, node, low, high)
+    if level == levels or len(rows) < 2 or f < 0:
+        return level + quality.mean_path(len(rows))
+    right = row[f] > split
+    part = [r for r in rows if (r[f] > split) == right]
+    bits[f] += math.log2(len(rows) / len(part))
+    return plain_path(part, tree, 2 * node + 1 + right, row, level + 1, levels, bits)
+
+
+def forest_table(spark, n=400, seed=3):
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        words = rng.randint(20, 300)
+        rows.append((i, words, words * 5 + rng.randint(0, 40), rng.choice((0, 0, 1, words)), rng.choice((0, 0, 2)), rng.choice((0, 0, 9)), rng.randint(0, 9), words * 4, rng.choice((0, 1)), rng.choice((0, 0, 3)), rng.randint(2, 9)))
+    return spark.createDataFrame(rows, "doc_id long, " + ", ".join(f"{c} long" for c in quality.STATS)), rows
+
+
+def test_forest_matches_plain_trees_however_rows_are_dealt(spark, monkeypatch):
+    df, rows = forest_table(spark)
+    vectors = [tuple(v) for v in quality.ratios({c: np.array([r[i + 1] for r in rows]) for i, c in enumerate(quality.STATS)}).tolist()]
+    passing = [v for v, r in zip(vectors, rows) if 100 * r[5] <= 30 * r[1]]
+    monkeypatch.setattr(quality, "HELD", 7)
+    made = [quality.fit(df.repartition(k), trees=6, levels=4) for k in (1, 5)]
+    for forest in made:
+        score, why = forest.score(np.array(passing))
+        for v, got, reason in list(zip(passing, score, why))[::7]:
+            bits = [0.0] * len(quality.FEATURES)
+            path = sum(plain_path(passing, t, 0, v, 0, 4, bits) for t in range(6)) / 6
+            assert abs(got - 2 ** (-path / quality.mean_path(len(passing)))) < 1e-12
+            assert all(r == (b > 0 and b >= 0.5 * max(bits)) for r, b in zip(reason, bits) if abs(b - 0.5 * max(bits)) > 1e-6)
+    assert all((getattr(made[0], x) == getattr(made[1], x)).all() for x in ("feature", "split", "path", "bits", "count"))
+
+
+def test_held_out_labels_of_the_sample_are_told_apart(spark):
+    root = "/root/testdata/sf0.01"
+    if not os.path.isdir(root):
+        pytest.skip("sample tables are absent")
+    docs, labels = spark.read.parquet(f"{root}/documents.parquet"), spark.read.parquet(f"{root}/labels.parquet")
+    out = [quality.judge(docs.repartition(k), labels).join(labels, "doc_id").where("not base_failed").where(~quality.calibrating("doc_id")).collect() for k in (1, 9)]
+    assert {(r.doc_id, r.anomaly, r.kept) for r in out[0]} == {(r.doc_id, r.anomaly, r.kept) for r in out[1]}
+    good, bad = ([r for r in out[0] if r.quality == q] for q in (1, 0))
+    assert sum(r.kept for r in good) >= 0.95 * len(good) and sum(not r.kept for r in bad) >= 0.7 * len(bad)
+    assert len({round(r.anomaly, 4) for r in good}) > 20
 
 
 def test_verdicts(spark):
@@ -163,13 +207,9 @@ def test_verdicts(spark):
 
 
 def test_rare_junk_is_in_the_trees(spark):
-    rng = random.Random(6)
-    clean, echo = (60, 300, 0, 0, 0, 0, 300, 0, 0), (60, 300, 0, 0, 0, 0, 300, 0, 40)
+    clean, echo = (60, 300, 0, 0, 0, 0, 300, 0, 0, 3), (60, 300, 0, 0, 0, 0, 300, 0, 40, 3)
     rows = [(i, *(echo if i == 17_777 else clean)) for i in range(20_000)]
-    rng.shuffle(rows)
     stats = spark.createDataFrame(rows, "doc_id long, " + ", ".join(f"{c} long" for c in quality.STATS))
-    forest = quality.fit(stats, trees=10, sample=16)
-    a, b = forest.score(quality.ratios({c: np.array([clean[i], echo[i]]) for i, c in enumerate(quality.STATS)}))
-    assert b > a
-    many = np.arange(5000.0)[:, None]
-    assert len(set(quality.Forest(many, 10, 16, counts=np.ones(5000)).score(many[[0, 2500]]))) == 2
+    (a, b), (_, why) = quality.fit(stats, trees=10).score(quality.ratios({c: np.array([clean[i], echo[i]]) for i, c in enumerate(quality.STATS)}))
+    assert b > a and why.tolist() == [f == "echoes" for f in quality.FEATURES]
+    assert quality.fit(stats.limit(0)) is None and quality.fit(stats.limit(1)) is None
