@@ -2,18 +2,22 @@
 
 Readers take a path that Spark can open. Limits follow each corpus's own order: the maths corpus is limited before
 unusable rows are dropped, the multiple-choice corpus after its subject filter, the fictional one after its split.
-num_samples: None for all, 0 for none. Positional ids come from the column idx, which raw files carry.
+num_samples: None for all, 0 for none. Positional ids come from the column idx: load() numbers the rows of a file in
+their order, as raw files carry no numbers.
 """
 
 from __future__ import annotations
 
 import random
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from surety.functions.columns import strip
 from surety.plans import schema
+from surety.sources.shared import once
 
 #: Letters of the choices; the format of a worked solution's last line; instruction of our own wording.
 LETTERS = ("A", "B", "C", "D")
@@ -43,24 +47,36 @@ def check_split(dataset: str, split: str | None) -> str:
 
 
 def read_raw(spark: SparkSession, path: str, kind, multi_line=False) -> DataFrame:
-    """JSON lines, one JSON document, or Parquet, by the path's ending."""
+    """JSON lines, one JSON document, or Parquet, by the path's ending; columns that a file lacks are null."""
     if path.rstrip("/").endswith(".parquet"):
-        return spark.read.parquet(path)
+        return spark.read.schema(kind).parquet(path)
     return spark.read.schema(kind).json(path, multiLine=multi_line)
 
 
-def numbered(df: DataFrame, order: str) -> DataFrame:
-    """Adds idx from 0 in the given order, for raw tables without positions, by two-level counts.
+def _counted(placed: DataFrame, group: list[str]) -> DataFrame:
+    """placed has been written once, with the increasing number _at: idx counts its rows by group, then by _at.
 
-    Range partitions keep the order; a partition's first number is the count of the rows before it.
+    Rows of a group follow each other, so a group's first number and the rows before it place all of them; no rows are
+    shuffled or ordered, only one row a group.
     """
-    ranged = df.repartitionByRange(order).withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id())
-    from pyspark.sql.window import Window
+    sizes = placed.groupBy(*group).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy(*group).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    same = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"_of{c}") for c in group])
+    base = sizes.select(*[F.col(c).alias(f"_of{c}") for c in group], "_first", before.alias("_before"))
+    idx = F.col("_before") + F.col("_at") - F.col("_first")
+    return placed.join(F.broadcast(base), same).withColumn("idx", idx).drop(*group, "_at", "_first", "_before", *[f"_of{c}" for c in group])
 
-    sizes = ranged.groupBy("_part").count()
-    before = F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    within = F.row_number().over(Window.partitionBy("_part").orderBy(order, "_row"))
-    return ranged.join(sizes.select("_part", before.alias("_before")), "_part").withColumn("idx", F.col("_before") + within - 1).drop("_part", "_row", "_before")
+
+def numbered(df: DataFrame, *order: str) -> DataFrame:
+    """Adds idx from 0 in the given order, ties in any order. Range partitions, sorted and written once, keep it."""
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    return _counted(once(ranged.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()})), ["_part"])
+
+
+def positions(df: DataFrame) -> DataFrame:
+    """Adds idx from 0 in the order of a file's rows, and of the files' names; df reads files."""
+    place = {"_file": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start"), "_at": F.monotonically_increasing_id()}
+    return _counted(once(df.withColumns(place)), ["_file", "_block"])
 
 
 def trivia_qa(raw: DataFrame, num_samples: int | None = None) -> DataFrame:
@@ -161,7 +177,7 @@ def lettered(question, choices, instruction=CHOICE_INSTRUCTION):
 
 
 def mmlu(raw: DataFrame, subject="all", num_samples: int | None = None) -> DataFrame:
-    rows = raw if subject == "all" else raw.where(F.col("subject") == subject)
+    rows = raw if subject == "all" else numbered(raw.where(F.col("subject") == subject).withColumnRenamed("idx", "_row"), "_row").drop("_row")
     letters = F.array(*[F.lit(x) for x in LETTERS])
     rows = _limit(rows, num_samples, "idx")
     gold = F.array(F.element_at(letters, F.col("answer") + 1))
@@ -176,6 +192,8 @@ def web_questions(raw: DataFrame, num_samples: int | None = None) -> DataFrame:
     return _limit(raw, num_samples, "idx").select(F.coalesce("url", F.col("idx").cast("string")).alias("question_id"), "question", "answers")
 
 
+#: Corpora whose question ids are positions.
+POSITIONAL = frozenset(["gsm8k", "mmlu", "nq_open", "web_questions"])
 #: Corpus by name: raw schema, whether the file is one JSON document, and the normaliser.
 CORPORA = {
     "trivia_qa": (schema.TRIVIA, False, trivia_qa),
@@ -197,4 +215,5 @@ def load(spark: SparkSession, name: str, path: str, split: str | None = None, **
     split = check_split(name, split)
     if name == "fictional_qa":
         options["split"] = split
-    return make(read_raw(spark, path.replace("{split}", split), kind, whole), **options)
+    raw = read_raw(spark, path.replace("{split}", split), kind, whole)
+    return make(positions(raw) if name in POSITIONAL else raw, **options)

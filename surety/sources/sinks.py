@@ -25,9 +25,18 @@ def _flat(df: DataFrame, columns: list[str], sentinel=schema.IGNORE) -> DataFram
     return df.select(*out)
 
 
+#: Cells keep their blanks, quotes and line breaks, in both directions.
+TSV = {"sep": "\t", "header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
+def read_tsv(spark, path: str, kind=None) -> DataFrame:
+    reader = spark.read.options(**TSV, multiLine=True)
+    return (reader.schema(kind) if kind else reader).csv(path)
+
+
 def write_tsv(df: DataFrame, path: str, columns: list[str] | None = None, partition_by=(), mode="error") -> None:
     flat = _flat(df, columns or df.columns)
-    writer = flat.write.mode(mode).option("sep", "\t").option("header", True).option("escape", '"')
+    writer = flat.write.mode(mode).options(**TSV)
     (writer.partitionBy(*partition_by) if partition_by else writer).csv(path)
 
 

@@ -84,11 +84,29 @@ def test_open_and_web(spark, tmp_path):
 def test_numbering_and_slices(spark):
     df = spark.range(1000).selectExpr("(id * 7919) % 1000 as v").repartition(5)
     assert sorted(rows(corpora.numbered(df, "v"))) == [(i, i) for i in range(1000)]
+    wide = spark.range(300_000).selectExpr("(id * 7919) % 300000 as v", "repeat(cast(id as string), 20) as w").repartition(7)
+    got = corpora.numbered(wide, "v").selectExpr("count(*)", "sum(if(idx = v, 0, 1))", "count(distinct idx)", "count(distinct w)").first()
+    assert tuple(got) == (300_000, 0, 300_000, 300_000)
+    tied = spark.createDataFrame([(i // 10, i) for i in range(500)], "v long, w long").repartition(6)
+    placed = corpora.numbered(tied, "v").collect()
+    assert sorted(r.idx for r in placed) == list(range(500)) and all(r.idx // 10 == r.v for r in placed)
+    assert corpora.numbered(df.limit(0), "v").count() == 0
     assert [r.v for r in corpora.offset(df, 10, "v").limit(3).collect()] == [10, 11, 12]
     half = [r[0] for r in corpora.sorted_half(df, "v", "train").collect()]
     assert sorted(half) == list(range(500))
 
 
+@pytest.mark.parametrize("ending", ["json", "parquet"])
+def test_positions_follow_the_order_of_files(spark, tmp_path, ending):
+    raw = spark.range(5000).selectExpr("concat('q', id) as question", "array(cast(id as string)) as answer").coalesce(3)
+    path = f"{tmp_path}/n.{ending}"
+    raw.write.format(ending).save(path)
+    got = corpora.load(spark, "nq_open", path).collect()
+    assert len(got) == 5000 and all(r.question == "q" + r.question_id and r.answers == [r.question_id] for r in got)
+    few = corpora.load(spark, "nq_open", path, num_samples=3).collect()
+    assert [r.question_id for r in few] == ["0", "1", "2"]
+
+
 def test_prompts(spark):
     q = spark.createDataFrame([("1", "what is {answer}?", ["x", "y"]), ("2", None, [])], "question_id string, question string, answers array<string>")
     made = prompts.build_prompts(q, "graded").orderBy("question_id").collect()
