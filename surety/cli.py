@@ -1,6 +1,7 @@
 """Command line: evaluations, transfer comparisons and weight tables over files that Spark can open.
 
     python -m surety.cli evaluate --input predictions.parquet --output out --dataset gsm8k --meta-type fok
+    python -m surety.cli run --dataset nq_open --input dev.json --output out --model my_models:make --meta-type fok
     python -m surety.cli transfer --input details.parquet --output out --baseline base --primary tuned
     python -m surety.cli extract-weights --tuned a.parquet --base b.parquet --output delta
     python -m surety.cli apply-weights --base b.parquet --delta delta --output out --filter-ratio 0.3
@@ -10,6 +11,7 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 import json
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,6 +49,20 @@ def run_evaluate(spark: SparkSession, a) -> dict:
     return out
 
 
+def run_questions(spark: SparkSession, a) -> dict:
+    """From a corpus to metrics: loads questions, lets a model answer them, writes the scored trials."""
+    module, name = a.model.split(":")
+    options = {k: v for k, v in (("num_samples", a.num_samples), ("lang", a.lang if a.dataset == "mkqa" else None)) if v is not None}
+    questions = corpora.load(spark, a.dataset, a.input, a.split, **options)
+    scored = evaluate.answer_questions(questions, getattr(importlib.import_module(module), name), a.meta_type, a.dataset, a.lang, a.mode)
+    graded = a.mode == "answers" and a.meta_type in score.SCALES
+    # written before it is measured, so that the model answers once
+    scored.write.mode("overwrite").parquet(f"{a.output}/trials")
+    scored = spark.read.parquet(f"{a.output}/trials")
+    (sinks.write_graded if graded else sinks.write_binary)(scored, f"{a.output}/" + sinks.result_name(a.dataset, name, corpora.check_split(a.dataset, a.split), scored.count(), a.meta_type), mode="overwrite")
+    return evaluate.evaluate(scored, [], a.meta_type if graded else "binary").first().asDict()
+
+
 def run_transfer(spark: SparkSession, a) -> dict:
     details = _read(spark, a.input)
     long = transfer.transfer_results(details, a.meta_types.split(","), "logit_confidence" in details.columns).cache()
@@ -99,6 +115,13 @@ def parser() -> argparse.ArgumentParser:
     e.add_argument("--start", type=int)
     e.add_argument("--num-samples", type=int)
     e.add_argument("--price-model")
+    r = command("run", run_questions, "input", "output", "model")
+    r.add_argument("--dataset", required=True, choices=[*corpora.CORPORA])
+    r.add_argument("--meta-type", default="binary", choices=["binary", *score.SCALES])
+    r.add_argument("--mode", default="answers", choices=["answers", "abstention"])
+    for n in ("split", "lang"):
+        r.add_argument(f"--{n}")
+    r.add_argument("--num-samples", type=int)
     t = command("transfer", run_transfer, "input", "output")
     t.add_argument("--meta-types", default="binary,graded,fok,jol,numeric")
     t.add_argument("--baseline")

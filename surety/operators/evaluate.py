@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from surety.functions import logits, score
-from surety.operators import metrics
+from surety.operators import generate, metrics
+from surety.plans import prompts
 from surety.plans.schema import IGNORE
 
 
@@ -43,6 +44,19 @@ def score_abstention(df: DataFrame, dataset: str = "trivia_qa") -> DataFrame:
     return score_binary(df.withColumn("meta_answer", score.abstention("prediction")), dataset)
 
 
+def answer_questions(questions: DataFrame, make, meta_type: str = "binary", dataset: str = "trivia_qa", lang: str | None = None, mode: str = "answers") -> DataFrame:
+    """Scored trials from questions (question_id, question, answers): prompts are built, the model that make() gives in
+    each task answers them, and the answers are scored. mode: answers, or abstention, which asks no second question."""
+    asked = prompts.build_prompts(questions, meta_type, dataset, lang)
+    if mode == "abstention":
+        asked = asked.withColumn("direct_prompt", prompts.direct_prompt("question", may_abstain=True))
+        return score_abstention(generate.generate(asked, make), dataset)
+    answered = generate.generate(generate.generate(asked, make), make, "meta_prompt", "meta_answer")
+    if meta_type in score.SCALES:
+        return score_graded(answered, meta_type, dataset)
+    return score_binary(answered, dataset, lang if dataset == "mkqa" else None, keep_length=True)
+
+
 def evaluate(scored: DataFrame, keys: list, meta_type: str = "binary") -> DataFrame:
     if meta_type not in score.SCALES:
         return metrics.binary_metrics(scored, keys, "direct_correctness", "yes")

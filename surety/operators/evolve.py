@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from surety.functions.reward import reward
+from surety.operators.tensor import hashed
 
 
 def seed_rewards(trials: DataFrame, name: str, correct="correct", meta="yes", iteration="iteration", seed="seed") -> DataFrame:
@@ -23,7 +24,7 @@ def standard_scores(population: DataFrame, iteration="iteration", small=1e-8) ->
 
 def gaussian(*parts) -> Column:
     """A standard normal number hashed from the parts (Box and Muller)."""
-    unit = lambda tag: (F.pmod(F.xxhash64(*parts, F.lit(tag)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    unit = lambda tag: (hashed(*parts, F.lit(tag)) + 0.5) / float(1 << 52)
     return F.sqrt(-2 * F.ln(unit(1))) * F.cos(2 * F.pi() * unit(2))
 
 

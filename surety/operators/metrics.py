@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 from surety.functions import score
 from surety.functions.columns import col, zero
 from surety.functions.probit import probit
+from surety.sources.shared import once
 
 PAIRS = "decimal(38,0)"
 LEAST_RATE = 1e-4
@@ -35,7 +36,12 @@ def d_prime(hits, right, alarms, wrong) -> Column:
 
 
 def binary_counts(trials: DataFrame, keys: list, correct="correct", yes="yes") -> DataFrame:
-    """The 2 by 2 table of each group: n, right, yes, hits (right and yes), alarms (wrong and yes), aligned."""
+    """The 2 by 2 table of each group: n, right, yes, hits (right and yes), alarms (wrong and yes). correct: None if
+    trials has been counted to right and wrong already."""
+    if correct is None:
+        y, right, wrong = col(yes), F.col("right"), F.col("wrong")
+        add = lambda x: F.coalesce(F.sum(x), F.lit(0))
+        return trials.groupBy(*keys).agg(add(right + wrong).alias("n"), add(right).alias("right"), add(F.when(y == 1, right + wrong)).alias("said_yes"), add(F.when(y == 1, right)).alias("hits"), add(F.when(y == 1, wrong)).alias("alarms"))
     c, y = col(correct), col(yes)
     count = lambda x: F.coalesce(F.sum(x.cast("bigint")), F.lit(0))
     return trials.groupBy(*keys).agg(F.count("*").alias("n"), count(c == 1).alias("right"), count(y == 1).alias("said_yes"), count((c == 1) & (y == 1)).alias("hits"), count((c == 0) & (y == 1)).alias("alarms"))
@@ -73,7 +79,10 @@ def meta_information(hits: Column, misses: Column, alarms: Column, rejections: C
 
 
 def contingency(trials: DataFrame, keys: list, correct="correct", grade="grade") -> DataFrame:
-    """(keys, grade, right, wrong). The only shuffle of the trials, and it carries partial counts."""
+    """(keys, grade, right, wrong). The only shuffle of the trials, and it carries partial counts. correct: None if
+    trials has been counted so already."""
+    if correct is None:
+        return trials.select(*keys, col(grade).alias("grade"), "right", "wrong")
     c = col(correct)
     return trials.groupBy(*keys, col(grade).alias("grade")).agg(F.sum((c == 1).cast("bigint")).alias("right"), F.sum((c == 0).cast("bigint")).alias("wrong"))
 
@@ -213,16 +222,19 @@ def graded_metrics(trials: DataFrame, keys: list, meta_type: str, correct="corre
     )
 
 
-def pair_counts_wide(trials: DataFrame, keys: list, correct="correct", score_="score", buckets=512) -> DataFrame:
+def pair_counts_wide(trials: DataFrame, keys: list, correct="correct", score_="score", buckets=256) -> DataFrame:
     """pair_counts() for scores with any number of distinct values.
 
-    Prefix sums have two levels: buckets of equal width between a group's extremes, then values inside a bucket, so no
-    task orders a whole group. A row's bucket grows with its score, so the result doesn't depend on their number.
+    Prefix sums have two levels: buckets between approximate quantiles of a group's distinct values, then values inside
+    a bucket, so no task orders a whole group, however its values are spread. A row's bucket grows with its score, so
+    the result doesn't depend on them; they are found once, so that all readers see the same.
     """
     table = contingency(trials.where(col(score_).isNotNull()), keys, correct, score_)
-    edges = table.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.min("grade").alias("least"), F.max("grade").alias("most"))
+    buckets = max(buckets, 2)
+    cuts = F.percentile_approx("grade", F.array(*[F.lit(i / buckets) for i in range(1, buckets)]), F.lit(8 * buckets))
+    edges = once(table.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.array_distinct(cuts).alias("cuts")))
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], F.lit(True))
-    place = F.floor(zero(F.try_divide(F.col("grade") - F.col("least"), F.col("most") - F.col("least"))) * (buckets - 1)).cast("int")
+    place = F.size(F.filter("cuts", lambda c: c < F.col("grade")))
     rows = table.join(edges, same).select(*keys, "grade", "right", "wrong", place.alias("bucket"))
     earlier = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     level = rows.groupBy(*keys, "bucket").agg(F.sum("right").alias("r"), F.sum("wrong").alias("w"))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from surety.functions.columns import col
 from surety.plans.schema import IGNORE
+from surety.sources.corpora import numbered
+from surety.sources.shared import once
 
 
 def truncate(ids, length: int) -> Column:
@@ -95,11 +99,20 @@ def kth_magnitude(delta: DataFrame, filter_ratio: float, buckets=4096, small=100
     """One row with the k-th smallest magnitude, k = max(1, floor(n (1 - ratio))), without a global sort.
 
     Histograms of the magnitudes zoom in on the bucket that holds it, each a scan with a partial aggregate of at most
-    as many rows as buckets, until the bucket has few values; only these are ranked.
+    as many rows as buckets, until the bucket has few values; only these are ranked. Nulls don't count; infinite
+    magnitudes follow all finite ones and NaN follows those; without values the threshold is null.
     """
     rows = delta.where(F.col("value").isNotNull()).select(F.abs("value").alias("m"))
-    n, low, high = rows.agg(F.count("*"), F.min("m"), F.max("m")).first()
-    k = max(1, int(n * (1 - filter_ratio)))
+    if rows.limit(small + 1).count() > small:
+        # what makes the values is computed once, not for every histogram
+        rows = once(rows)
+    finite = F.col("m") < float("inf")
+    n, low, high, endless, nan = rows.agg(F.count(F.when(finite, 1)), F.min(F.when(finite, F.col("m"))), F.max(F.when(finite, F.col("m"))), F.count(F.when(F.col("m") == float("inf"), 1)), F.count(F.when(F.isnan("m"), 1))).first()
+    k = max(1, int((n + endless + nan) * (1 - filter_ratio)))
+    if k > n:
+        # infinite magnitudes come after all finite ones, NaN after those
+        found = None if not endless and not nan else float("inf") if k <= n + endless else float("nan")
+        return rows.sparkSession.range(1).select(F.lit(found).cast("double").alias("threshold"))
     left = n
     while left > small and high > low:
         place = F.least(F.floor((F.col("m") - low) / (high - low) * buckets), F.lit(buckets - 1)).alias("b")
@@ -142,9 +155,31 @@ def cyclic(iteration, batches: int) -> Column:
     return F.pmod(col(iteration), F.lit(batches))
 
 
+def epoch(iteration, batches: int) -> Column:
+    """The pass over the data that an iteration belongs to."""
+    return F.floor(col(iteration) / batches)
+
+
+def hashed(*parts) -> Column:
+    """52 bits of the md5 of the parts, joined by colons."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *[col(p).cast("string") for p in parts])), 1, 13), 16, 10).cast("bigint")
+
+
 def shuffled(df: DataFrame, key, seed: int) -> DataFrame:
-    """Rows in an order hashed from key and seed."""
-    return df.orderBy(F.xxhash64(key, F.lit(seed)), key)
+    """Rows in an order hashed from seed and key."""
+    return df.orderBy(hashed(F.lit(seed), key), key)
+
+
+def shuffle_positions(df: DataFrame, key: str, seed: int, turn: int = 0) -> DataFrame:
+    """Adds idx: the place of each row in an order hashed from seed, turn and key."""
+    rows = df.withColumn("_hash", hashed(F.lit(seed), F.lit(turn), key))
+    return numbered(rows, "_hash", key).drop("_hash")
+
+
+def epoch_batches(df: DataFrame, key, size: int, epochs: int, seed: int) -> DataFrame:
+    """Rows with epoch, batch: a loader that shuffles anew in each epoch and goes on over as many as asked."""
+    turns = [shuffle_positions(df, key, seed, e).withColumns({"epoch": F.lit(e), "batch": mini_batch("idx", size)}).drop("idx") for e in range(epochs)]
+    return reduce(DataFrame.unionByName, turns)
 
 
 def warmup_schedule(step, batches: int, accumulation: int, epochs: int, warmup_ratio: float) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from surety.functions.columns import col
+from surety.operators.tensor import hashed
 
 DIRECT = {
     "en": "Give a short answer, key words only.\nQuestion: {question}\n",
@@ -84,7 +85,7 @@ def chat_messages(prompt, reply=None) -> Column:
 
 def tuning_pairs(questions: DataFrame, seed: int = 42) -> DataFrame:
     """Adds messages: the direct prompt and one of the answers, chosen by a hash of the key and seed."""
-    pick = F.pmod(F.xxhash64("question_id", F.lit(seed)), F.greatest(F.size("answers"), F.lit(1))).cast("int") + 1
+    pick = F.pmod(hashed("question_id", F.lit(seed)), F.greatest(F.size("answers"), F.lit(1))).cast("int") + 1
     reply = F.coalesce(F.try_element_at("answers", pick), F.lit(""))
     return questions.withColumn("messages", chat_messages(direct_prompt("question"), reply))
 

@@ -117,3 +117,31 @@ def test_model_boundary(spark):
 
     rows = generate.remote_chat(df, make).orderBy("question_id").collect()
     assert [(r.prediction, r.meta_answer, r.prompt_tokens, r.total_tokens) for r in rows] == [("ask!", "sure?!", 4, 4), ("", "sure?!", 2, 2)]
+
+
+def test_thresholds_of_odd_magnitudes(spark):
+    inf, nan = float("inf"), float("nan")
+
+    def found(values, ratio, small=2):
+        df = spark.createDataFrame([("w", i, v) for i, v in enumerate(values)], "name string, pos long, value double")
+        return tensor.kth_magnitude(df, ratio, buckets=4, small=small).first().threshold
+
+    values = [0.5, -1.0, 2.0, -3.0, 1e308, -1e308, 5e-324, inf, -inf, nan, None]
+    order = sorted((abs(v) for v in values if v is not None and v == v)) + [nan]
+    for ratio in (0.0, 0.1, 0.25, 0.5, 0.77, 0.95):
+        for small in (2, 100):
+            want = order[max(1, int(10 * (1 - ratio))) - 1]
+            got = found(values, ratio, small)
+            assert got == want or got != got and want != want
+    assert found([3.0] * 50, 0.5) == 3.0 and found([None], 0.5) is None and found([inf] * 9, 0.5) == inf
+    # one outlier beside many values: the histograms still end
+    assert found([*map(float, range(200)), 1e300], 0.5) == 99.0
+
+
+def test_shuffles_differ_by_turn(spark):
+    df = spark.range(64).withColumnRenamed("id", "k")
+    rows = tensor.epoch_batches(df, "k", 10, 3, 5).collect()
+    by = [[{r.k for r in rows if (r.epoch, r.batch) == (e, b)} for b in range(7)] for e in range(3)]
+    assert all(sorted(map(len, e)) == [4, 10, 10, 10, 10, 10, 10] and set().union(*e) == set(range(64)) for e in by)
+    assert by[0] != by[1] != by[2]
+    assert [r[0] for r in spark.range(8).select(tensor.epoch("id", 3)).collect()] == [0, 0, 0, 1, 1, 1, 2, 2]

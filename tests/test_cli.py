@@ -4,6 +4,7 @@ import json
 
 from surety import cli
 from surety.plans import schema
+from surety.sources import sinks
 
 
 def call(capsys, *argv):
@@ -35,3 +36,17 @@ def test_transfer_weights_and_loading(spark, tmp_path, capsys):
     assert sorted(r.value for r in spark.read.parquet(f"{tmp_path}/z").collect()) == [0.0, 2.0, 4.0, 6.0]
     (tmp_path / "n.json").write_text('{"idx": 0, "question": "q", "answer": ["a"]}')
     assert call(capsys, "load", "--dataset", "nq_open", "--input", f"{tmp_path}/n.json", "--output", f"{tmp_path}/q") == {"questions": 1}
+
+
+def test_from_questions_to_metrics(spark, tmp_path, capsys, monkeypatch):
+    (tmp_path / "n.json").write_text("\n".join(json.dumps({"question": f"q{i}", "answer": ["Forty Two" if i < 3 else "none"]}) for i in range(4)))
+    monkeypatch.syspath_prepend(tmp_path)
+    (tmp_path / "stub_models.py").write_text("def make():\n    return lambda prompts: ['I feel 4' if 'how well' in p else 'forty two' for p in prompts]\n")
+    spark.sparkContext.addPyFile(str(tmp_path / "stub_models.py"))
+    base = ["run", "--dataset", "nq_open", "--input", f"{tmp_path}/n.json", "--model", "stub_models:make"]
+    got = call(capsys, *base, "--output", f"{tmp_path}/o", "--meta-type", "fok")
+    assert got["n"] == 4 and got["accuracy"] == 0.75 and got["mean_grade"] == 4
+    back = sinks.read_tsv(spark, f"{tmp_path}/o/nq_open_make_validation_4_fok.tsv")
+    assert back.columns == schema.GRADED_COLUMNS and sorted(r.question_id for r in back.collect()) == ["0", "1", "2", "3"]
+    got = call(capsys, *base, "--output", f"{tmp_path}/a", "--mode", "abstention", "--num-samples", "2")
+    assert got["n"] == 2 and got["yes_rate"] == 1 and got["accuracy"] == 1

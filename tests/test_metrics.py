@@ -149,3 +149,14 @@ def test_streamed_counts_equal_batch(spark, tmp_path):
 def test_scoring_plans_have_no_cartesian_product(spark):
     plan = metrics.graded_metrics(frame(spark, FIXED).withColumn("grade", score.parse_number_grade("k", 5)), ["k"], "fok")._jdf.queryExecution().toString()
     assert "Cartesian" not in plan and "Python" not in plan
+
+
+def test_areas_of_scores_with_outliers(spark):
+    rng = random.Random(4)
+    rows = [(k, rng.randint(0, 1), rng.gauss(0, 1)) for k in "ab" for _ in range(300)] + [("a", 1, 1e200), ("a", 0, -1e200), ("b", 0, None), ("c", 1, 2.0)]
+    df = spark.createDataFrame(rows, "k string, correct int, score double")
+    for buckets in (2, 7, 256):
+        pairs = {r.k: r for r in metrics.pair_counts_wide(df, ["k"], buckets=buckets).collect()}
+        for k in "abc":
+            right, wrong = ([s for g, c, s in rows if g == k and c == x and s is not None] for x in (1, 0))
+            assert pairs[k].concordant == sum(a > b for a in right for b in wrong) and pairs[k].discordant == sum(a < b for a in right for b in wrong)
