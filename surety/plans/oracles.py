@@ -195,3 +195,7 @@ ORACLES["dedupe_aliases"] = "SELECT item_id, array_to_string(list_sort(list_dist
 ORACLES["text_normalize"] = f"SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate(lower(text), {_quote(PUNCTUATION)}, ''), '(^|[^\\p{{L}}\\p{{N}}_])(a|an|the)($|[^\\p{{L}}\\p{{N}}_])', '\\1 \\3', 'g'), '(^|[^\\p{{L}}\\p{{N}}_])(a|an|the)($|[^\\p{{L}}\\p{{N}}_])', '\\1 \\3', 'g'), '\\s+', ' ', 'g'), '  +', ' ', 'g')) AS text FROM documents"
 ORACLES["limit_offset"] = "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 50 OFFSET 100"
 ORACLES["contingency_cube"] = f"SELECT k, grade::BIGINT AS grade, sum(correct)::BIGINT AS right, count(*) AS n FROM {EVENTS} GROUP BY CUBE (k, grade)"
+NOISE = "sqrt(-2 * ln((('0x' || substr(md5(p.seed || ':' || w.name || ':' || w.pos || ':1'), 1, 13))::BIGINT + 0.5) / 4503599627370496.0)) * cos(2 * pi() * ((('0x' || substr(md5(p.seed || ':' || w.name || ':' || w.pos || ':2'), 1, 13))::BIGINT + 0.5) / 4503599627370496.0))"
+ORACLES["evolution_update"] = f"""WITH p AS (SELECT l_partkey % 32 AS seed, avg(correct + (correct = yes)::INT) AS reward FROM {BINARY} WHERE k = 1 GROUP BY ALL),
+  z AS (SELECT seed, (reward - avg(reward) OVER ()) / (stddev_samp(reward) OVER () + 1e-8) AS z, count(*) OVER () AS n FROM p)
+  SELECT name, round(sqrt(sum(d * d)), 7) AS step FROM (SELECT w.name, w.pos, sum({NOISE} * p.z * 0.1 / p.n) AS d FROM {WEIGHTS} w, z p GROUP BY ALL) GROUP BY name"""

@@ -23,11 +23,6 @@ def long(x):
     return F.col(x).cast("bigint").alias(x) if isinstance(x, str) else x.cast("bigint")
 
 
-def _passages(spark, sf_dir) -> DataFrame:
-    """The benchmark as one answer list: a bounded list of short passages."""
-    return table(spark, sf_dir, "benchmark").groupBy().agg(F.collect_list("text").alias("answers"))
-
-
 # scorers
 
 
@@ -397,11 +392,11 @@ def apply_delta(spark, sf_dir):
 
 @query
 def evolution_update(spark, sf_dir):
-    """Noise is hashed, so there is no SQL for it; the update's size is reported by parameter."""
+    """The size of the update, by parameter."""
     one = evolve.standard_scores(_population(spark, sf_dir)).where("iteration = 1")
     w = views.weights(spark, sf_dir)
     moved = evolve.apply_evolution(w, one, 0.1).withColumnRenamed("value", "moved")
-    return moved.join(w, ["name", "pos"]).groupBy("name").agg(F.round(F.sqrt(F.sum((F.col("moved") - F.col("value")) ** 2)), 9).alias("step"))
+    return moved.join(w, ["name", "pos"]).groupBy("name").agg(F.round(F.sqrt(F.sum((F.col("moved") - F.col("value")) ** 2)), 7).alias("step"))
 
 
 def _tokens(spark, sf_dir):
