@@ -63,21 +63,45 @@ def candidates(df: DataFrame, text: Column, key: Column, rules=RULES) -> DataFra
     return met.groupBy("_key").agg(F.collect_set("kind").alias("_rules"))
 
 
+#: Matches that are placed one after another; longer lists are placed block by block, in about linear time.
+BLOCK = 512
+
+
+def _once(value: Column, use) -> Column:
+    """use(value), with the value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _spans(text: Column, rule: Rule, order: int) -> Column:
-    """Spans of one rule: what lies between the matches and the matches give the positions."""
+    """Spans of one rule: the lengths of what lies between the matches and of the matches give the positions."""
     gaps = F.split(text, rule.pattern, -1)
     found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     sized = found if rule.measured == 0 else F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.measured))
-    rows = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), found.alias("hit"), sized.alias("part"))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,ord:int,kind:string,end:int>>").alias("out"))
+    lengths = lambda gap, hit: F.struct(F.length(gap).alias("gap"), F.length(hit).alias("hit"))
+    pairs = F.filter(F.zip_with(found, gaps, lambda hit, gap: lengths(gap, hit)), lambda x: x["hit"].isNotNull())
+    rows = F.zip_with(pairs, sized, lambda x, part: F.struct(x["gap"].alias("gap"), x["hit"].alias("hit"), F.length(part).alias("part")))
+    none = F.array().cast("array<struct<start:int,ord:int,kind:string,end:int>>")
+
+    def place(block, base):
+        def step(acc, row):
+            start = acc["at"] + row["gap"]
+            end = start + row["hit"]
+            one = F.struct(start.alias("start"), F.lit(order).alias("ord"), F.lit(rule.kind).alias("kind"), end.alias("end"))
+            return F.struct(end.alias("at"), F.when(row["part"] >= rule.least, F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).alias("out"))
+
+        return F.aggregate(block, F.struct(base.alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+
+    def placed(blocks):
+        widths = F.transform(blocks, lambda block: F.aggregate(block, F.lit(0), lambda s, x: s + x["gap"] + x["hit"]))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        bases = F.aggregate(widths, start, lambda acc, w: F.struct((acc["at"] + w).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+        return F.flatten(F.zip_with(blocks, bases, place))
 
-    def step(acc, row):
-        start = acc["at"] + F.length(row["gap"])
-        end = start + F.length(row["hit"])
-        one = F.struct(start.alias("start"), F.lit(order).alias("ord"), F.lit(rule.kind).alias("kind"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(F.length(row["part"]) >= rule.least, F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).alias("out"))
+    def cut(rows):
+        last = F.greatest(F.floor((F.size(rows) - 1) / BLOCK).cast("int"), F.lit(0))
+        return F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(rows, b * BLOCK + 1, F.lit(BLOCK)))
 
-    return F.aggregate(rows, empty, step, lambda acc: acc["out"])
+    return _once(_once(rows, cut), placed)
 
 
 def find_secrets(df: DataFrame, text="text", key="doc_id", rules=RULES, out="secrets") -> DataFrame:

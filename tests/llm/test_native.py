@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 
 import pytest
 
@@ -42,6 +43,16 @@ def test_secret_spans_match_plain_regular_expressions(spark):
     assert secrets.find_secrets(df.limit(0)).count() == 0
 
 
+def test_many_hits_in_one_text_take_about_linear_time(spark):
+    rng = random.Random(1)
+    text = " ".join(f"{'é' * rng.randint(0, 3)}token={'x' * rng.randint(1, 20)}" for _ in range(60_000))
+    df = spark.createDataFrame([(1, text), (2, "token=abcdefgh " * 513), (3, "token=abcdefgh " * 512)], "doc_id long, text string")
+    start = time.time()
+    got = {r.doc_id: [tuple(s) for s in r.secrets] for r in secrets.find_secrets(df).collect()}
+    assert got == {i: brute(t) for i, t in ((1, text), (2, "token=abcdefgh " * 513), (3, "token=abcdefgh " * 512))}
+    assert len(got[1]) > 30_000 and time.time() - start < 120
+
+
 @pytest.mark.parametrize("pattern, text", [(r"ab+cde", "xabbcdex"), (r"(foo|ba[rz])qux", "bazqux"), (r"(?i)Key=.{3}z", "kEY=abcz"), (r"a?bcd", "bcd")])
 def test_trigram_queries_are_necessary(pattern, text):
     assert re.search(pattern, text)
