@@ -117,7 +117,7 @@ BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 def map_batches(df: DataFrame, run, schema) -> DataFrame:
     """df.mapInArrow in batches of bounded size; a worker gives its free memory back when its task ends."""
     conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) != BATCH_ROWS:
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
         conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
