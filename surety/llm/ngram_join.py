@@ -37,7 +37,7 @@ from surety.llm.common import map_batches, materialise, small_side
 from surety.llm.components import components
 
 #: Words remembered by a worker; n-grams gathered before a batch is sent; n-grams in a hash fragment; least fragments.
-MEMO, BATCH, SEGMENT, LEAST = 200_000, 1_000_000, 2_000_000, 48
+MEMO, BATCH, SEGMENT, LEAST = 200_000, 1_000_000, 1_000_000, 8
 #: Sets in a block; n-grams of a set that count as one set more; n-grams in a fragment of the frequency order.
 BLOCK, LONG, FRAGMENT = 256, 8000, 4096
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -118,13 +118,15 @@ def shared_counts(df: DataFrame, text: str, words: int, fragments: int) -> DataF
         local = np.bincount(owner[repeat], minlength=len(arrays))
         keep = np.flatnonzero(~repeat)
         keep = keep[np.argsort(part[keep], kind="stable")]
-        cuts = np.searchsorted(part[keep], np.arange(fragments + 1, dtype=np.uint64))
         leads = np.flatnonzero(lead)
         leads = leads[np.argsort(part[leads], kind="stable")]
-        lead_cuts = np.searchsorted(part[leads], np.arange(fragments + 1, dtype=np.uint64))
+        # only fragments that the batch meets, however many there are
+        met = np.union1d(part[keep], part[leads])
+        cuts = np.append(np.searchsorted(part[keep], met), len(keep))
+        lead_cuts = np.append(np.searchsorted(part[leads], met), len(leads))
         rows = []
-        for f in range(fragments):
-            at, more = keep[cuts[f] : cuts[f + 1]], leads[lead_cuts[f] : lead_cuts[f + 1]]
+        for k, f in enumerate(met.tolist()):
+            at, more = keep[cuts[k] : cuts[k + 1]], leads[lead_cuts[k] : lead_cuts[k + 1]]
             held, counts = np.unique(owner[at], return_counts=True)
             rows.append((f, marks[held].tobytes(), counts.astype(np.int32).tobytes(), grams[at].astype(np.uint32).tobytes(), grams[more].astype(np.uint32).tobytes()))
         some = np.flatnonzero(local)
