@@ -250,6 +250,21 @@ def weights_round_trip(spark, sf_dir):
     return sinks.read_weights(spark, path)
 
 
+LOSSES = "(SELECT o_orderkey AS iteration, o_totalprice AS loss FROM orders WHERE o_orderkey <= 60)"
+
+
+@query(f"SELECT iteration, name, sum(pos)::BIGINT AS pos, round(sum(value), 6) AS value FROM (SELECT iteration, name, pos, value * iteration AS value FROM {oracles.WEIGHTS}, (SELECT a.iteration FROM {LOSSES} a WHERE a.iteration % 20 = 0 OR a.iteration = (SELECT max(iteration) FROM {LOSSES}) OR NOT EXISTS (SELECT 1 FROM {LOSSES} b WHERE b.iteration < a.iteration AND b.loss <= a.loss)) WHERE starts_with(name, '3/')) GROUP BY ALL")
+def checkpoints(spark, sf_dir):
+    """Weights of a run's iterations: every twentieth, the last, and those that were the best so far are written."""
+    log = table(spark, sf_dir, "orders").where("o_orderkey <= 60").select(F.col("o_orderkey").alias("iteration"), F.col("o_totalprice").alias("loss"))
+    own = views.weights(spark, sf_dir).where(F.col("name").startswith("3/"))
+    run = own.crossJoin(log.select("iteration")).withColumn("value", F.col("value") * F.col("iteration"))
+    path = shared_path(spark, "checkpoints")
+    sinks.write_checkpoints(run, log, path, 20)
+    back = spark.read.parquet(path).groupBy("iteration", "name").agg(F.sum("pos").alias("pos"), F.round(F.sum("value"), 6).alias("value"))
+    return back.withColumn("iteration", F.col("iteration").cast("bigint"))
+
+
 @query("SELECT unnest(['trivia_qa_org_model_validation_100.tsv', 'nq_open_m_test_7_fok.tsv', 'mkqa_a_b_c_train_0_ko.json']) AS name")
 def output_names(spark, sf_dir):
     names = [sinks.result_name("trivia_qa", "org/model", "validation", 100), sinks.result_name("nq_open", "m", "test", 7, "fok"), sinks.result_name("mkqa", "a/b/c", "train", 0, "ko", "json")]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from surety.operators.tensor import running_best
 from surety.plans import schema
 
 
@@ -88,3 +89,22 @@ def read_weights(spark, path: str) -> DataFrame:
 def periodic(iteration, every: int):
     """Whether a checkpoint or validation is due."""
     return iteration % every == 0
+
+
+def due_checkpoints(log: DataFrame, every: int, order="iteration", loss="loss") -> DataFrame:
+    """(order, best, due) of the iterations whose weights are kept: those with a loss below all before, every so many,
+    and the last. The log has one row an iteration."""
+    flagged = log.withColumn("best", running_best(order, loss)).crossJoin(F.broadcast(log.agg(F.max(order).alias("_last"))))
+    due = periodic(F.col(order), every) | (F.col(order) == F.col("_last"))
+    return flagged.withColumn("due", due).where("best or due").select(order, "best", "due")
+
+
+def write_checkpoints(weights: DataFrame, log: DataFrame, path: str, every: int, mode="error") -> None:
+    """The weights (iteration, name, pos, value) of the iterations that are due, one folder an iteration."""
+    kept = weights.join(F.broadcast(due_checkpoints(log, every)), "iteration", "left_semi")
+    kept.select("iteration", "name", "pos", "value").write.mode(mode).partitionBy("iteration").parquet(path)
+
+
+def best_checkpoint(log: DataFrame, order="iteration", loss="loss"):
+    """The iteration of the least loss, the first of equals."""
+    return log.agg(F.min_by(order, F.struct(loss, order))).first()[0]
