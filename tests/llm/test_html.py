@@ -7,6 +7,7 @@ import time
 import numpy as np
 import pytest
 
+from surety.llm import common
 from surety.llm import html_text as H
 
 PAGE = (
@@ -120,10 +121,11 @@ def test_mirrored_pages_and_quotes_keep_their_text():
     assert H.clean(quoted) == [p[0][1] for p in quoted]
 
 
-@pytest.mark.parametrize("chunk", [250_000, 400])
-def test_pages_match_a_plain_version(spark, monkeypatch, chunk):
+@pytest.mark.parametrize("chunk, rows_broadcast", [(250_000, 500_000), (400, 500_000), (3000, 0)])
+def test_pages_match_a_plain_version(spark, monkeypatch, chunk, rows_broadcast):
     """Pages without articles, where the suffix array decides, over hosts of one chunk and of many."""
     monkeypatch.setattr(H, "CHUNK", chunk)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", rows_broadcast)
     rng = random.Random(12)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
     bars = [" ".join(word() for _ in range(9)) for _ in range(6)]

@@ -34,7 +34,9 @@ def brute(text):
     return sorted(out)
 
 
-def test_secret_spans_match_plain_regular_expressions(spark):
+@pytest.mark.parametrize("rows_broadcast", [500_000, 0])
+def test_secret_spans_match_plain_regular_expressions(spark, monkeypatch, rows_broadcast):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", rows_broadcast)
     df = spark.createDataFrame([(i, t, "x") for i, t in TEXTS], "doc_id long, text string, gram string")
     rows = secrets.find_secrets(df).collect()
     assert len(rows) == len(TEXTS)
