@@ -9,7 +9,8 @@ global n-gram order is cut into fragments and overlaps are counted fragment by f
    is settled in the batch and sent once, so a passage shared by a third of all texts costs one entry a batch. Hashes
    are cut to 32 bits within a fragment here, whose density is constant; a collision can only raise the bound.
 2. For the few sets left, n-grams are ordered by (document frequency, hash). Sets that share an n-gram of their
-   prefixes in that order (what must be shared to reach the threshold) fall into one candidate group.
+   prefixes in that order (what must be shared to reach the threshold) fall into one candidate group, if at least one
+   of them shares enough to have a partner of its own size.
 3. Groups are cut into blocks of at most BLOCK sets. A unit of work is one or two blocks: the order's fragments of
    FRAGMENT n-grams give partial overlaps of its pairs as products of 0/1 matrices, which are summed, compared with
    the threshold and reduced to a spanning forest, so no list of pairs is made. First each block meets itself and the
@@ -222,12 +223,18 @@ def _ordered(sets: DataFrame, percent: int) -> DataFrame:
 def _candidate_groups(ordered: DataFrame, percent: int) -> DataFrame:
     """(cid, root, weight, size) of sets that share n-grams of their prefixes, directly or through others.
 
+    The smaller set of a link shares so many n-grams that its partner can be as large as itself: (100 + percent) shared
+    >= 2 percent n. An n-gram without such a set in its postings links nothing, so texts that are mostly one common
+    passage, but not mostly each other, form no group.
+
     A set weighs as many as its n-grams would fill, so blocks are bounded in sets and in n-grams; size is the group's
     weight.
     """
     prefix = F.slice("shared", F.lit(1), (F.size("shared") - need(F.col("n"), percent) + 1).cast("int"))
-    posts = ordered.select("cid", F.explode(prefix).alias("gram"))
-    heads = materialise(posts.groupBy("gram").agg(F.min("cid").alias("head"), F.count("*").alias("c")).where("c > 1").select("gram", "head"), "join-heads")
+    strong = (100 + percent) * F.size("shared") >= 2 * percent * F.col("n")
+    posts = ordered.select("cid", strong.alias("strong"), F.explode(prefix).alias("gram"))
+    met = posts.groupBy("gram").agg(F.min("cid").alias("head"), F.count("*").alias("c"), F.max("strong").alias("strong"))
+    heads = materialise(met.where("c > 1 and strong").select("gram", "head"), "join-heads")
     roots = materialise(components(posts.join(heads, "gram").select(F.col("cid").alias("a"), F.col("head").alias("b")), "join-groups"), "join-roots")
     weighed = roots.withColumnRenamed("node", "cid").join(ordered.select("cid", F.ceil(F.col("n") / LONG).alias("weight")), "cid")
     sizes = weighed.groupBy("root").agg(F.sum("weight").alias("size"))

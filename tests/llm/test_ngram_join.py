@@ -127,3 +127,17 @@ def test_small_fragments_and_no_broadcast_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BATCH", 900)
     monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
     assert sorted(tuple(r) for r in ngram_join.jaccard_components(df).collect()) == brute(rows, 4, 85)
+
+
+def test_a_common_passage_forms_no_group(spark, monkeypatch):
+    """Texts of nine tenths one passage share less than 0.85 with each other; copies among them are still found."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    passage = " ".join(f"p{i}" for i in range(93))
+    rows = [(i, passage + " " + " ".join(f"u{i}x{k}" for k in range(8 + i % 3))) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sets = ngram_join.materialise(ngram_join.class_sets(df, "text", "doc_id", 4), "test")
+    ordered = ngram_join._ordered(ngram_join._survivors(df, sets, "text", "doc_id", 4, 85), 85)
+    assert ordered.count() == 120 and ngram_join._candidate_groups(ordered, 85).count() == 0
+    rows += [(200 + i, rows[i][1] + " tail") for i in range(0, 40, 7)] + [(300, passage), (301, passage + " u0x0 u0x1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(tuple(r) for r in ngram_join.jaccard_components(df).collect()) == brute(rows, 4, 85)
