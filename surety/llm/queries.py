@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surety.llm import html_text, masked_lm, ngram_join, packing, pii, poisson_mix, quality, secrets, tiff, tokens
+from surety.llm import html_text, masked_lm, ngram_join, packing, pii, poisson_mix, quality, secrets, tiff, tokens, whitening
 from surety.llm.common import secret, table
 
 
@@ -61,7 +61,24 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), words=4, percent=85)
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_tiff_pages, op3_token_counts, op4_quality_forest, op5_pii_feistel, op6_best_fit_packing, op7_host_suffix_array, op8_masked_likelihood, op9_poisson_mix, op10_ngram_jaccard)}
+def op11_chan_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+BUILT = (
+    op1_secret_scan,
+    op2_tiff_pages,
+    op3_token_counts,
+    op4_quality_forest,
+    op5_pii_feistel,
+    op6_best_fit_packing,
+    op7_host_suffix_array,
+    op8_masked_likelihood,
+    op9_poisson_mix,
+    op10_ngram_jaccard,
+    op11_chan_whitening,
+)
+QUERIES = {f.__name__: f for f in BUILT}
 
 
 def _secret_sql() -> str:
