@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surety.llm import html_text, masked_lm, ngram_join, packing, pii, poisson_mix, quality, secrets, tiff, tokens, whitening
+from surety.llm import html_text, importance, masked_lm, ngram_join, packing, pii, poisson_mix, quality, secrets, tiff, tokens, whitening
 from surety.llm.common import secret, table
 
 
@@ -65,6 +65,11 @@ def op11_chan_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op12_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 BUILT = (
     op1_secret_scan,
     op2_tiff_pages,
@@ -77,6 +82,7 @@ BUILT = (
     op9_poisson_mix,
     op10_ngram_jaccard,
     op11_chan_whitening,
+    op12_importance_resample,
 )
 QUERIES = {f.__name__: f for f in BUILT}
 
@@ -118,6 +124,22 @@ _JACCARD_SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(transl
   r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
   SELECT s.doc_id, len(s.g)::BIGINT AS n_shingles, (SELECT min(r.b) FROM r WHERE r.a = s.doc_id) AS component_id FROM s"""
 
+def _importance_sql() -> str:
+    changes = ", ".join(map(str, importance.crc_table().tolist()))
+    return rf"""WITH w AS (SELECT kind, doc_id, row, regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM (SELECT 0 AS kind, doc_id, row_number() OVER () AS row, coalesce(text, '') AS t FROM documents UNION ALL SELECT 1, 0, 0, coalesce(text, '') FROM benchmark)),
+  f AS (SELECT kind, row, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM w),
+  c AS (SELECT kind, row, f, count(*) AS n FROM f GROUP BY ALL),
+  h AS (SELECT f, xor(list_reduce(list_transform(range(0, octet_length(encode(f))), lambda i: ('0x' || substr(hex(encode(f)), 2 * i + 1, 2))::BIGINT), lambda c, b: xor(c >> 8, ([{changes}]::BIGINT[])[xor(c & 255, b) + 1]), 4294967295::BIGINT), 4294967295) % 10000 AS b FROM (SELECT DISTINCT f FROM c)),
+  b AS (SELECT kind, row, b, sum(n)::BIGINT AS n FROM c JOIN h USING (f) GROUP BY ALL),
+  k AS (SELECT b, coalesce(sum(n) FILTER (kind = 0), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (kind = 1), 0)::DOUBLE AS t FROM b GROUP BY b),
+  g AS (SELECT b, floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM k) + 10000) / ((s + 1) * ((SELECT sum(t) FROM k) + 10000))))::BIGINT AS gain FROM k),
+  d AS (SELECT row, sum(n)::BIGINT AS n, floor(sum(n * gain)::DOUBLE / sum(n))::BIGINT AS weight FROM b JOIN g USING (b) WHERE kind = 0 GROUP BY row),
+  s AS (SELECT doc_id, len(w) AS words, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || doc_id), 1, 8))::BIGINT + 0.5) / 4294967296.0::DOUBLE)))::BIGINT AS score FROM w LEFT JOIN d USING (row) WHERE kind = 0),
+  r AS (SELECT *, CASE WHEN words >= 20 THEN row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC, doc_id) END AS place, 25 * count(*) FILTER (words >= 20) OVER () // 100 AS drawn FROM s)
+  SELECT doc_id, n_features, weight, score, CASE WHEN place <= drawn THEN place END AS rank FROM r"""
+
+
 #: What is left of a page without its head, comments, menus, adverts and footer, cut at tags of blocks. Entities are
 #: decoded in one pass by keeping & apart.
 _REST_SQL = r"""WITH a AS (SELECT page_id, url, regexp_replace(coalesce(html, ''), '(?s)<!--.*?-->|<head>.*?</head>|<nav>.*?</nav>|<div class="ad">.*?</div>|<footer>.*?</footer>', chr(2), 'g') AS t FROM pages),
@@ -129,4 +151,4 @@ _REST_SQL = r"""WITH a AS (SELECT page_id, url, regexp_replace(coalesce(html, ''
   f AS (SELECT page_id, url, coalesce(string_agg(t, chr(10) ORDER BY i) FILTER (t <> ''), '') AS text FROM e GROUP BY page_id, url)
   SELECT page_id, url, text, length(text) AS n_chars FROM f"""
 
-ORACLES = {"op7_host_suffix_array": _REST_SQL, "op1_secret_scan": _secret_sql(), "op9_poisson_mix": _POISSON_SQL, "op10_ngram_jaccard": _JACCARD_SQL}
+ORACLES = {"op7_host_suffix_array": _REST_SQL, "op1_secret_scan": _secret_sql(), "op9_poisson_mix": _POISSON_SQL, "op10_ngram_jaccard": _JACCARD_SQL, "op12_importance_resample": _importance_sql()}
