@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surety.llm import html_text, importance, masked_lm, ngram_join, packing, pii, poisson_mix, quality, secrets, tiff, tokens, whitening
+from surety.llm import html_text, importance, masked_lm, ngram_join, packing, pii, poisson_mix, quality, secrets, tiff, tokens, toxicity, whitening
 from surety.llm.common import secret, table
 
 
@@ -70,6 +70,10 @@ def op12_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op13_toxicity_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 BUILT = (
     op1_secret_scan,
     op2_tiff_pages,
@@ -83,6 +87,7 @@ BUILT = (
     op10_ngram_jaccard,
     op11_chan_whitening,
     op12_importance_resample,
+    op13_toxicity_channel,
 )
 QUERIES = {f.__name__: f for f in BUILT}
 
