@@ -43,10 +43,12 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "
 OTHER, SYMBOLS = 27, 28
 CONTEXTS = SYMBOLS**3
 #: Costs (negative logarithms) of the channel: a letter drawn as a sign, a digit meant as such, a separator between
-#: words, one inside a word of a token, one inside a word of letters set apart, a repeated letter.
-DRAWN, MEANT, PARTED, JOINED, SPREAD, REPEATED = 3.0, 2.3, 1.0, 3.0, 0.3, 1.0
-#: Weight of the shorter context in the language model; prefixes that are features; penalty of the logistic model.
-BACKOFF, PREFIXES, PENALTY = 2.0, range(3, 9), 0.01
+#: words, one inside a word of a token, one inside a word of letters set apart, a letter repeated three times or more,
+#: a letter doubled.
+DRAWN, MEANT, PARTED, JOINED, SPREAD, REPEATED, DOUBLED = 3.0, 4.5, 1.0, 3.0, 0.3, 1.0, 5.0
+#: Weight of the shorter context in the language model; prefixes that are features, those that stand for a word; penalty of
+#: the logistic model.
+BACKOFF, PREFIXES, STEM, PENALTY = 2.0, range(3, 9), 5, 0.01
 #: Words whose features a task remembers, at most.
 MEMO = 400_000
 
@@ -148,7 +150,7 @@ class Decoder:
             if run == 1:
                 return [(c, (s,), 0.0)]
             if run == 2:
-                return [(c * 2, (s, s), 0.0), (c, (s,), 2 * REPEATED)]
+                return [(c * 2, (s, s), 0.0), (c, (s,), DOUBLED)]
             return [(c, (s,), REPEATED), (c * 2, (s, s), REPEATED)]
         out = []
         for x in LEET.get(c, ""):
@@ -218,12 +220,12 @@ def features(word: str) -> list[str]:
 class Reader:
     """Counts of words or of chosen features in texts."""
 
-    def __init__(self, cost: np.ndarray, chosen: list[str] = ()):
+    def __init__(self, cost: np.ndarray, chosen: list[str] = (), stems: dict[str, str] | None = None):
         self.decoder, self.memo = Decoder(cost), {}
         self.at = {f: i for i, f in enumerate(chosen)}
-        # restored words have lost the marks of their letters
+        # restored words have lost the marks of their letters, and may have lost their ends
         self.bare: dict[str, int] = {}
-        for f, i in self.at.items():
+        for f, i in [*self.at.items(), *((k, self.at[f]) for k, f in (stems or {}).items())]:
             self.bare.setdefault(folded(f), i)
 
     def tokens(self, text: str | None) -> Counter:
@@ -259,6 +261,7 @@ class Reader:
 
 class Model(NamedTuple):
     chosen: list[str]
+    stems: dict[str, str]
     weight: np.ndarray
     bias: float
 
@@ -314,9 +317,9 @@ def learnable(labels: DataFrame, key="doc_id", label="toxic", rows=FIT_ROWS) ->
     return one.select(key, F.col("_toxic").cast("int").alias("_toxic")).orderBy(F.xxhash64(F.col(key)), key).limit(rows)
 
 
-def _gather(df: DataFrame, text, cost, schema, make, chosen=()) -> DataFrame:
+def _gather(df: DataFrame, text, cost, schema, make, *chosen) -> DataFrame:
     """What make(reader, batches) yields of df's texts and labels, task by task."""
-    share = df.sparkSession.sparkContext.broadcast((cost, list(chosen)))
+    share = df.sparkSession.sparkContext.broadcast((cost, *chosen))
 
     def run(batches):
         yield from make(Reader(*share.value), batches)
@@ -343,14 +346,18 @@ def candidates(sample: DataFrame, cost: np.ndarray, toxic: int, clean: int, text
     return [tuple(r) for r in top.collect()]
 
 
-def choose(found: list[tuple[str, int, int]], most=CHOSEN) -> list[str]:
-    """The first features, without beginnings that occur in just the documents of a longer one."""
+def choose(found: list[tuple[str, int, int]], most=CHOSEN) -> tuple[list[str], dict[str, str]]:
+    """(the first features but for beginnings that occur in just the documents of a longer one, the feature that each
+    such beginning of STEM letters or more stands for where a restored word has no better end)."""
     counts = {f: (a, b) for f, a, b in found}
-    spare = set()
+    spare: dict[str, str] = {}
     for f, *n in found:
         word = f.rstrip("$")
-        spare |= {word[:k] for k in PREFIXES if k < len(word) and counts.get(word[:k]) == tuple(n)}
-    return [f for f, *_ in found if f not in spare][:most]
+        for k in PREFIXES:
+            if k < len(word) and counts.get(word[:k]) == tuple(n) and len(f) > len(spare.get(word[:k], "")):
+                spare[word[:k]] = f
+    chosen = [f for f, *_ in found if f not in spare][:most]
+    return chosen, {k: f for k, f in spare.items() if len(k) >= STEM and f in chosen}
 
 
 def fit(documents: DataFrame, labels: DataFrame, cost: np.ndarray, text="text", key="doc_id", label="toxic") -> Model | None:
@@ -360,7 +367,7 @@ def fit(documents: DataFrame, labels: DataFrame, cost: np.ndarray, text="text",
     n = {r[0]: r[1] for r in sample.groupBy("_toxic").count().collect()}
     if not n.get(0) or not n.get(1):
         return None
-    chosen = choose(candidates(sample, cost, n[1], n[0], text))
+    chosen, stems = choose(candidates(sample, cost, n[1], n[0], text))
 
     def make(reader, batches):
         for batch in batches:
@@ -369,10 +376,10 @@ def fit(documents: DataFrame, labels: DataFrame, cost: np.ndarray, text="text",
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([w for w, _ in rows], pa.int64()), pa.array(ids, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int64()))], names=["toxic", "words", "ids", "counts"])
 
     # at most FIT_ROWS rows of at most CHOSEN numbers, ordered so that sums don't depend on partitions
-    made = _gather(sample, text, cost, "toxic int, words long, ids array<long>, counts array<long>", make, chosen)
+    made = _gather(sample, text, cost, "toxic int, words long, ids array<long>, counts array<long>", make, chosen, stems)
     rows = sorted((r.toxic, r.words, sorted(zip(r.ids, r.counts))) for r in made.collect())
     weight, bias = logistic(inputs([(w, dict(f)) for _, w, f in rows], len(chosen)), np.array([t for t, *_ in rows]))
-    return Model(chosen, weight, bias)
+    return Model(chosen, stems, weight, bias)
 
 
 def score(documents: DataFrame, labels: DataFrame, text="text", key="doc_id", label="toxic", keep=("doc_id",)) -> DataFrame:
@@ -386,7 +393,7 @@ def score(documents: DataFrame, labels: DataFrame, text="text", key="doc_id", la
 
     def run(batches):
         cost, model = share.value
-        reader = Reader(cost, model.chosen if model else ())
+        reader = Reader(cost, *model[:2]) if model else None
         for batch in batches:
             texts = batch.column(text).to_pylist()
             got = model.scores([reader.counts(t) for t in texts]) if model else [0.0] * len(texts)

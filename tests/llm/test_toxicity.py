@@ -106,8 +106,13 @@ def test_plain_texts_stay(cost):
 
 def test_features_and_choice():
     assert tox.features("abcde") == ["abcde$", "abc", "abcd"] and tox.features("ab") == ["ab$"]
-    found = [("snark$", 9, 0), ("sna", 9, 0), ("snar", 9, 1), ("dol", 5, 1), ("dolt$", 4, 0)]
-    assert tox.choose(found) == ["snark$", "snar", "dol", "dolt$"] and tox.choose(found, 2) == ["snark$", "snar"]
+    found = [("snarky$", 9, 0), ("sna", 9, 0), ("snark", 9, 0), ("snar", 9, 1), ("dol", 5, 1), ("dolts$", 4, 0)]
+    assert tox.choose(found) == (["snarky$", "snar", "dol", "dolts$"], {"snark": "snarky$"}) and tox.choose(found, 0) == ([], {})
+
+
+def test_a_restored_words_beginning_stands_for_it(cost):
+    reader = tox.Reader(cost, ["snarkwitted$"], {"snarkw": "snarkwitted$"})
+    assert reader.counts("sn4rkw1t")[1] == {0: 1} and reader.counts("snarkwit")[1] == {}
 
 
 def tables(spark, rows, labels):
