@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from surety.functions.columns import col
+from surety.operators import permute
 from surety.plans.schema import IGNORE
 from surety.sources.corpora import numbered
 from surety.sources.shared import once
@@ -177,9 +176,22 @@ def shuffle_positions(df: DataFrame, key: str, seed: int, turn: int = 0) -> Data
 
 
 def epoch_batches(df: DataFrame, key, size: int, epochs: int, seed: int) -> DataFrame:
-    """Rows with epoch, batch: a loader that shuffles anew in each epoch and goes on over as many as asked."""
-    turns = [shuffle_positions(df, key, seed, e).withColumns({"epoch": F.lit(e), "batch": mini_batch("idx", size)}).drop("idx") for e in range(epochs)]
-    return reduce(DataFrame.unionByName, turns)
+    """Rows with epoch, batch: a loader that shuffles anew in each epoch and goes on over as many as asked.
+
+    Rows are numbered once; an epoch's order is a permutation of the numbers, so epochs cost no sort.
+    """
+    rows = numbered(df, key)
+    turn = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1)))) if epochs else rows.limit(0).withColumn("epoch", F.lit(0))
+    return turn.withColumn("batch", mini_batch(permute.place("idx", rows.count(), seed, F.col("epoch")), size)).drop("idx")
+
+
+def loader_batches(spark: SparkSession, n: int, size: int, seed: int, first: int, last: int) -> DataFrame:
+    """(iteration, slot, idx) of the iterations from first to last, counted from 0, of an endless loader over n rows:
+    which row is at which slot of which batch, found without the rows. The last batch of an epoch may be smaller."""
+    batches = -(-n // size)
+    at = spark.range(first * size, (last + 1) * size).select(F.floor(F.col("id") / size).alias("iteration"), (F.col("id") % size).alias("slot"))
+    at = at.withColumn("_place", cyclic("iteration", batches) * size + F.col("slot")).where(F.col("_place") < n)
+    return at.select("iteration", "slot", permute.row_at("_place", n, seed, epoch("iteration", batches)).alias("idx"))
 
 
 def warmup_schedule(step, batches: int, accumulation: int, epochs: int, warmup_ratio: float) -> Column:

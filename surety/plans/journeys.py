@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from surety.functions import score
-from surety.operators import evaluate, generate, tensor
+from surety.operators import evaluate, generate, permute, tensor
 from surety.plans import oracles, prompts, schema, views
 from surety.plans.views import table
 from surety.sources import corpora, sinks
@@ -75,14 +75,37 @@ def load_fictional_split(spark, sf_dir):
     return _answers(corpora.load(spark, "fictional_qa", _fictional(spark, sf_dir), "train"))
 
 
+def _document(records: DataFrame, key: str, label: str) -> str:
+    """A file with one JSON document that holds the column record of all rows; lines are written as they come."""
+    spark = records.sparkSession
+    first = records.agg(F.min(key).alias("_first"))
+    comma = F.when(F.col(key) == F.col("_first"), F.lit("")).otherwise(F.lit(","))
+    lines = records.orderBy(key).crossJoin(F.broadcast(first)).select(F.concat(comma, F.to_json("record")).alias("value"))
+    one = lambda text: spark.range(1).select(F.lit(text).alias("value"))
+    path = f"{shared_path(spark, label)}/test.json"
+    one('{"Dataset": "}[", "Questions": [').union(lines).union(one("]}")).coalesce(1).write.text(path)
+    return path
+
+
+def _names(*x):
+    return F.struct(F.array(F.struct(F.array(*x).alias("AnswersName"))).alias("Answers"))
+
+
 @query(f"SELECT 'q' || item_id AS question_id, text AS question, CASE WHEN w[1] = w[2] THEN w[1] ELSE w[1] || '|' || w[2] END AS answers FROM {ITEMS}")
 def load_freebase(spark, sf_dir):
     """One JSON document with all questions."""
     one, two = F.element_at(_words(), 1), F.element_at(_words(), 2)
-    names = lambda *x: F.struct(F.array(F.struct(F.array(*x).alias("AnswersName"))).alias("Answers"))
-    row = F.struct(F.concat(F.lit("q"), "item_id").alias("Question-ID"), F.col("text").alias("RawQuestion"), F.array(names(one, F.lit("")), names(two, one)).alias("Parses"))
-    doc = table(spark, sf_dir, "benchmark").agg(F.to_json(F.struct(F.collect_list(row).alias("Questions"))).alias("value"))  # a bounded list
-    return _answers(corpora.load(spark, "freebase_qa", _written(doc, "freebase", "text"), "test"))
+    row = F.struct(F.concat(F.lit("q"), "item_id").alias("Question-ID"), F.col("text").alias("RawQuestion"), F.array(_names(one, F.lit("")), _names(two, one)).alias("Parses"))
+    records = table(spark, sf_dir, "benchmark").select("item_id", row.alias("record"))
+    return _answers(corpora.load(spark, "freebase_qa", _document(records, "item_id", "freebase")))
+
+
+@query("SELECT 'd' || doc_id AS question_id, coalesce(text, '') AS question, source || '|' || lang AS answers FROM documents")
+def load_json_document(spark, sf_dir):
+    """One JSON document with all texts, whatever brackets and quotes they hold, read by byte ranges."""
+    row = F.struct(F.concat(F.lit("d"), "doc_id").alias("Question-ID"), F.col("text").alias("RawQuestion"), F.array(_names("source", F.lit("")), _names("lang", "source")).alias("Parses"))
+    records = table(spark, sf_dir, "documents").select("doc_id", row.alias("record"))
+    return _answers(corpora.load(spark, "freebase_qa", _document(records, "doc_id", "document")))
 
 
 @query(f"SELECT 'k' || item_id AS question_id, 'ko ' || text AS question, CASE WHEN w[1] = w[2] THEN w[1] ELSE w[1] || '|' || w[2] END AS answers FROM {ITEMS}")
@@ -363,13 +386,43 @@ def seeded_shuffle(spark, sf_dir):
     return tensor.shuffle_positions(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 9)
 
 
-@query("SELECT item_id, e AS epoch, (row_number() OVER (PARTITION BY e ORDER BY ('0x' || substr(md5('3:' || e || ':' || item_id), 1, 13))::BIGINT, item_id) - 1) // 16 AS batch FROM benchmark, (SELECT unnest([0, 1, 2]) AS e)")
+def _permuted_sql(numbered: str, seed: int) -> str:
+    """(all columns, x: the place in epoch e) from the table numbered, which has idx, e and n; the walk is a recursion."""
+
+    def hashed(x, turn):
+        a, b, c, d, e, f, g = permute.constants(seed, turn)
+        p, q, r = permute.PRIMES
+        return f"(((({x} + (e * {a} + {b}) % {p}) % {p} * {c} % {p} % {q} + {d}) % {q} * {e} % {q} % {r} + {f}) % {r} * {g} % {r})"
+
+    def step(x):
+        a, b = f"({x} % w)", f"({x} // w)"
+        for turn in range(permute.HALF_ROUNDS):
+            if turn % 2 == 0:
+                a = f"(({a} + {hashed(b, turn)} % w) % w)"
+            else:
+                b = f"(({b} + {hashed(a, turn)} % h) % h)"
+        return f"{a} + {b} * w"
+
+    sides = f"SELECT *, ceil(sqrt(n))::BIGINT AS w, ceil(n / ceil(sqrt(n)))::BIGINT AS h FROM {numbered}"
+    return f"WITH RECURSIVE p AS (SELECT *, {step('idx')} AS x FROM ({sides}) UNION ALL SELECT * EXCLUDE (x), {step('x')} AS x FROM p WHERE x >= n)"
+
+
+@query(f"{_permuted_sql('(SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS idx, count(*) OVER () AS n, unnest(range(0, 300)) AS e FROM benchmark)', 3)} SELECT item_id, e AS epoch, x // 16 AS batch FROM p WHERE x < n")
 def epoch_batches(spark, sf_dir):
-    """A loader that shuffles anew in each of three epochs."""
-    made = tensor.epoch_batches(table(spark, sf_dir, "benchmark").select("item_id"), "item_id", 16, 3, 3)
+    """A loader that shuffles anew in each of three hundred epochs."""
+    made = tensor.epoch_batches(table(spark, sf_dir, "benchmark").select("item_id"), "item_id", 16, 300, 3)
     return made.select("item_id", F.col("epoch").cast("bigint").alias("epoch"), F.col("batch").cast("bigint").alias("batch"))
 
 
+@query(f"{_permuted_sql('(SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS idx, count(*) OVER () AS n, unnest([0, 1, 2]::BIGINT[]) AS e FROM orders)', 5)} SELECT e * (n // 64 + (n % 64 > 0)::BIGINT) + x // 64 AS iteration, count(*) AS n, sum(o_orderkey)::BIGINT AS keys, min(o_orderkey) AS first_key FROM p WHERE x < n GROUP BY ALL")
+def loader_batches(spark, sf_dir):
+    """The batches of three epochs of an endless loader over the orders, drawn by the inverse permutation."""
+    rows = corpora.numbered(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
+    n = rows.count()
+    drawn = tensor.loader_batches(spark, n, 64, 5, 0, 3 * -(-n // 64) - 1)
+    return drawn.join(rows, "idx").groupBy("iteration").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"), F.min("o_orderkey").alias("first_key"))
+
+
 @query(f"SELECT k, round({oracles.GAMMA}, 9) AS gamma, round({oracles.AUROC}, 9) AS type2_auroc FROM {oracles._pairs(oracles.EVENTS)}")
 def streamed_ranks(spark, sf_dir):
     """Trials arrive as a stream of files; its counts give the rank statistics."""

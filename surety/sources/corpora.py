@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 
 from surety.functions.columns import strip
 from surety.plans import schema
+from surety.sources.json_records import read_records
 from surety.sources.shared import once
 
 #: Letters of the choices; the format of a worked solution's last line; instruction of our own wording.
@@ -28,10 +29,10 @@ DEFAULT_SPLITS = {"trivia_qa": "validation", "fictional_qa": "train", "freebase_
 ONLY_SPLIT = {"freebase_qa": "test", "mkqa": "train"}
 
 
-def _limit(df: DataFrame, num_samples: int | None, order: str | None = None) -> DataFrame:
+def _limit(df: DataFrame, num_samples: int | None, *order: str) -> DataFrame:
     if num_samples is None:
         return df
-    return (df.orderBy(order) if order else df).limit(num_samples)
+    return (df.orderBy(*order) if order else df).limit(num_samples)
 
 
 def offset(df: DataFrame, start: int, order: str) -> DataFrame:
@@ -46,11 +47,14 @@ def check_split(dataset: str, split: str | None) -> str:
     return split
 
 
-def read_raw(spark: SparkSession, path: str, kind, multi_line=False) -> DataFrame:
-    """JSON lines, one JSON document, or Parquet, by the path's ending; columns that a file lacks are null."""
+def read_raw(spark: SparkSession, path: str, kind, field: str | None = None) -> DataFrame:
+    """JSON lines, the records of a field of one JSON document, or Parquet, by the path's ending; columns that a file
+    lacks are null."""
     if path.rstrip("/").endswith(".parquet"):
         return spark.read.schema(kind).parquet(path)
-    return spark.read.schema(kind).json(path, multiLine=multi_line)
+    if field is not None:
+        return read_records(spark, path, kind[field].dataType.elementType, field)
+    return spark.read.schema(kind).json(path)
 
 
 def _counted(placed: DataFrame, group: list[str]) -> DataFrame:
@@ -131,9 +135,12 @@ def merged_names(parses):
 
 
 def freebase_qa(raw: DataFrame, num_samples: int | None = None) -> DataFrame:
-    """raw: one row with the array Questions. Rows keep the file's order."""
-    rows = raw.select(F.posexplode("Questions").alias("idx", "q"))
-    rows = _limit(rows, num_samples, "idx")
+    """raw: records by position, as read_records() gives them, or one row with the array Questions. Rows keep the
+    file's order."""
+    if "Questions" in raw.columns:
+        rows = _limit(raw.select(F.posexplode("Questions").alias("idx", "q")), num_samples, "idx")
+    else:
+        rows = _limit(raw, num_samples, "_file", "_block", "_at").withColumnRenamed("record", "q")
     empty = lambda x: F.coalesce(x, F.lit(""))
     answers = F.coalesce(merged_names(F.col("q.Parses")), F.array().cast("array<string>"))
     return rows.select(empty(F.col("q")["Question-ID"]).alias("question_id"), empty(F.col("q.RawQuestion")).alias("question"), answers.alias("answers"))
@@ -194,16 +201,16 @@ def web_questions(raw: DataFrame, num_samples: int | None = None) -> DataFrame:
 
 #: Corpora whose question ids are positions.
 POSITIONAL = frozenset(["gsm8k", "mmlu", "nq_open", "web_questions"])
-#: Corpus by name: raw schema, whether the file is one JSON document, and the normaliser.
+#: Corpus by name: raw schema, the field that holds the records if the file is one JSON document, and the normaliser.
 CORPORA = {
-    "trivia_qa": (schema.TRIVIA, False, trivia_qa),
-    "fictional_qa": (schema.FICTIONAL, False, fictional_qa),
-    "freebase_qa": (schema.FREEBASE, True, freebase_qa),
-    "gsm8k": (schema.MATH, False, gsm8k),
-    "mkqa": (schema.MULTILINGUAL, False, mkqa),
-    "mmlu": (schema.CHOICE, False, mmlu),
-    "nq_open": (schema.OPEN, False, nq_open),
-    "web_questions": (schema.WEB, False, web_questions),
+    "trivia_qa": (schema.TRIVIA, None, trivia_qa),
+    "fictional_qa": (schema.FICTIONAL, None, fictional_qa),
+    "freebase_qa": (schema.FREEBASE, "Questions", freebase_qa),
+    "gsm8k": (schema.MATH, None, gsm8k),
+    "mkqa": (schema.MULTILINGUAL, None, mkqa),
+    "mmlu": (schema.CHOICE, None, mmlu),
+    "nq_open": (schema.OPEN, None, nq_open),
+    "web_questions": (schema.WEB, None, web_questions),
 }
 
 
@@ -211,9 +218,9 @@ def load(spark: SparkSession, name: str, path: str, split: str | None = None, **
     """A corpus from path, where {split} is filled in."""
     if name not in CORPORA:
         raise ValueError(f"unknown corpus {name!r}; one of {', '.join(CORPORA)}")
-    kind, whole, make = CORPORA[name]
+    kind, field, make = CORPORA[name]
     split = check_split(name, split)
     if name == "fictional_qa":
         options["split"] = split
-    raw = read_raw(spark, path.replace("{split}", split), kind, whole)
+    raw = read_raw(spark, path.replace("{split}", split), kind, field)
     return make(positions(raw) if name in POSITIONAL else raw, **options)

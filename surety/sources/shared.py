@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Bytes that a side may have to be broadcast.
+BROADCAST_BYTES = 64 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,3 +31,16 @@ def once(df: DataFrame) -> DataFrame:
     """df computed once and written to the shared folder: all readers see the same rows, partitions and numbers."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def measured(df: DataFrame) -> int:
+    """Bytes of df's rows: texts and arrays by what they hold, other cells by eight bytes."""
+    sized = [F.coalesce(F.octet_length(c) if t in ("string", "binary") else 8 * F.size(c) if t.startswith("array") else F.lit(0), F.lit(0)) for c, t in df.dtypes]
+    return df.select(F.sum(sum(sized, F.lit(16 * len(df.columns))))).first()[0] or 0
+
+
+def beside(df: DataFrame, limit: int | None = None) -> tuple[DataFrame, bool]:
+    """(df, whether it is to be broadcast): only where its rows, which are read once for it, have few bytes; else joins
+    shuffle."""
+    few = measured(df) <= (BROADCAST_BYTES if limit is None else limit)
+    return (F.broadcast(df) if few else df), few
