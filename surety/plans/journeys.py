@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from surety.functions import score
-from surety.operators import evaluate, generate, permute, tensor
+from surety.operators import evaluate, generate, metrics, permute, tensor
 from surety.plans import oracles, prompts, schema, views
 from surety.plans.views import table
 from surety.sources import corpora, sinks
 from surety.sources.shared import once, shared_path
-from surety.streaming import counts
+from surety.streaming import counts, runs, sketches
 
 QUERIES, ORACLES = {}, {}
 
@@ -262,8 +262,8 @@ def sink_metric_log(spark, sf_dir):
     """Three appends to one log, and which iterations a period of two marks."""
     path = shared_path(spark, "log")
     for i in (1, 2, 3):
-        sinks.append_metrics(views.trial_events(spark, sf_dir).groupBy("k").agg(F.count("*").alias("n")).withColumn("iteration", F.lit(i).cast("bigint")), path)
-    return spark.read.parquet(path).withColumn("due", sinks.periodic(F.col("iteration"), 2))
+        sinks.append_metrics(views.trial_events(spark, sf_dir).groupBy("k").agg(F.count("*").alias("n")).withColumn("iteration", F.lit(i).cast("bigint")), path, f"run-{i}")
+    return sinks.read_metrics(spark, path).drop("commit").withColumn("due", sinks.periodic(F.col("iteration"), 2))
 
 
 @query(f"SELECT name, pos, value FROM {oracles.WEIGHTS}")
@@ -436,3 +436,57 @@ def streamed_ranks(spark, sf_dir):
     last = run.lastProgress["batchId"]
     out = counts.rank_from_counts(spark.read.parquet(f"{root}/counts-{last}"), ["k"])
     return out.select("k", F.round("gamma", 9).alias("gamma"), F.round("type2_auroc", 9).alias("type2_auroc"))
+
+
+@query(f"SELECT k, count(*) FILTER (correct = 1) AS n_right, count(*) FILTER (correct = 0) AS n_wrong, true AS within FROM {oracles.EVENTS} GROUP BY k")
+def streamed_scores(spark, sf_dir):
+    """Areas from sketches that a stream of files has filled: whether each is within the bound of the exact area."""
+    root = shared_path(spark, "scores")
+    rows = views.trial_events(spark, sf_dir).select("k", "correct", "score")
+    rows.repartition(4).write.parquet(f"{root}/in")
+    stream = spark.readStream.schema("k string, correct int, score double").option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    latest = lambda batch, n: batch.write.mode("overwrite").parquet(f"{root}/sketches-{n}")
+    run = sketches.score_sketches(stream, ["k"]).writeStream.outputMode("complete").option("checkpointLocation", f"{root}/checkpoint").foreachBatch(latest).trigger(availableNow=True).start()
+    run.awaitTermination()
+    last = spark.read.parquet(f"{root}/sketches-{run.lastProgress['batchId']}")
+    exact = metrics.auroc_continuous(rows, ["k"]).select("k", "type2_auroc")
+    within = F.abs(F.col("area") - F.col("type2_auroc")) <= sketches.error_bound()
+    return last.join(sketches.areas(last, ["k"]), "k").join(exact, "k").select("k", F.col("right").alias("n_right"), F.col("wrong").alias("n_wrong"), within.alias("within"))
+
+
+def _file_stream(df: DataFrame, order: str, parts: int, label: str) -> tuple[str, DataFrame]:
+    """(folder, stream) of df's rows, in files that arrive in the given order."""
+    spark, root = df.sparkSession, shared_path(df.sparkSession, label)
+    high = df.agg(F.max(order)).first()[0] or 0
+    for i in range(parts):
+        part = F.least(F.floor(F.col(order) * parts / (high + 1)), F.lit(parts - 1))
+        df.where(part == i).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    return root, spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+
+
+@query("SELECT o_orderkey AS iteration, o_custkey AS run, (o_totalprice < coalesce(min(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'inf'::DOUBLE))::BIGINT AS best, (o_orderkey % 10 = 0)::BIGINT AS due FROM orders")
+def streamed_best(spark, sf_dir):
+    """The best loss so far of every run, and a period's triggers, as state of a stream."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("run"), F.col("o_orderkey").alias("iteration"), F.col("o_totalprice").alias("loss"))
+    root, stream = _file_stream(rows, "iteration", 3, "runs")
+    with runs.named_state(spark):
+        run = runs.running_best(stream, 10).writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+        run.awaitTermination()
+    flag = lambda c: F.col(c).cast("int").cast("bigint").alias(c)
+    return spark.read.parquet(f"{root}/out").select("iteration", "run", flag("best"), flag("due"))
+
+
+@query(f"SELECT k, count(*) AS n, sum(correct)::BIGINT AS correct, 3 AS commits FROM {oracles.EVENTS} GROUP BY k")
+def replayed_log(spark, sf_dir):
+    """A stream's metrics are logged by batch; the last batch's commit is forgotten and made again."""
+    rows = views.trial_events(spark, sf_dir).select("id", "k", "correct")
+    root, stream = _file_stream(rows, "id", 3, "replay")
+    totals = lambda batch: batch.groupBy("k").agg(F.count("*").alias("n"), F.sum("correct").alias("correct"))
+    for again in (False, True):
+        if again:
+            forget = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/checkpoint/commits/2")
+            forget.getFileSystem(spark._jsc.hadoopConfiguration()).delete(forget, False)
+        runs.log_metrics(stream, f"{root}/log", f"{root}/checkpoint", "run", totals).awaitTermination()
+    log = sinks.read_metrics(spark, f"{root}/log")
+    commits = log.agg(F.countDistinct("commit").alias("commits"))
+    return log.groupBy("k").agg(F.sum("n").alias("n"), F.sum("correct").alias("correct")).crossJoin(F.broadcast(commits))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,9 +75,22 @@ def write_results(long: DataFrame, path: str, mode="error") -> None:
     nested_results(long).write.mode(mode).json(path)
 
 
-def append_metrics(df: DataFrame, path: str) -> None:
-    """The metric log: rows stamped with their iteration, appended."""
-    df.write.mode("append").parquet(path)
+def append_metrics(df: DataFrame, path: str, commit: str | None = None) -> None:
+    """The metric log: rows stamped with their iteration, added under the name of a commit.
+
+    A commit that is made again, after a failure or by a retry, replaces itself, so its rows are there once; without a
+    name each call is a commit of its own. Until a commit has ended, readers may see it in part.
+    """
+    commit = commit or uuid.uuid4().hex
+    if not re.fullmatch(r"[\w.-]+", commit):
+        raise ValueError(f"not a commit's name: {commit!r}")
+    df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/commit={commit}")
+
+
+def read_metrics(spark, path: str) -> DataFrame:
+    """The metric log with the column commit; columns that a commit lacks are null."""
+    rows = spark.read.option("mergeSchema", True).parquet(path)
+    return rows.withColumn("commit", F.regexp_extract("_metadata.file_path", "/commit=([^/]+)/", 1))
 
 
 def write_weights(df: DataFrame, path: str, mode="error") -> None:
