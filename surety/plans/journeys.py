@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from surety.functions import score
-from surety.operators import evaluate, generate, metrics, permute, tensor
+from surety.operators import aggregate, evaluate, generate, metrics, permute, tensor
 from surety.plans import oracles, prompts, schema, views
 from surety.plans.views import table
 from surety.sources import corpora, sinks
@@ -490,3 +490,26 @@ def replayed_log(spark, sf_dir):
     log = sinks.read_metrics(spark, f"{root}/log")
     commits = log.agg(F.countDistinct("commit").alias("commits"))
     return log.groupBy("k").agg(F.sum("n").alias("n"), F.sum("correct").alias("correct")).crossJoin(F.broadcast(commits))
+
+
+def binned_error(bins: int = 10) -> aggregate.Metric:
+    """Expected calibration error over equal bins of a confidence in [0, 1], as a metric of a user's own."""
+    import numpy as np
+
+    def add(state, rows):
+        at = np.minimum((rows["confidence"].to_numpy() * bins).astype(int), bins - 1)
+        return state + np.stack([np.bincount(at, w, bins) for w in (None, rows["confidence"], rows["correct"])])
+
+    def finish(state):
+        n, confidence, correct = state
+        return (float(np.abs(correct - confidence).sum() / n.sum()), int(n.sum()))
+
+    return aggregate.Metric(lambda: np.zeros((3, bins)), add, lambda a, b: a + b, finish, ("confidence", "correct"), "error double, n bigint")
+
+
+@query(f"SELECT k, round(sum(abs(right_ - sure)) / sum(n), 9) AS error, sum(n)::BIGINT AS n FROM (SELECT k, least(floor(score / 100 * 10), 9) AS bin, count(*) AS n, sum(correct) AS right_, sum(score / 100) AS sure FROM {oracles.EVENTS} GROUP BY ALL) GROUP BY k")
+def user_metric(spark, sf_dir):
+    """A user's metric by group through mergeable states."""
+    rows = views.trial_events(spark, sf_dir).withColumn("confidence", F.col("score") / 100)
+    out = aggregate.aggregate(rows, ["k"], binned_error())
+    return out.select("k", F.round("error", 9).alias("error"), "n")
