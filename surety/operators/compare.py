@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from surety.sources.shared import beside
+
 DIMENSIONS = ("model", "dataset", "meta_type")
 
 
@@ -29,5 +31,5 @@ def product(*frames: DataFrame) -> DataFrame:
     """All combinations of small dimension tables, such as models, datasets and probes to run."""
     out = frames[0]
     for f in frames[1:]:
-        out = out.crossJoin(F.broadcast(f))
+        out = out.crossJoin(beside(f)[0])
     return out

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from surety.functions import philox
 from surety.functions.reward import reward
-from surety.operators.tensor import hashed
 
 
 def seed_rewards(trials: DataFrame, name: str, correct="correct", meta="yes", iteration="iteration", seed="seed") -> DataFrame:
@@ -22,21 +27,48 @@ def standard_scores(population: DataFrame, iteration="iteration", small=1e-8) ->
     return population.withColumn("z", z)
 
 
-def gaussian(*parts) -> Column:
-    """A standard normal number hashed from the parts (Box and Muller)."""
-    unit = lambda tag: (hashed(*parts, F.lit(tag)) + 0.5) / float(1 << 52)
-    return F.sqrt(-2 * F.ln(unit(1))) * F.cos(2 * F.pi() * unit(2))
+def noise(df: DataFrame, seed="seed", name="name", pos="pos", out="noise") -> DataFrame:
+    """Adds a standard normal number for each seed, name and position, in columns: four positions share a counter."""
+    bits = ["_bits0", "_bits1", "_bits2", "_bits3"]
+    block = F.floor(F.col(pos) / 4).cast("bigint")
+    made = philox.philox(df, [*philox.words_of(block), *philox.name_words(F.col(name).cast("string"))], philox.words_of(seed), tuple(bits))
+    return made.withColumn(out, philox.normal(bits, F.pmod(F.col(pos), F.lit(4)))).drop(*bits)
+
+
+def _update(names: list[str], pos: np.ndarray, seeds: list[tuple[int, float]]) -> np.ndarray:
+    """The sum over seeds of noise() times their scores, for rows of weights."""
+    at = {n: int.from_bytes(hashlib.md5(n.encode()).digest()[:8], "big") for n in set(names)}
+    marks = np.fromiter((at[n] for n in names), np.uint64, len(names))
+    # rows that share a counter, mostly neighbours, share its four numbers
+    block = pos >> 2
+    new = np.ones(len(pos), bool)
+    new[1:] = (block[1:] != block[:-1]) | (marks[1:] != marks[:-1])
+    group, lane = np.cumsum(new) - 1, pos & 3
+    block, marks = block[new].view(np.uint64), marks[new]
+    low, high = np.uint64(philox.MASK), np.uint64(32)
+    counter = [block & low, block >> high, marks >> high, marks & low]
+    total = np.zeros(len(pos))
+    for seed, score in seeds:
+        key = (seed & philox.MASK, (seed >> 32) & philox.MASK)
+        total += score * philox.normals(philox.philox_array(counter, key))[group, lane]
+    return total
 
 
 def apply_evolution(weights: DataFrame, population: DataFrame, scale: float, relative="z", reverse=False) -> DataFrame:
     """weights + sum over seeds of noise(seed, name, pos) * relative * scale / number of seeds.
 
     Noise is regenerated from the seeds, so only (seed, score) pairs meet the weights. population: the seeds of one
-    iteration, whose number is a setting; it travels to the weights, which are not shuffled.
+    iteration, whose number is a setting; it travels to the weights, which are not shuffled. Seeds without a score
+    move nothing.
     """
-    n = population.count()
-    seeds = population.agg(F.collect_list(F.struct(F.col("seed").alias("s"), F.col(relative).cast("double").alias("r"))).alias("_seeds"))
-    sign = -1.0 if reverse else 1.0
-    step = F.aggregate("_seeds", F.lit(0.0), lambda a, x: a + gaussian(x["s"], F.col("name"), F.col("pos")) * x["r"])
-    joined = weights.crossJoin(F.broadcast(seeds))
-    return joined.select("name", "pos", (F.col("value") + F.lit(sign * scale / max(n, 1)) * step).alias("value"))
+    seeds = sorted((int(r[0]), float(r[1])) for r in population.select("seed", relative).collect() if r[0] is not None and r[1] is not None)
+    factor = (-1.0 if reverse else 1.0) * scale / max(population.count(), 1)
+    rows = weights.select(F.col("name").cast("string").alias("name"), F.col("pos").cast("bigint").alias("pos"), F.col("value").cast("double").alias("value"))
+
+    def run(batches):
+        for batch in batches:
+            step = _update(batch.column("name").to_pylist(), np.asarray(batch.column("pos")), seeds)
+            moved = pc.add(batch.column("value"), pa.array(factor * step))
+            yield pa.RecordBatch.from_arrays([batch.column("name"), batch.column("pos"), moved], names=["name", "pos", "value"])
+
+    return rows.mapInArrow(run, "name string, pos bigint, value double")

@@ -5,6 +5,8 @@ Files are written to the session's shared folder from the sample tables and read
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from surety.functions import score
 from surety.operators import aggregate, evaluate, generate, metrics, permute, tensor
 from surety.plans import oracles, prompts, schema, views
 from surety.plans.views import table
-from surety.sources import corpora, sinks
+from surety.sources import corpora, sinks, source, tensor_files
 from surety.sources.shared import once, shared_path
 from surety.streaming import counts, runs, sketches
 
@@ -44,6 +46,27 @@ def _answers(df: DataFrame) -> DataFrame:
     return df.withColumn("answers", F.array_join("answers", "|"))
 
 
+def _permuted_sql(numbered: str, seed: int) -> str:
+    """(all columns, x: the place in epoch e) from the table numbered, which has idx, e and n; the walk is a recursion."""
+
+    def hashed(x, turn):
+        a, b, c, d, e, f, g = permute.constants(seed, turn)
+        p, q, r = permute.PRIMES
+        return f"(((({x} + (e * {a} + {b}) % {p}) % {p} * {c} % {p} % {q} + {d}) % {q} * {e} % {q} % {r} + {f}) % {r} * {g} % {r})"
+
+    def step(x):
+        a, b = f"({x} % w)", f"({x} // w)"
+        for turn in range(permute.HALF_ROUNDS):
+            if turn % 2 == 0:
+                a = f"(({a} + {hashed(b, turn)} % w) % w)"
+            else:
+                b = f"(({b} + {hashed(a, turn)} % h) % h)"
+        return f"{a} + {b} * w"
+
+    sides = f"SELECT *, ceil(sqrt(n))::BIGINT AS w, ceil(n / ceil(sqrt(n)))::BIGINT AS h FROM {numbered}"
+    return f"WITH RECURSIVE p AS (SELECT *, {step('idx')} AS x FROM ({sides}) UNION ALL SELECT * EXCLUDE (x), {step('x')} AS x FROM p WHERE x >= n)"
+
+
 ITEMS = "(SELECT item_id, text, string_split(text, ' ') AS w FROM benchmark)"
 
 # corpora
@@ -69,9 +92,19 @@ def load_fictional(spark, sf_dir):
     return _answers(corpora.load(spark, "fictional_qa", _fictional(spark, sf_dir), "all"))
 
 
-@query(f"SELECT 'f' || item_id AS question_id, text AS question, w[1] AS answers FROM {ITEMS} WHERE item_id % 5 <> 0 AND 'e' || item_id % 7 IN ('e1', 'e3', 'e4')")
+def _shuffled_places(seed: int, most: int) -> str:
+    """A list by n: the places that Python's seeded shuffle of n numbers puts in the first half, up to most."""
+    halves = []
+    for n in range(most + 1):
+        places = list(range(n))
+        random.Random(seed).shuffle(places)
+        halves.append(places[: n // 2])
+    return f"({halves}::BIGINT[][])"
+
+
+@query(f"WITH e AS (SELECT event, row_number() OVER (ORDER BY event) - 1 AS idx, count(*) OVER () AS n FROM (SELECT DISTINCT 'e' || item_id % 7 AS event FROM benchmark WHERE item_id % 5 <> 0)) SELECT 'f' || item_id AS question_id, text AS question, w[1] AS answers FROM {ITEMS} WHERE item_id % 5 <> 0 AND 'e' || item_id % 7 IN (SELECT event FROM e WHERE list_contains({_shuffled_places(42, 7)}[n + 1], idx))")
 def load_fictional_split(spark, sf_dir):
-    """The events that Python's shuffle of the seven sorted ids with seed 42 puts in the first half are e1, e3 and e4."""
+    """The half of the events that Python's shuffle of their places with seed 42 puts first."""
     return _answers(corpora.load(spark, "fictional_qa", _fictional(spark, sf_dir), "train"))
 
 
@@ -145,6 +178,17 @@ def load_mmlu(spark, sf_dir):
     return _answers(corpora.load(spark, "mmlu", _written(raw, "mmlu", "json"), subject="fr"))
 
 
+@query("SELECT 'mmlu_' || i AS question_id, source AS question, ['A', 'B', 'C', 'D'][doc_id % 4 + 1] AS answers, lang AS subject FROM (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents) WHERE lang IN ('fr', 'de')")
+def source_format(spark, sf_dir):
+    """A corpus through its data source, with a condition on the subject; ids are positions among all rows."""
+    source.register(spark)
+    choices = F.array(*[F.lit(x) for x in "abcd"])
+    raw = table(spark, sf_dir, "documents").orderBy("doc_id").select(F.col("source").alias("question"), F.col("lang").alias("subject"), choices.alias("choices"), (F.col("doc_id") % 4).cast("int").alias("answer"))
+    read = spark.read.format(source.NAME).option("corpus", "mmlu").load(_written(raw, "source", "parquet")).where("subject IN ('fr', 'de')")
+    question = F.split(F.replace("question", F.lit(corpora.CHOICE_INSTRUCTION), F.lit("")), "\n")[0]
+    return _answers(read.withColumn("question", question))
+
+
 # result files
 
 #: Turns as trials: the first word of the answer is the truth, the answer the prediction, the question the confidence.
@@ -273,31 +317,54 @@ def weights_round_trip(spark, sf_dir):
     return sinks.read_weights(spark, path)
 
 
-LOSSES = "(SELECT o_orderkey AS iteration, o_totalprice AS loss FROM orders WHERE o_orderkey <= 60)"
+@query(f"SELECT name, pos, value FROM {oracles.WEIGHTS}")
+def tensor_round_trip(spark, sf_dir):
+    """Weights through files of the flat tensor format, read by byte ranges."""
+    path = shared_path(spark, "tensors") + tensor_files.ENDING
+    sinks.write_weights(views.weights(spark, sf_dir), path)
+    return tensor_files.read_tensors(spark, path, chunk=24)
+
 
+#: A run of twelve iterations whose loss is the mean price of every twelfth order.
+LOSSES = "(SELECT o_orderkey % 12 + 1 AS iteration, round(avg(o_totalprice), 4) AS loss FROM orders GROUP BY ALL)"
 
-@query(f"SELECT iteration, name, sum(pos)::BIGINT AS pos, round(sum(value), 6) AS value FROM (SELECT iteration, name, pos, value * iteration AS value FROM {oracles.WEIGHTS}, (SELECT a.iteration FROM {LOSSES} a WHERE a.iteration % 20 = 0 OR a.iteration = (SELECT max(iteration) FROM {LOSSES}) OR NOT EXISTS (SELECT 1 FROM {LOSSES} b WHERE b.iteration < a.iteration AND b.loss <= a.loss)) WHERE starts_with(name, '3/')) GROUP BY ALL")
+
+@query(f"SELECT iteration, name, sum(pos)::BIGINT AS pos, round(sum(value), 6) AS value FROM (SELECT iteration, name, pos, value * iteration AS value FROM {oracles.WEIGHTS}, (SELECT a.iteration FROM {LOSSES} a WHERE a.iteration % 5 = 0 OR a.iteration = (SELECT max(iteration) FROM {LOSSES}) OR NOT EXISTS (SELECT 1 FROM {LOSSES} b WHERE b.iteration < a.iteration AND b.loss <= a.loss))) GROUP BY ALL")
 def checkpoints(spark, sf_dir):
-    """Weights of a run's iterations: every twentieth, the last, and those that were the best so far are written."""
-    log = table(spark, sf_dir, "orders").where("o_orderkey <= 60").select(F.col("o_orderkey").alias("iteration"), F.col("o_totalprice").alias("loss"))
-    own = views.weights(spark, sf_dir).where(F.col("name").startswith("3/"))
-    run = own.crossJoin(log.select("iteration")).withColumn("value", F.col("value") * F.col("iteration"))
+    """Weights of a run's iterations: every fifth, the last, and those that were the best so far are written."""
+    log = table(spark, sf_dir, "orders").groupBy((F.col("o_orderkey") % 12 + 1).alias("iteration")).agg(F.round(F.avg("o_totalprice"), 4).alias("loss"))
+    run = views.weights(spark, sf_dir).withColumn("iteration", F.explode(F.sequence(F.lit(1), F.lit(12)).cast("array<bigint>")))
     path = shared_path(spark, "checkpoints")
-    sinks.write_checkpoints(run, log, path, 20)
+    sinks.write_checkpoints(run.withColumn("value", F.col("value") * F.col("iteration")), log, path, 5)
     back = spark.read.parquet(path).groupBy("iteration", "name").agg(F.sum("pos").alias("pos"), F.round(F.sum("value"), 6).alias("value"))
     return back.withColumn("iteration", F.col("iteration").cast("bigint"))
 
 
-@query("SELECT unnest(['trivia_qa_org_model_validation_100.tsv', 'nq_open_m_test_7_fok.tsv', 'mkqa_a_b_c_train_0_ko.json']) AS name")
+@query("SELECT source || '_org_' || lang || '_validation_' || count(*) || CASE WHEN lang = 'en' THEN '' ELSE '_fok' END || '.tsv' AS name, count(*) AS n FROM documents GROUP BY source, lang")
 def output_names(spark, sf_dir):
-    names = [sinks.result_name("trivia_qa", "org/model", "validation", 100), sinks.result_name("nq_open", "m", "test", 7, "fok"), sinks.result_name("mkqa", "a/b/c", "train", 0, "ko", "json")]
-    return spark.createDataFrame([(n,) for n in names], "name string")
+    """The result file of each source (as a dataset) and language (as a model)."""
+    groups = table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"))
+    suffix = F.when(F.col("lang") != "en", "fok")
+    return groups.select(sinks.result_names("source", F.concat(F.lit("org/"), "lang"), F.lit("validation"), "n", suffix).alias("name"), "n")
+
 
+_NAMED = "['trivia_qa', 'fictional_qa', 'freebase_qa', 'gsm8k', 'mkqa', 'mmlu', 'nq_open', 'web_questions', 'none'][item_id % 9 + 1]"
 
-@query("SELECT unnest(['trivia_qa', 'fictional_qa', 'freebase_qa', 'gsm8k', 'mkqa', 'mmlu', 'nq_open', 'web_questions']) AS dataset, unnest(['validation', 'train', 'test', 'test', 'train', 'test', 'validation', 'test']) AS split")
+
+@query(f"SELECT item_id, dataset, CASE dataset WHEN 'trivia_qa' THEN 'validation' WHEN 'nq_open' THEN 'validation' WHEN 'fictional_qa' THEN 'train' WHEN 'mkqa' THEN 'train' WHEN 'none' THEN NULL ELSE 'test' END AS split FROM (SELECT item_id, {_NAMED} AS dataset FROM benchmark)")
 def corpus_splits(spark, sf_dir):
-    """Every registered corpus with the split it has by default."""
-    return spark.createDataFrame([(name, corpora.check_split(name, None)) for name in corpora.CORPORA], "dataset string, split string")
+    """The split that each passage's corpus has by default."""
+    names = F.array(*[F.lit(x) for x in (*corpora.CORPORA, "none")])
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.get(names, (F.col("item_id") % 9).cast("int")).alias("dataset"))
+    return items.withColumn("split", corpora.default_split(F.col("dataset")))
+
+
+@query(f"{_permuted_sql('(SELECT event, row_number() OVER (ORDER BY event) - 1 AS idx, count(*) OVER () AS n, 0::BIGINT AS e FROM (SELECT DISTINCT source || lang AS event FROM documents WHERE doc_id % 11 <> 0))', 42)} SELECT 'd' || doc_id AS question_id, lang AS question, source AS answers FROM documents WHERE doc_id % 11 <> 0 AND source || lang IN (SELECT event FROM p WHERE x < n // 2)")
+def load_fictional_halves(spark, sf_dir):
+    """The first half of the events by a permutation of their places; nothing goes to the driver."""
+    docs = table(spark, sf_dir, "documents")
+    raw = docs.select(F.concat("source", "lang").alias("event_id"), F.concat(F.lit("d"), "doc_id").alias("question_id"), F.col("lang").alias("question"), F.col("source").alias("natural_answer"), F.when(F.col("doc_id") % 11 == 0, "same").alias("duplicate_relationship"))
+    return _answers(corpora.load(spark, "fictional_qa", _written(raw, "halves", "json"), "train", exact=False))
 
 
 # prompts and tuning rows
@@ -386,27 +453,6 @@ def seeded_shuffle(spark, sf_dir):
     return tensor.shuffle_positions(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 9)
 
 
-def _permuted_sql(numbered: str, seed: int) -> str:
-    """(all columns, x: the place in epoch e) from the table numbered, which has idx, e and n; the walk is a recursion."""
-
-    def hashed(x, turn):
-        a, b, c, d, e, f, g = permute.constants(seed, turn)
-        p, q, r = permute.PRIMES
-        return f"(((({x} + (e * {a} + {b}) % {p}) % {p} * {c} % {p} % {q} + {d}) % {q} * {e} % {q} % {r} + {f}) % {r} * {g} % {r})"
-
-    def step(x):
-        a, b = f"({x} % w)", f"({x} // w)"
-        for turn in range(permute.HALF_ROUNDS):
-            if turn % 2 == 0:
-                a = f"(({a} + {hashed(b, turn)} % w) % w)"
-            else:
-                b = f"(({b} + {hashed(a, turn)} % h) % h)"
-        return f"{a} + {b} * w"
-
-    sides = f"SELECT *, ceil(sqrt(n))::BIGINT AS w, ceil(n / ceil(sqrt(n)))::BIGINT AS h FROM {numbered}"
-    return f"WITH RECURSIVE p AS (SELECT *, {step('idx')} AS x FROM ({sides}) UNION ALL SELECT * EXCLUDE (x), {step('x')} AS x FROM p WHERE x >= n)"
-
-
 @query(f"{_permuted_sql('(SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS idx, count(*) OVER () AS n, unnest(range(0, 300)) AS e FROM benchmark)', 3)} SELECT item_id, e AS epoch, x // 16 AS batch FROM p WHERE x < n")
 def epoch_batches(spark, sf_dir):
     """A loader that shuffles anew in each of three hundred epochs."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from surety.functions import philox
 from surety.functions.probit import probit_sql
 from surety.functions.text import PUNCTUATION
 from surety.operators.cost import PRICES
@@ -195,7 +196,24 @@ ORACLES["dedupe_aliases"] = "SELECT item_id, array_to_string(list_sort(list_dist
 ORACLES["text_normalize"] = f"SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate(lower(text), {_quote(PUNCTUATION)}, ''), '(^|[^\\p{{L}}\\p{{N}}_])(a|an|the)($|[^\\p{{L}}\\p{{N}}_])', '\\1 \\3', 'g'), '(^|[^\\p{{L}}\\p{{N}}_])(a|an|the)($|[^\\p{{L}}\\p{{N}}_])', '\\1 \\3', 'g'), '\\s+', ' ', 'g'), '  +', ' ', 'g')) AS text FROM documents"
 ORACLES["limit_offset"] = "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 50 OFFSET 100"
 ORACLES["contingency_cube"] = f"SELECT k, grade::BIGINT AS grade, sum(correct)::BIGINT AS right, count(*) AS n FROM {EVENTS} GROUP BY CUBE (k, grade)"
-NOISE = "sqrt(-2 * ln((('0x' || substr(md5(p.seed || ':' || w.name || ':' || w.pos || ':1'), 1, 13))::BIGINT + 0.5) / 4503599627370496.0)) * cos(2 * pi() * ((('0x' || substr(md5(p.seed || ':' || w.name || ':' || w.pos || ':2'), 1, 13))::BIGINT + 0.5) / 4503599627370496.0))"
+
+
+def _philox_sql(rows: str) -> str:
+    """CTEs r0 to r10 and g (columns of rows, noise) from rows (name, pos, seed, ...), a CTE for each round."""
+    word = lambda x: f"({x})::UBIGINT"
+    parts = [f"r0 AS (SELECT *, {word('(pos // 4) & 4294967295')} AS a, {word('(pos // 4) >> 32')} AS b, ('0x' || substr(md5(name), 1, 8))::UBIGINT AS c, ('0x' || substr(md5(name), 9, 8))::UBIGINT AS d, {word('seed & 4294967295')} AS k0, {word('(seed >> 32) & 4294967295')} AS k1 FROM {rows})"]
+    m0, m1 = (f"{m}::UBIGINT" for m in philox.MULTIPLIERS)
+    for i in range(philox.ROUNDS):
+        parts.append(f"r{i + 1} AS (SELECT * EXCLUDE (a, b, c, d, k0, k1), xor(xor((c * {m1}) >> 32, b), k0) AS a, (c * {m1}) & 4294967295::UBIGINT AS b, xor(xor((a * {m0}) >> 32, d), k1) AS c, (a * {m0}) & 4294967295::UBIGINT AS d, (k0 + {philox.STEPS[0]}::UBIGINT) & 4294967295::UBIGINT AS k0, (k1 + {philox.STEPS[1]}::UBIGINT) & 4294967295::UBIGINT AS k1 FROM r{i})")
+    unit = lambda x: f"(({x}::DOUBLE + 0.5) / 4294967296.0::DOUBLE)"
+    pick = lambda x, y: f"(CASE WHEN pos % 4 < 2 THEN {unit(x)} ELSE {unit(y)} END)"
+    angle = f"2 * pi() * {pick('b', 'd')}"
+    parts.append(f"g AS (SELECT * EXCLUDE (a, b, c, d, k0, k1), sqrt(-2 * ln({pick('a', 'c')})) * CASE WHEN pos % 2 = 0 THEN cos({angle}) ELSE sin({angle}) END AS noise FROM r{philox.ROUNDS})")
+    return ", ".join(parts)
+
+
+ORACLES["evolution_noise"] = f"WITH s AS (SELECT name, pos, unnest([0, 7, 1099511627776]::BIGINT[]) AS seed FROM {WEIGHTS}), {_philox_sql('s')} SELECT name, pos, seed, round(noise, 7) AS noise FROM g"
 ORACLES["evolution_update"] = f"""WITH p AS (SELECT l_partkey % 32 AS seed, avg(correct + (correct = yes)::INT) AS reward FROM {BINARY} WHERE k = 1 GROUP BY ALL),
-  z AS (SELECT seed, (reward - avg(reward) OVER ()) / (stddev_samp(reward) OVER () + 1e-8) AS z, count(*) OVER () AS n FROM p)
-  SELECT name, round(sqrt(sum(d * d)), 7) AS step FROM (SELECT w.name, w.pos, sum({NOISE} * p.z * 0.1 / p.n) AS d FROM {WEIGHTS} w, z p GROUP BY ALL) GROUP BY name"""
+  z AS (SELECT seed::BIGINT AS seed, (reward - avg(reward) OVER ()) / (stddev_samp(reward) OVER () + 1e-8) AS z, count(*) OVER () AS n FROM p),
+  s AS (SELECT w.name, w.pos, w.value, z.seed, z.z, z.n FROM {WEIGHTS} w, z), {_philox_sql('s')}
+  SELECT name, pos, round(any_value(value) + sum(noise * z * 0.1 / n), 7) AS value FROM g GROUP BY name, pos"""

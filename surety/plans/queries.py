@@ -392,11 +392,17 @@ def apply_delta(spark, sf_dir):
 
 @query
 def evolution_update(spark, sf_dir):
-    """The size of the update, by parameter."""
+    """All weights after a step of evolution."""
     one = evolve.standard_scores(_population(spark, sf_dir)).where("iteration = 1")
-    w = views.weights(spark, sf_dir)
-    moved = evolve.apply_evolution(w, one, 0.1).withColumnRenamed("value", "moved")
-    return moved.join(w, ["name", "pos"]).groupBy("name").agg(F.round(F.sqrt(F.sum((F.col("moved") - F.col("value")) ** 2)), 7).alias("step"))
+    return evolve.apply_evolution(views.weights(spark, sf_dir), one, 0.1).select("name", "pos", F.round("value", 7).alias("value"))
+
+
+@query
+def evolution_noise(spark, sf_dir):
+    """The noise of three seeds for every weight, in columns."""
+    seeds = F.explode(F.array(*[F.lit(x).cast("bigint") for x in (0, 7, 1 << 40)])).alias("seed")
+    made = evolve.noise(views.weights(spark, sf_dir).select("name", "pos", seeds))
+    return made.select("name", "pos", "seed", F.round("noise", 7).alias("noise"))
 
 
 def _tokens(spark, sf_dir):

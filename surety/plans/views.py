@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from surety.operators import containment as contain
+from surety.sources import shared
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -49,62 +50,6 @@ def turn_pairs(spark, sf_dir) -> DataFrame:
     return ask.join(reply, ["conv_id", "turn"])
 
 
-#: Most passages whose keys travel to the texts; beyond it, texts and keys are joined by a shuffle.
-BROADCAST_PASSAGES = 100_000
-
-
-def _hash_grams(words, n: int):
-    """Hashes of the runs of n words."""
-    starts = F.sequence(F.lit(1), F.size(words) - n + 1)
-    return F.when(F.size(words) >= n, F.transform(starts, lambda i: F.xxhash64(F.concat_ws(" ", F.slice(words, i, F.lit(n)))))).otherwise(F.array().cast("array<bigint>"))
-
-
-def _pieces(word, n: int):
-    """The substrings of n characters of a word."""
-    return F.transform(F.sequence(F.lit(1), F.length(word) - n + 1), lambda i: F.substring(word, i, F.lit(n)))
-
-
-def containment(spark, sf_dir, broadcast=BROADCAST_PASSAGES) -> DataFrame:
-    """(doc_id, item_id) where a document contains a benchmark passage, whatever the case.
-
-    Every passage is found through a key that a text which contains it must have, and candidates are verified. From
-    three words on, the key is the run of up to three words after the first, which are whole words of the text. The
-    longest word of a shorter passage lies inside some word of the text: its vocabulary is searched by pieces of three
-    characters (fewer for shorter words). Empty passages are in every text.
-    """
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("t")).where("t is not null")
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.lower("text").alias("p")).where("p is not null")
-    words = lambda x: F.filter(F.split(x, r"\s+"), lambda w: w != "")
-    items = items.withColumn("w", words("p")).withColumn("n", F.size("w"))
-    inside, few = F.contains("t", F.col("p")), items.count() <= broadcast
-    small = F.broadcast if few else (lambda df: df)
-    sizes = {r[0] for r in items.select(F.least("n", F.lit(5))).distinct().collect()}
-    parts = []
-    if sizes & {3, 4, 5}:
-        size = F.least(F.col("n") - 2, F.lit(3))
-        keys = items.where("n >= 3").select("item_id", "p", F.xxhash64(F.concat_ws(" ", F.slice("w", F.lit(2), size))).alias("key"))
-        grams = [_hash_grams(F.col("own"), k) for k in sorted({min(x - 2, 3) for x in sizes if x >= 3})]
-        seen = docs.withColumn("own", words("t")).withColumn("key", F.explode(F.array_distinct(F.concat(*grams))))
-        if few:
-            # texts meet their candidates where they stand
-            parts.append(seen.join(F.broadcast(keys), "key").where(inside).select("doc_id", "item_id"))
-        else:
-            found = seen.select("doc_id", "key").join(keys.select("item_id", "key"), "key").select("doc_id", "item_id").distinct()
-            parts.append(found.join(docs, "doc_id").join(keys.select("item_id", "p"), "item_id").where(inside).select("doc_id", "item_id"))
-    if sizes & {1, 2}:
-        longest = F.get(F.array_sort("w", lambda a, b: F.length(b) - F.length(a)), F.lit(0))
-        short = items.where("n between 1 and 2").select("item_id", "p", longest.alias("part"))
-        short = short.withColumn("size", F.least(F.length("part"), F.lit(3)))
-        keys = short.select("part", "size", F.substring("part", F.lit(1), F.col("size")).alias("piece")).distinct()
-        own = docs.select("doc_id", F.explode(F.array_distinct(words("t"))).alias("word"))
-        vocabulary = own.select("word").distinct()
-        by_size = [F.when(F.length("word") >= k, F.transform(_pieces(F.col("word"), k), lambda x: F.struct(F.lit(k).alias("size"), x.alias("piece")))) for k in sorted(r[0] for r in keys.select("size").distinct().collect())]
-        none = F.array().cast("array<struct<size:int,piece:string>>")
-        pieces = vocabulary.select("word", F.explode(F.array_distinct(F.concat(*[F.coalesce(x, none) for x in by_size]))).alias("s")).select("word", "s.*")
-        hosts = pieces.join(small(keys), ["size", "piece"]).where(F.contains("word", F.col("part"))).select("word", "part").distinct()
-        found = own.join(hosts, "word").select("doc_id", "part").distinct().join(small(short.select("item_id", "p", "part")), "part")
-        parts.append(found.join(docs, "doc_id").where(inside).select("doc_id", "item_id"))
-    if 0 in sizes:
-        # as many rows as there are texts for each: that is the result
-        parts.append(docs.crossJoin(F.broadcast(items.where("n = 0").select("item_id", "p"))).where(inside).select("doc_id", "item_id"))
-    return reduce(DataFrame.unionByName, parts).distinct() if parts else docs.select("doc_id", F.lit(0).cast("bigint").alias("item_id")).limit(0)
+def containment(spark, sf_dir, broadcast=shared.BROADCAST_BYTES) -> DataFrame:
+    """(doc_id, item_id) where a document contains a benchmark passage, whatever the case."""
+    return contain.containment(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), item="item_id", limit=broadcast)

@@ -11,14 +11,15 @@ from __future__ import annotations
 import random
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from surety.functions.columns import strip
+from surety.operators import permute
 from surety.plans import schema
 from surety.sources.json_records import read_records
-from surety.sources.shared import once
+from surety.sources.shared import beside, once
 
 #: Letters of the choices; the format of a worked solution's last line; instruction of our own wording.
 LETTERS = ("A", "B", "C", "D")
@@ -40,6 +41,12 @@ def offset(df: DataFrame, start: int, order: str) -> DataFrame:
     return df.orderBy(order).offset(start)
 
 
+def default_split(dataset) -> Column:
+    """The split of a corpus where none is named; null for other names."""
+    pairs = [F.lit(x) for pair in DEFAULT_SPLITS.items() for x in pair]
+    return F.create_map(*pairs)[dataset]
+
+
 def check_split(dataset: str, split: str | None) -> str:
     split = split or DEFAULT_SPLITS[dataset]
     if dataset in ONLY_SPLIT and split != ONLY_SPLIT[dataset]:
@@ -57,30 +64,36 @@ def read_raw(spark: SparkSession, path: str, kind, field: str | None = None) ->
     return spark.read.schema(kind).json(path)
 
 
-def _counted(placed: DataFrame, group: list[str]) -> DataFrame:
-    """placed has been written once, with the increasing number _at: idx counts its rows by group, then by _at.
+def _counted(placed: DataFrame, group: str, within: str | None = None) -> DataFrame:
+    """placed has been written once, with the increasing number _at: idx counts its rows by group, by within inside a
+    group, then by _at.
 
-    Rows of a group follow each other, so a group's first number and the rows before it place all of them; no rows are
-    shuffled or ordered, only one row a group.
+    Rows of a part (a group, or a value of within in it) follow each other, so a part's first number and the rows before
+    it place all of them; no rows are ordered, only one row a part: parts inside their group, groups by their totals.
+    The parts travel to the rows while they have few bytes; beyond, they meet by a shuffle.
     """
-    sizes = placed.groupBy(*group).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy(*group).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    same = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"_of{c}") for c in group])
-    base = sizes.select(*[F.col(c).alias(f"_of{c}") for c in group], "_first", before.alias("_before"))
-    idx = F.col("_before") + F.col("_at") - F.col("_first")
-    return placed.join(F.broadcast(base), same).withColumn("idx", idx).drop(*group, "_at", "_first", "_before", *[f"_of{c}" for c in group])
+    parts = [group] if within is None else [group, within]
+    sizes = once(placed.groupBy(*parts).agg(F.count("*").alias("_n"), F.min("_at").alias("_first")))
+    earlier = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = sizes.groupBy(group).agg(F.sum("_n").alias("_n")).select(F.col(group).alias("_g"), earlier(Window.orderBy(group)).alias("_before"))
+    base = sizes.join(totals, F.col(group) == F.col("_g")).drop("_g")
+    inside = F.lit(0) if within is None else earlier(Window.partitionBy(group).orderBy(within))
+    base = base.select(*[F.col(c).alias(f"_of{c}") for c in parts], (F.col("_before") + inside - F.col("_first")).alias("_shift"))
+    same = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"_of{c}") for c in parts])
+    travelling, _ = beside(once(base))
+    return placed.join(travelling, same).withColumn("idx", F.col("_at") + F.col("_shift")).drop(*parts, "_at", "_shift", *[f"_of{c}" for c in parts])
 
 
 def numbered(df: DataFrame, *order: str) -> DataFrame:
     """Adds idx from 0 in the given order, ties in any order. Range partitions, sorted and written once, keep it."""
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    return _counted(once(ranged.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()})), ["_part"])
+    return _counted(once(ranged.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()})), "_part")
 
 
 def positions(df: DataFrame) -> DataFrame:
     """Adds idx from 0 in the order of a file's rows, and of the files' names; df reads files."""
     place = {"_file": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start"), "_at": F.monotonically_increasing_id()}
-    return _counted(once(df.withColumns(place)), ["_file", "_block"])
+    return _counted(once(df.withColumns(place)), "_file", "_block")
 
 
 def trivia_qa(raw: DataFrame, num_samples: int | None = None) -> DataFrame:
@@ -95,30 +108,35 @@ def distinct_fictional(raw: DataFrame) -> DataFrame:
 def fictional_qa(raw: DataFrame, split="train", num_samples: int | None = None, seed=42, exact=True) -> DataFrame:
     """Half of the events for each split, so that no event is in both.
 
-    exact: the halves come from Python's seeded shuffle of the sorted event ids, which are collected (their number is
-    that of a corpus's events). Otherwise they come from the order of hashed ids, found without collecting.
+    exact: the halves come from Python's seeded shuffle of the places of the sorted event ids. Ids are numbered where they
+    are, only as many whole numbers as there are events are shuffled on the driver. Otherwise they come from a
+    permutation of the places that needs no driver.
     """
     if split not in ("train", "validation", "all"):
         raise ValueError(f"unknown split {split!r}")
     rows = distinct_fictional(raw)
     if split != "all":
-        events = rows.select("event_id").distinct()
-        if exact:
-            ids = sorted(r[0] for r in events.collect())
-            random.Random(seed).shuffle(ids)
-            half = ids[: len(ids) // 2] if split == "train" else ids[len(ids) // 2 :]
-            chosen = raw.sparkSession.createDataFrame([(x,) for x in half], "event_id string")
-        else:
-            chosen = hashed_half(events, "event_id", split, seed)
-        rows = rows.join(chosen, "event_id", "left_semi")
+        half = shuffled_half if exact else permuted_half
+        rows = rows.join(half(rows, "event_id", split, seed), "event_id", "left_semi")
     return _limit(rows.select("question_id", "question", F.array("natural_answer").alias("answers")), num_samples, "question_id")
 
 
-def hashed_half(ids: DataFrame, key: str, split: str, seed: int) -> DataFrame:
-    """The ids whose hash lies below (train) or above the hash's median."""
-    h = F.xxhash64(key, F.lit(seed))
-    middle = ids.agg(F.expr(f"percentile_approx(xxhash64({key}, {seed}), 0.5, 100000)").alias("_middle"))
-    return ids.crossJoin(F.broadcast(middle)).where(h <= F.col("_middle") if split == "train" else h > F.col("_middle")).select(key)
+def shuffled_half(ids: DataFrame, key: str, split: str, seed: int) -> DataFrame:
+    """The distinct ids whose places, in their order, Python's seeded shuffle puts in the first (train) or second half."""
+    rows = numbered(ids.select(key).distinct(), key)
+    places = list(range(rows.count()))
+    random.Random(seed).shuffle(places)
+    middle = len(places) // 2
+    chosen = rows.sparkSession.createDataFrame([(x,) for x in (places[:middle] if split == "train" else places[middle:])], "idx long")
+    return rows.join(chosen, "idx", "left_semi").select(key)
+
+
+def permuted_half(ids: DataFrame, key: str, split: str, seed: int) -> DataFrame:
+    """The distinct ids whose places, in their order, a permutation puts in the first (train) or second half."""
+    rows = numbered(ids.select(key).distinct(), key)
+    n = rows.count()
+    first = permute.place("idx", max(n, 1), seed) < n // 2
+    return rows.where(first if split == "train" else ~first).select(key)
 
 
 def sorted_half(ids: DataFrame, key: str, split: str) -> DataFrame:

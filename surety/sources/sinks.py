@@ -5,11 +5,14 @@ from __future__ import annotations
 import re
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from surety.functions.columns import col
 from surety.operators.tensor import running_best
 from surety.plans import schema
+from surety.sources import tensor_files
+from surety.sources.shared import beside, once
 
 
 def result_name(dataset: str, model: str, split: str, n: int, suffix: str | None = None, ending="tsv") -> str:
@@ -17,6 +20,12 @@ def result_name(dataset: str, model: str, split: str, n: int, suffix: str | None
     return "_".join(parts) + f".{ending}"
 
 
+def result_names(dataset, model, split, n, suffix=None, ending="tsv") -> Column:
+    """result_name() of columns; a null suffix is none."""
+    parts = [col(dataset), F.replace(col(model), F.lit("/"), F.lit("_")), col(split), col(n).cast("string"), *([] if suffix is None else [col(suffix)])]
+    return F.concat(F.concat_ws("_", *parts), F.lit(f".{ending}"))
+
+
 def _flat(df: DataFrame, columns: list[str], sentinel=schema.IGNORE) -> DataFrame:
     """The columns as text cells: arrays as JSON, missing failures as the sentinel."""
     kinds = dict(df.dtypes)
@@ -94,11 +103,17 @@ def read_metrics(spark, path: str) -> DataFrame:
 
 
 def write_weights(df: DataFrame, path: str, mode="error") -> None:
-    df.select("name", "pos", "value").write.mode(mode).parquet(path)
+    """A weight table as Parquet, or as tensor files in a folder whose name has their ending."""
+    if path.rstrip("/").endswith(tensor_files.ENDING):
+        tensor_files.write_tensors(df, path)
+    else:
+        df.select("name", "pos", "value").write.mode(mode).parquet(path)
 
 
 def read_weights(spark, path: str) -> DataFrame:
-    """A weight table. Pickled objects are never read."""
+    """A weight table, or tensor files where the path has their ending. Pickled objects are never read."""
+    if path.rstrip("/").endswith(tensor_files.ENDING):
+        return tensor_files.read_tensors(spark, path)
     return spark.read.schema(schema.WEIGHTS).parquet(path)
 
 
@@ -117,7 +132,8 @@ def due_checkpoints(log: DataFrame, every: int, order="iteration", loss="loss")
 
 def write_checkpoints(weights: DataFrame, log: DataFrame, path: str, every: int, mode="error") -> None:
     """The weights (iteration, name, pos, value) of the iterations that are due, one folder an iteration."""
-    kept = weights.join(F.broadcast(due_checkpoints(log, every)), "iteration", "left_semi")
+    due, _ = beside(once(due_checkpoints(log, every)))
+    kept = weights.join(due, "iteration", "left_semi")
     kept.select("iteration", "name", "pos", "value").write.mode(mode).partitionBy("iteration").parquet(path)
 
 
