@@ -32,8 +32,9 @@ FORMATS = {
 }
 ANY = "|".join(f"(?:{p})" for p in FORMATS.values())
 RUN = r"(?<![0-9A-Za-z.-])[0-9][0-9 -]{11,}[0-9](?![0-9A-Za-z-])"
-#: One card's digits and separators.
+#: One card's digits and separators, and the longest such text.
 CARD = r"^[0-9](?:[ -]?[0-9]){12,18}$"
+LONGEST = 37
 #: The accepted dates are LONG * SHORT days from EPOCH; the areas, and groups and serials, of social-security numbers.
 EPOCH, SHORT, LONG = "1900-01-01", 17, 4297
 AREAS, GROUPS, SERIALS = 898, 99, 9999
@@ -80,29 +81,44 @@ def _refill(shape: Column, digits: Column) -> Column:
     return F.aggregate(chars, start, step, lambda s: s["out"])
 
 
-def _card(value: Column, key: str) -> Column:
-    digits = F.regexp_replace(value, "[^0-9]", "")
-    body = F.concat(F.substring(digits, 1, 1), permute_digits(F.substring(digits, F.lit(2), F.length(digits) - 2), key, "card"))
-    check = F.pmod(-luhn_sum(F.concat(body, F.lit("0"))), F.lit(10)).cast("string")
-    return _refill(value, F.concat(body, check))
-
-
 def _once(value: Column, use) -> Column:
     """use(value), with the value computed once."""
     return F.transform(F.array(value), use)[0]
 
 
+def _card(value: Column, key: str) -> Column:
+    """Every step's result is bound before it is used by digit."""
+    moved = lambda d: F.concat(F.substring(d, 1, 1), permute_digits(F.substring(d, F.lit(2), F.length(d) - 2), key, "card"))
+    check = lambda body: _once(F.concat(body, F.lit("0")), lambda b: F.concat(body, F.pmod(-luhn_sum(b), F.lit(10)).cast("string")))
+    digits = _once(_once(F.regexp_replace(value, "[^0-9]", ""), moved), check)
+    return _once(digits, lambda d: _refill(value, d))
+
+
 def _run(value: Column, key: str) -> Column:
     """(n, new): how many cards a run of digit groups holds, and the run with their pseudonyms."""
 
     def replaced(tokens):
         n = F.size(tokens)
-        part = lambda i, j: F.array_join(F.slice(tokens, i, j - i + 1), "")
-        valid = lambda v: v.rlike(CARD) & (luhn_sum(F.regexp_replace(v, "[^0-9]", "")) % 10 == 0)
-        # a card that begins with token i has at most 19 groups
-        last = lambda i: F.get(F.filter(F.sequence(i, F.least(i + 36, n), F.lit(2)), lambda j: valid(part(i, j))), F.lit(0))
+        # by single elements, as a slice would copy all tokens of the run each time
+        part = lambda i, j: F.when(j >= i, F.array_join(F.transform(F.sequence(i, F.greatest(i, j)), lambda k: F.get(tokens, k - 1)), "")).otherwise("")
+        luhn = lambda v: _once(F.regexp_replace(v, "[^0-9]", ""), lambda d: luhn_sum(d) % 10 == 0)
+        none = F.lit(None).cast("int")
+
+        def longer(s, i, k):
+            """The text from token i on with token k, and k if that ends a card; a text too long for one stays."""
+            word = F.get(tokens, k - 1)
+            apart = (k - i) % 2 == 1
+            text = F.when(apart & (F.length(word) > 1), F.repeat(F.lit(" "), LONGEST + 1)).otherwise(F.concat(s["text"], word))
+            return _once(text, lambda t: F.struct(F.when(~apart & t.rlike(CARD) & luhn(t), k).alias("j"), t.alias("text")))
+
+        def last(i):
+            """The first token that ends a card which begins with token i: groups are added until one is found."""
+            start = F.struct(none.alias("j"), F.lit("").alias("text"))
+            step = lambda s, k: F.when(s["j"].isNotNull() | (F.length(s["text"]) > LONGEST), s).otherwise(longer(s, i, k))
+            return F.aggregate(F.sequence(i, F.least(i + LONGEST - 1, n)), start, step, lambda s: s["j"])
+
         found = F.filter(F.transform(F.sequence(F.lit(1), n, F.lit(2)), lambda i: F.struct(i.alias("i"), last(i).alias("j"))), lambda x: x["j"].isNotNull())
-        none = F.array().cast("array<struct<i:int,j:int,after:int>>")
+        empty = F.array().cast("array<struct<i:int,j:int,after:int>>")
 
         def pick(s, x):
             more = F.concat(s["picks"], F.array(F.struct(x["i"].alias("i"), x["j"].alias("j"), s["next"].alias("after"))))
@@ -112,7 +128,7 @@ def _run(value: Column, key: str) -> Column:
             made = F.transform(s["picks"], lambda x: F.concat(part(x["after"], x["i"] - 1), _once(part(x["i"], x["j"]), lambda v: _card(v, key))))
             return F.struct(F.size(s["picks"]).alias("n"), F.concat(F.array_join(made, ""), part(s["next"], n)).alias("new"))
 
-        return F.aggregate(found, F.struct(F.lit(1).alias("next"), none.alias("picks")), pick, joined)
+        return F.aggregate(found, F.struct(F.lit(1).alias("next"), empty.alias("picks")), pick, joined)
 
     return _once(F.regexp_extract_all(value, F.lit("[0-9]+|[^0-9]+"), F.lit(0)), replaced)
 
@@ -162,7 +178,7 @@ def _phone(value: Column, key: str) -> Column:
     low, size = F.when(real, 200).otherwise(0), F.when(real, 800).otherwise(200)
     out = _rounds(area - low, rest, size, F.lit(10**7), key, "phone")
     digits = lambda o: F.concat(prefix, F.lpad((o["a"] + low).cast("string"), 3, "0"), F.lpad(o["b"].cast("string"), 7, "0"))
-    return _refill(value, _once(out, digits))
+    return _once(_once(out, digits), lambda d: _refill(value, d))
 
 
 def _email(value: Column, key: str) -> Column:

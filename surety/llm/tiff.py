@@ -4,8 +4,8 @@ The reader walks the image directories of either byte order, undoes PackBits, LZ
 the horizontal predictor, and emits the 8-bit samples of each page in rows. It works on one Arrow batch at a time and
 never shuffles pixels.
 
-Defined results: a null file, or one whose directories can't be walked, gives one row whose page is null and whose
-``error`` says why; a bad page gives its own row without pixels and with an ``error``, and the other pages are read.
+Defined results: a null file, or one whose directories can't be walked to their end, gives one row whose page is null
+and whose ``error`` says why, and a row for each page before the damage; a bad page gives its own row without pixels and with an ``error``, and the other pages are read.
 Strips or tiles that don't cover the page, sizes of 0, bit depths other than 8, separate planes and unknown compressions
 are errors; palettes are given as their indexes. Repeated rows are read alike; an empty table gives no rows; columns of
 the input that carry an output column's name are replaced. Pages are read one at a time, so a file of many pages is
@@ -91,6 +91,8 @@ def unpack_lzw(data: bytes, size: int) -> bytes:
         if last is None:
             word = table[code]
         else:
+            if code > len(table):
+                raise ValueError(f"code {code} is beyond the table's next entry")
             word = table[code] if code < len(table) else last + last[:1]
             table.append(last + word[:1])
             if len(table) + 1 >> width and width < 12:
@@ -213,13 +215,15 @@ def _why(e: Exception) -> str:
 
 def read(data: bytes | None):
     """The rows of PAGE_SCHEMA for one file, one page at a time."""
+    found, why = [], "null" if data is None else None
     try:
-        found = [] if data is None else list(directories(data))
+        for tags in () if data is None else directories(data):
+            found.append(tags)
     except BAD as e:
-        yield None, 0, None, None, None, None, _why(e)
-        return
-    if not found:
-        yield None, 0, None, None, None, None, "null" if data is None else "no pages"
+        # the pages before the damage are read all the same
+        why = _why(e)
+    if why or not found:
+        yield None, len(found), None, None, None, None, why or "no pages"
     for i, tags in enumerate(found):
         try:
             row = (i, len(found), *read_page(data, tags), None)

@@ -251,3 +251,37 @@ def test_cards_beside_other_digits_and_phones_in_other_forms(spark):
     assert len(cards) == len(phones) == 1 and luhn(cards.pop())
     for i, text in enumerate(same[:2], len(shapes)):
         assert out[i].text == text and out[i].n_pii == 0
+
+
+def plain_cards(text):
+    """The cards of a run of digit groups from the left: of those that begin with a group, the shortest."""
+    tokens, out, i = re.findall("[0-9]+|[^0-9]+", text), [], 0
+    while i < len(tokens):
+        found = None
+        for j in range(i, min(i + 37, len(tokens)), 2):
+            v = "".join(tokens[i : j + 1])
+            if re.fullmatch("[0-9](?:[ -]?[0-9]){12,18}", v) and luhn(v):
+                found = j
+                break
+        if found is None:
+            i += 2
+        else:
+            out.append("".join(tokens[i : found + 1]))
+            i = found + 2
+    return out
+
+
+def test_long_runs_of_digit_groups_are_linear(spark):
+    import time
+
+    rng = random.Random(4)
+    group = lambda: "".join(rng.choice("0123456789") for _ in range(rng.choice((1, 2, 4, 4, 4, 4, 5, 16, 20))))
+    texts = ["".join(group() + rng.choice([" ", " ", "-", "  "]) for _ in range(60)) + "1" for _ in range(40)] + [" ".join(f"{rng.randrange(10000):04}" for _ in range(n)) for n in (20_000, 80_000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    began = time.perf_counter()
+    got = {r.doc_id: r for r in pii.pseudonymise(df, "k").collect()}
+    assert time.perf_counter() - began < 120
+    for i, t in enumerate(texts[:40]):
+        changed = sum(a != b for a, b in zip(re.findall("[0-9]+|[^0-9]+", t), re.findall("[0-9]+|[^0-9]+", got[i].text)))
+        assert got[i].n_pii == len(plain_cards(t)) and (changed > 0) == (got[i].n_pii > 0) and len(got[i].text) == len(t)
+    assert got[40].n_pii == len(plain_cards(texts[40]))

@@ -94,6 +94,50 @@ def test_a_bad_page_is_an_error_of_its_own(changes, drop):
     assert rows[1][5] is None and rows[1][6]
 
 
+def links(data):
+    """Where the places of the directories of a plain little-endian file are written."""
+    out, at = [4], struct.unpack_from("<I", data, 4)[0]
+    while at:
+        (n,) = struct.unpack_from("<H", data, at)
+        out.append(at + 2 + 12 * n)
+        (at,) = struct.unpack_from("<I", data, out[-1])
+    return out
+
+
+@pytest.mark.parametrize("kept", [1, 2])
+@pytest.mark.parametrize("damage", ["beyond", "loop", "cut", "torn"])
+def test_pages_before_a_damaged_directory_are_read(kept, damage):
+    data = bytearray(image(pages=3))
+    where = links(data)[kept]
+    (at,) = struct.unpack_from("<I", data, where)
+    if damage == "cut":
+        data = data[: at + 1]
+    elif damage == "torn":
+        struct.pack_into("<H", data, at, 60_000)
+    else:
+        struct.pack_into("<I", data, where, len(data) + 5 if damage == "beyond" else struct.unpack_from("<I", data, 4)[0])
+    rows = list(tiff.read(bytes(data)))
+    assert rows[0][0] is None and rows[0][1] == kept and rows[0][-1]
+    assert [(r[0], r[5], r[6]) for r in rows[1:]] == [(p, bytes([p + 1]) * 24, None) for p in range(kept)]
+
+
+def lzw(*codes):
+    """Codes of nine bits as bytes."""
+    bits = "".join(f"{c:09b}" for c in codes)
+    return int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+
+
+def test_codes_beyond_the_table_are_errors():
+    assert tiff.unpack_lzw(lzw(256, 65, 258, 257), 3) == b"AAA"
+    for codes in ((256, 65, 500, 501), (256, 65, 259), (256, 65, 66, 260), (256, 258)):
+        with pytest.raises(tiff.BAD):
+            tiff.unpack_lzw(lzw(*codes), 100)
+    page = image({259: [5], 273: [8, 8], 279: [6, 6]}.items())
+    broken = bytearray(page)
+    broken[8:14] = lzw(256, 65, 500, 501).ljust(6, b"\0")
+    assert [r[6] is None for r in tiff.read(bytes(broken))] == [True, False]
+
+
 def test_pages_of_hand_made_files():
     assert [r[2:6] for r in tiff.read(image(pages=3))] == [(4, 6, 1, bytes([p]) * 24) for p in (1, 2, 3)]
     rng = random.Random(5)
