@@ -101,9 +101,10 @@ def read_tensors(spark: SparkSession, path: str, with_file=False, chunk: int = C
     known = F.col("dtype").isin(*WIDTHS)
     checked = tensors.withColumn("dtype", F.when(known, F.col("dtype")).otherwise(F.raise_error(F.concat(F.lit("no weights of type "), "dtype", F.lit(" in "), "name"))))
     parts = checked.where("n > 0").withColumn("first", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1, F.lit(chunk).cast("bigint"))))
-    # written, so that the number of parts is known and each goes to a task of its own
+    # written, so that the number of parts is known: some CHUNK values go to a task, but small inputs to all cores
     parts = once(parts)
-    dealt = parts.repartition(max(1, min(parts.count(), 100_000)), "file", "name", "first")
+    n, total = parts.agg(F.count("*"), F.sum(F.least(F.lit(chunk), F.col("n") - F.col("first")))).first()
+    dealt = parts.repartition(max(1, min(n, max(4 * spark.sparkContext.defaultParallelism, (total or 0) // CHUNK))), "file", "name", "first")
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
