@@ -1,7 +1,7 @@
 """Toxicity of texts that may be disguised: a noisy channel restores words, a logistic model scores them.
 
 Disguises are read as a noisy channel's output. A plain word has one reading; a token with digits or signs among its
-letters, letters repeated three times or more, or letters set apart by blanks or points, becomes a lattice: digits and signs
+letters, letters repeated three times or more (or doubled in a row), or letters set apart by blanks or points, becomes a lattice: digits and signs
 end a word or stand for letters they resemble, separators end a word or stand for nothing, a run of a letter is one or
 two of it. The Viterbi path under a character language model (the last three letters, counted over all words
 of all documents) is the restored text.
@@ -42,10 +42,10 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "
 #: Symbols of the language model: 0 ends a word, 1 to 26 are letters, then other letters.
 OTHER, SYMBOLS = 27, 28
 CONTEXTS = SYMBOLS**3
-#: Costs (negative logarithms) of the channel: a letter drawn as a sign, a digit meant as such, a separator between
+#: Costs (negative logarithms) of the channel: a letter drawn as a sign, a digit or sign meant as such, a separator between
 #: words, one inside a word of a token, one inside a word of letters set apart, a letter repeated three times or more,
 #: a letter doubled.
-DRAWN, MEANT, PARTED, JOINED, SPREAD, REPEATED, DOUBLED = 3.0, 4.5, 1.0, 3.0, 0.3, 1.0, 5.0
+DRAWN, MEANT, PARTED, JOINED, SPREAD, REPEATED, DOUBLED = 3.0, 9.0, 1.0, 3.0, 0.3, 1.0, 4.0
 #: Weight of the shorter context in the language model; prefixes that are features, those that stand for a word; penalty of
 #: the logistic model.
 BACKOFF, PREFIXES, STEM, PENALTY = 2.0, range(3, 9), 5, 0.01
@@ -57,9 +57,11 @@ _WORD = re.compile(r"[^\W\d_]+")
 _SIGNS = re.escape("".join(s for s in LEET if not s.isdigit()))
 _APART = r"[ ._\-~'’,/\\|*]{1,2}"
 _SPACED = re.compile(rf"(?<![^\W_])(?:[^\W_]|[@$!+])(?:{_APART}(?:[^\W_]|[@$!+])(?![^\W_])){{2,}}")
-_ODD = re.compile(rf"[^\W\d_][{_SIGNS}._\-~'’/\\]+[^\W_]|[^\W\d_]\d|[\d@$€£¢][^\W\d_]|([^\W\d_])\1\1")
+#: A letter that is set apart from itself, twice or more.
+_AGAIN = re.compile(rf"([^\W_])(?:{_APART}\1){{2,}}")
+_ODD = re.compile(rf"[^\W\d_][{_SIGNS}._\-~'’/\\]+[^\W_]|[^\W\d_]\d|[\d@$€£¢!|+][^\W\d_]|([^\W\d_])\1\1|(?:([^\W\d_])\2){{3}}")
 #: What stands around a token: no letter or digit, and no sign that may begin one.
-_OUTSIDE = re.compile(r"^[^\w@$€£¢]+|[^\w]+$")
+_OUTSIDE = re.compile(r"^[^\w@$€£¢!|+]+|[^\w]+$")
 
 
 def normal(text: str | None) -> str:
@@ -158,7 +160,7 @@ class Decoder:
             out += [(x, (s,), DRAWN + (REPEATED if run > 1 else 0.0))] + ([(x * 2, (s, s), DRAWN + REPEATED)] if run > 1 else [])
         if c.isdigit():
             return [*out, (" ", (0,), MEANT)]
-        return [*out, (" ", (0,), PARTED), ("", (), joined)]
+        return [*out, (" ", (0,), MEANT / 2 if out else PARTED), ("", (), joined)]
 
     def decode(self, token: str, joined=JOINED) -> str:
         """The likeliest words, parted by blanks. Linear in the token's length."""
@@ -194,7 +196,7 @@ class Decoder:
         """The text with letters that were set apart joined to words, each marked by a leading NUL."""
 
         def join(m):
-            return f" {self.marked(m.group(), SPREAD)} " if _WORD.search(m.group()) else m.group()
+            return f" {self.marked(_AGAIN.sub(r'\1\1\1', m.group()), SPREAD)} " if _WORD.search(m.group()) else m.group()
 
         return _SPACED.sub(join, text)
 

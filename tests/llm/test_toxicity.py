@@ -89,7 +89,7 @@ def test_the_path_is_the_cheapest_of_all(cost):
             assert decoder.decode(token, joined) in every_path(decoder, token, joined)
 
 
-@pytest.mark.parametrize("shown", ["snarkwit", "SnArKwIt", "5n4rkw1t", "s n a r k w i t", "s.n.a.r.k.w.i.t", "snaaaaarkwiiiiit", "sn@rkw1t!", "ｓｎａｒｋｗｉｔ", "s​n​arkwit", "S_N_A_R_K_W_I_T", "snar*wit"])
+@pytest.mark.parametrize("shown", ["snarkwit", "SnArKwIt", "5n4rkw1t", "s n a r k w i t", "s.n.a.r.k.w.i.t", "snaaaaarkwiiiiit", "sn@rkw1t!", "ｓｎａｒｋｗｉｔ", "s​n​arkwit", "S_N_A_R_K_W_I_T", "ssnnaarrkkwwiitt", "s n a a a a r k w w w i t", "5.n.4.r.k.w.!.t", "sssnnnaaarrrkkkwwwiiittt", "snar*wit"])
 def test_disguises_are_read(cost, shown):
     reader = tox.Reader(cost, ["snarkwit$"])
     assert reader.counts(f"the river {shown}, of stone")[1] == ({0: 1} if shown != "snar*wit" else {})
