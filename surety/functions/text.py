@@ -24,3 +24,11 @@ def remove_punctuation(x) -> Column:
 
 def normalise_answer(x) -> Column:
     return fix_spaces(remove_articles(remove_punctuation(F.lower(col(x)))))
+
+
+def capitals(x) -> Column:
+    """The text in capitals, letter by letter; letters that lower-casing doesn't give back stay (as ß, whose capitals are
+    SS), so that the text differs from what it was in case alone."""
+    # with a blank behind, as the optimizer takes lower(upper(c)) for lower(c)
+    comes_back = lambda c: F.lower(F.concat(F.upper(c), F.lit(" "))) == F.concat(F.lower(c), F.lit(" "))
+    return F.array_join(F.transform(F.split(col(x), ""), lambda c: F.when(comes_back(c), F.upper(c)).otherwise(c)), "")

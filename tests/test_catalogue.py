@@ -49,6 +49,14 @@ def test_query_matches_sql(spark, con, name):
     assert sorted(tuple(cell(number(r[c])) for c in sorted(columns)) for r in got) == want
 
 
+def test_answers_in_another_case_and_items_without_text(spark, tmp_path):
+    texts = ["Erßie entech", "ﬁn de siècle", "ΟΔΟΣ οδος", "İstanbul", " leads", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = QUERIES["inclusion_by_answers"](spark, str(tmp_path)).collect()
+    want = duckdb.sql(ORACLES["inclusion_by_answers"].replace("benchmark", f"'{tmp_path}/benchmark.parquet/*.parquet'")).fetchall()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 @needs_data
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0

@@ -106,3 +106,9 @@ def test_plans_stay_native(spark):
     df = spark.createDataFrame([("a", ["b"])], "o string, a array<string>")
     plan = df.select(score.correct_by_number("o", "a"), score.parse_letter_grade("o"), score.says_yes("o", F.lit("ko")))._jdf.queryExecution().toString()
     assert "Python" not in plan and "ArrowEval" not in plan
+
+
+def test_capitals_differ_in_case_alone(spark):
+    words = ["Erßie", "ﬁn", "ŉa", "ǰ", "ΟΔΟΣ", "οδος", "İstanbul", "ıssız", "naïve", "𐐨x", "😀", "", None]
+    got = run(spark, [(w,) for w in words], "t string", text.capitals("t"), F.lower(text.capitals("t")) == F.lower("t"))
+    assert got == list(zip(["ERßIE", "ﬁN", "ŉA", "ǰ", "ΟΔΟΣ", "ΟΔΟς", "İSTANBUL", "ıSSıZ", "NAÏVE", "𐐀X", "😀", "", None], [True] * 12 + [None]))
