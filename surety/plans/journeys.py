@@ -515,7 +515,7 @@ def streamed_best(spark, sf_dir):
     """The best loss so far of every run, and a period's triggers, as state of a stream."""
     rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("run"), F.col("o_orderkey").alias("iteration"), F.col("o_totalprice").alias("loss"))
     root, stream = _file_stream(rows, "iteration", 3, "runs")
-    with runs.named_state(spark):
+    with runs.named_state(spark, rows.count()):
         run = runs.running_best(stream, 10).writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
         run.awaitTermination()
     flag = lambda c: F.col(c).cast("int").cast("bigint").alias(c)

@@ -69,6 +69,32 @@ def test_best_so_far_in_any_number_of_batches_and_after_restarts(spark, tmp_path
     assert sorted(spark.read.parquet(out).select(want.columns).collect(), key=key) == sorted(want.collect(), key=key)
 
 
+def test_many_short_runs_with_state_in_few_parts(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [(run, i, float(rng.randint(1, 9))) for i in range(1, 13) for run in range(600)]
+    # a long run, and iterations that come twice in a trigger: the lesser loss counts
+    rows += [(-1, i, 1e9 / i if i % 3 else float("inf")) for i in range(1, 4000)] + [(None, i, 5.0 - i % 2) for i in range(1, 13)]
+    df = spark.createDataFrame(rows, "run long, iteration long, loss double")
+    for part in (df.where("iteration < 5"), df.where("iteration >= 5")):
+        part.unionByName(part.where("run % 7 = 0").withColumn("loss", F.col("loss") + 1)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    was = spark.conf.get(runs.PARTS)
+    spark.conf.set(runs.PARTS, "50")
+    try:
+        with runs.named_state(spark, len(rows)):
+            stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+            query = runs.running_best(stream, 7).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+            drained(query)
+        assert spark.conf.get(runs.PARTS) == "50"
+    finally:
+        spark.conf.set(runs.PARTS, was)
+    assert {p["stateOperators"][0]["numShufflePartitions"] for p in query.recentProgress} == {spark.sparkContext.defaultParallelism}
+    want = df.select("run", "iteration", "loss", tensor.running_best("iteration", "loss", ["run"]).alias("best"), (F.col("iteration") % 7 == 0).alias("due"))
+    key = lambda r: (str(r.run), r.iteration)
+    assert sorted(spark.read.parquet(f"{tmp_path}/out").select(want.columns).collect(), key=key) == sorted(want.collect(), key=key)
+    with runs.named_state(spark, 10 * runs.PART_ROWS + 1):
+        assert spark.conf.get(runs.PARTS) == "11"
+
+
 def test_a_replayed_batch_is_logged_once(spark, tmp_path):
     log = f"{tmp_path}/log"
     df = spark.range(3).withColumn("iteration", F.lit(1))
