@@ -108,15 +108,24 @@ def load_fictional_split(spark, sf_dir):
     return _answers(corpora.load(spark, "fictional_qa", _fictional(spark, sf_dir), "train"))
 
 
+#: Bytes of records in one JSON document; larger tables give several documents.
+DOCUMENT_BYTES = 256 << 20
+
+
 def _document(records: DataFrame, key: str, label: str) -> str:
-    """A file with one JSON document that holds the column record of all rows; lines are written as they come."""
+    """JSON documents that hold the column record of all rows, some DOCUMENT_BYTES each; one task writes each of them,
+    lines as they come."""
     spark = records.sparkSession
-    first = records.agg(F.min(key).alias("_first"))
-    comma = F.when(F.col(key) == F.col("_first"), F.lit("")).otherwise(F.lit(","))
-    lines = records.orderBy(key).crossJoin(F.broadcast(first)).select(F.concat(comma, F.to_json("record")).alias("value"))
-    one = lambda text: spark.range(1).select(F.lit(text).alias("value"))
+    lines = records.select(F.col(key).alias("key"), F.to_json("record").alias("value"))
+    n = max(1, -(-(lines.agg(F.sum(F.octet_length("value"))).first()[0] or 0) // DOCUMENT_BYTES))
+    lines = lines.withColumn("document", F.pmod(F.xxhash64("key"), F.lit(n)).cast("int"))
+    first = lines.groupBy("document").agg(F.min("key").alias("_first"))  # a row a document
+    comma = F.when(F.col("key") == F.col("_first"), F.lit("")).otherwise(F.lit(","))
+    inner = lines.join(F.broadcast(first), "document").select("document", F.lit(1).alias("place"), "key", F.concat(comma, "value").alias("value"))
+    line = lambda at, text: F.struct(F.lit(at).alias("place"), F.lit(None).cast("bigint").alias("key"), F.lit(text).alias("value"))
+    ends = spark.range(n).select(F.col("id").cast("int").alias("document"), F.inline(F.array(line(0, '{"Dataset": "}[", "Questions": ['), line(2, "]}"))))
     path = f"{shared_path(spark, label)}/test.json"
-    one('{"Dataset": "}[", "Questions": [').union(lines).union(one("]}")).coalesce(1).write.text(path)
+    inner.unionByName(ends).repartitionById(n, "document").sortWithinPartitions("document", "place", "key").select("value").write.text(path)
     return path
 
 
@@ -135,7 +144,7 @@ def load_freebase(spark, sf_dir):
 
 @query("SELECT 'd' || doc_id AS question_id, coalesce(text, '') AS question, source || '|' || lang AS answers FROM documents")
 def load_json_document(spark, sf_dir):
-    """One JSON document with all texts, whatever brackets and quotes they hold, read by byte ranges."""
+    """A large JSON document with all texts, whatever brackets and quotes they hold, read by byte ranges; several beyond DOCUMENT_BYTES."""
     row = F.struct(F.concat(F.lit("d"), "doc_id").alias("Question-ID"), F.col("text").alias("RawQuestion"), F.array(_names("source", F.lit("")), _names("lang", "source")).alias("Parses"))
     records = table(spark, sf_dir, "documents").select("doc_id", row.alias("record"))
     return _answers(corpora.load(spark, "freebase_qa", _document(records, "doc_id", "document")))

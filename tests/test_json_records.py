@@ -124,3 +124,22 @@ def test_a_corpus_through_the_range_reader(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", was)
     assert [tuple(r) for r in got] == [(r["Question-ID"], r["RawQuestion"], ["a", f"b{i}"]) for i, r in enumerate(rows[:120])]
+
+
+def test_documents_of_bounded_size_hold_every_row(spark, monkeypatch):
+    from surety.plans import journeys
+
+    rows = [(i, "}]" * (i % 5) + '"' * (i % 3) + "x" * 100, "s", "en") for i in range(400)] + [(400, None, "s", "fr")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    record = F.struct(F.col("doc_id").alias("id"), "text")
+    want = sorted(((r[0], r[1]) for r in rows), key=str)
+    for most, few in ((1 << 20, 1), (8000, 4)):
+        monkeypatch.setattr(journeys, "DOCUMENT_BYTES", most)
+        path = journeys._document(docs.select("doc_id", record.alias("record")), "doc_id", "bounded")
+        files = [(r.path, r.length) for r in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "length").collect()]
+        assert few <= len(files) <= 10 * few and max(n for _, n in files) < 3 * most
+        for file, _ in files:
+            whole = json.loads(spark.read.text(file, wholetext=True).first().value)
+            assert whole["Dataset"] == "}["
+        got = read_records(spark, path, T.StructType([T.StructField("id", T.LongType()), T.StructField("text", T.StringType())]), "Questions")
+        assert sorted(((r.record.id, r.record.text) for r in got.collect()), key=str) == want
