@@ -22,7 +22,8 @@ gives no rows (and an untrained network); texts may have any length; null keys p
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
+from itertools import chain, count, islice
 from typing import NamedTuple
 
 import numpy as np
@@ -173,36 +174,44 @@ class Words:
 
     def __init__(self, know):
         """know(words, hashes): the columns of new words."""
-        self.know, self.memo, self.columns = know, {}, None
+        self.know, self.memo, self.columns = know, defaultdict(count().__next__), None
 
     def __call__(self, words: list[str]) -> list[np.ndarray]:
         """The columns of words; the memo starts anew when it is full."""
-        if len(self.memo) > MEMO:
-            self.memo.clear()
         memo = self.memo
-        new = list(set(words).difference(memo))
-        if new:
-            low, high = len(memo), len(memo) + len(new)
-            memo.update(zip(new, range(low, high), strict=True))
+        if len(memo) > MEMO:
+            memo.clear()
+            memo.default_factory = count().__next__
+        low = len(memo)
+        # words that the memo lacks get the next numbers
+        at = np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
+        high = len(memo)
+        if high > low:
+            new = list(islice(reversed(memo), high - low))[::-1]
             made = self.know(new, np.fromiter(map(xxhash.xxh64_intdigest, new), np.uint64, len(new)))
             if self.columns is None or high > len(self.columns[0]):
                 old = self.columns or [c[:0] for c in made]
                 self.columns = [np.concatenate([c[:low], np.zeros(2 * high - min(low, len(c)), c.dtype)]) for c in old]
             for held, c in zip(self.columns, made, strict=True):
                 held[low:high] = c
-        at = np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
-        return [c[at] for c in self.columns]
+        return [c[at] for c in self.columns or self.know([], np.zeros(0, np.uint64))]
 
 
 def _lookup(model: Model, score: bool):
     """Columns of words: code and, for scores, hash, log-share (NaN where the vocabulary must be asked) and spelling."""
 
+    # codes alone need but the commonest words
+    listed = slice(None) if score else model.codes != UNKNOWN
+    held_hashes, held_codes = model.hashes[listed], model.codes[listed]
+
     def know(words, hashes):
-        at = np.minimum(np.searchsorted(model.hashes, hashes), max(len(model.hashes) - 1, 0))
-        here = model.hashes[at] == hashes if len(model.hashes) else np.zeros(len(hashes), bool)
+        at = np.minimum(np.searchsorted(held_hashes, hashes), max(len(held_hashes) - 1, 0))
+        here = held_hashes[at] == hashes if len(held_hashes) else np.zeros(len(hashes), bool)
         codes = np.full(len(hashes), UNKNOWN, np.int64)
-        codes[here] = model.codes[at[here]]
+        codes[here] = held_codes[at[here]]
         if not score:
+            if "" in words:
+                codes[words.index("")] = GAP_CODE  # no text has an empty word
             return (codes,)
         shares, spelled = np.full(len(hashes), np.nan), np.zeros(len(hashes))
         shares[here] = model.shares[at[here]]
@@ -308,19 +317,24 @@ def _masked(df: DataFrame, text: str, model: Model, mask: int) -> DataFrame:
     share = df.sparkSession.sparkContext.broadcast(model._replace(words=None))  # of a fixed size
 
     def run(batches):
-        numbered = Words(_lookup(share.value, False))
+        numbered, gap = Words(_lookup(share.value, False)), [""] * WINDOW
         for batch in batches:
             texts = batch.column(text).to_pylist()
-            for low, sizes, (codes,) in _chunks(texts, numbered):
-                marks = np.array([xxhash.xxh64_intdigest((t or "").encode("utf-8", "surrogatepass")) for t in texts[low : low + len(sizes)]], np.uint64)
-                context, owner = windows(codes, sizes), np.repeat(np.arange(len(sizes)), sizes)
-                place = np.arange(len(codes)) - (np.cumsum(sizes) - sizes)[owner]
-                keep = np.flatnonzero((place + (marks % np.uint64(mask)).astype(np.int64)[owner]) % mask == 0)
-                rows = np.stack([c[keep] for c in context] + [codes[keep]], axis=1).astype(np.uint16)
-                n = np.bincount(owner[keep], minlength=len(sizes))
-                ends = np.cumsum(n)
-                blobs = [rows[a:b].tobytes() for a, b in zip(ends - n, ends, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(marks.view(np.int64)), pa.array(n, pa.int64()), pa.array(blobs, pa.binary())], names=["hash", "n", "rows"])
+            marks = [xxhash.xxh64_intdigest((t or "").encode("utf-8", "surrogatepass")) for t in texts]
+            n, taken = [], [[] for _ in range(2 * WINDOW + 1)]
+            for t, mark in zip(texts, marks, strict=True):
+                own, first = (t or "").lower().split(), -mark % mask
+                n.append(max(0, -(-(len(own) - first) // mask)))
+                # only words in some window are looked up
+                line = [*gap, *own, *gap]
+                for k, part in enumerate(taken):
+                    part += line[first + k : first + k + mask * n[-1] : mask]
+            (codes,) = numbered(list(chain.from_iterable(taken)))
+            codes = codes.reshape(len(taken), -1)
+            rows = np.stack([codes[WINDOW + k] for k in PLACES] + [codes[WINDOW]], axis=1).astype(np.uint16)
+            ends = np.cumsum(n)
+            blobs = [rows[b - a : b].tobytes() for a, b in zip(n, ends, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(marks, np.uint64).view(np.int64)), pa.array(n, pa.int64()), pa.array(blobs, pa.binary())], names=["hash", "n", "rows"])
 
     return map_batches(df.select(text), run, "hash long, n long, rows binary").where("n > 0").dropDuplicates(["hash"])
 

@@ -143,3 +143,12 @@ def test_odd_rows(spark):
     empty = df.limit(0)
     assert M.score(empty, M.fit(empty)).count() == 0
     assert M.score(df, M.fit(empty)).where("log_likelihood < 0").count() == 4
+
+
+def test_words_are_numbered_and_gaps_are_told_from_words(monkeypatch):
+    model = M.Model(None, None, np.array([], np.uint64), np.array([], np.int64), np.array([]), 0.0, -1.0, np.zeros(1 << 16))
+    assert M._lookup(model, False)(["x", ""], np.zeros(2, np.uint64))[0].tolist() == [M.UNKNOWN, M.GAP_CODE]
+    monkeypatch.setattr(M, "MEMO", 3)
+    numbered = M.Words(lambda words, hashes: (np.array([len(w) for w in words], np.int64),))
+    for words in (["a", "bb", "a"], ["ccc", "bb", "dddd"], [], ["eeeee", "a", "eeeee"]):
+        assert numbered(words)[0].tolist() == [len(w) for w in words]
